@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that register queries (QUERIES) and SQL twins (ORACLE).
-PARTS = ("tokens", "split")
+PARTS = ("tokens", "split", "sentences")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
