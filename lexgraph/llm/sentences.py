@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrowmap import explode_rows
 
-#: Documents the model is fitted on, those with the smallest hash of their text.
+#: Documents the model is fitted on, chosen by a hash.
 SAMPLE = 4000
 
 _CLOSE = "\"'”’»«“‘」』)\\]）】〉》›"
@@ -352,9 +352,15 @@ def fit(texts: list[str], rounds: int = 60, pull: float = 0.02) -> Model:
     return model
 
 
-def sample_texts(df: DataFrame, text: str = "text", size: int = SAMPLE) -> list[str]:
-    """Whole texts of the bounded sample: those with the smallest hash."""
-    return [r[0] for r in df.select(F.col(text).alias("t")).where(F.length("t") > 0).orderBy(F.xxhash64("t"), "t").limit(size).collect()]
+def sample_texts(df: DataFrame, key: str, text: str = "text", size: int = SAMPLE) -> list[str]:
+    """Whole texts of the bounded sample: about `size` rows, those whose hash of key and text is in the share wanted.
+
+    Only the sample's texts leave their tasks, and never more than twice `size`.
+    """
+    share = size / max(1, df.count())
+    src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    chosen = src if share >= 1 else src.where(F.pmod(F.xxhash64("k", "t"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return [r[0] for r in chosen.where(F.length("t") > 0).select("t").limit(2 * size).collect()]
 
 
 def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
@@ -364,7 +370,7 @@ def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", model
     its last. Null, empty and blank texts give no rows; a repeated row gives its units again. Other columns are
     ignored. Without a model, one is fitted on a bounded sample of this table.
     """
-    model = model or fit(sample_texts(df, text))
+    model = model or fit(sorted(sample_texts(df, key, text)))
     src = df.select(F.col(key).alias(key), F.col(text).alias("_body")).where(F.length("_body") > 0)
     fields = [T.StructField("unit_no", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]
     first = re.compile(rf"[\s{_BLIND}]*")
