@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +30,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before  # noqa: BLE001
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows as a table in the shared checkpoint folder and read that.
+
+    Like a checkpoint it survives the loss of executors; in contrast to one its columns can be pruned, its size is
+    known to the planner, and it carries no partitioning that a later join could misread. Tables of a session are
+    deleted when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexgraph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
