@@ -263,7 +263,7 @@ def near_duplicate_sets(src: DataFrame) -> tuple[DataFrame, DataFrame]:
     all_of = family.select("key", "leader")
     found = near.join(all_of.toDF("ka", "a"), "a").join(all_of.toDF("kb", "b"), "b").select("ka", "kb")
     own = big.toDF("ka", "leader").join(big.toDF("kb", "leader"), "leader").where("ka < kb").select("ka", "kb")
-    both = found.unionByName(own)
+    both = cut(found.unionByName(own))  # a join right above a union fails to plan when the union's parts are coalesced differently
     words = reps.select("key", "id", "words", "n")
     a, b = (words.select(*(F.col(c).alias(f"{x}_{c}") for c in words.columns)) for x in "ab")
     joined = both.join(a, F.col("ka") == F.col("a_key")).join(b, F.col("kb") == F.col("b_key"))
@@ -294,17 +294,11 @@ def near_duplicate_pairs(df: DataFrame, key: str = "id", title: str = "title", t
     """
     members, links = near_duplicate_sets(prepare(df, key, title, text, loaded))
     members = cut(members)
-    sizes = _heads(members)
-    heads = sizes.select("rep", F.explode("head").alias("id"))
+    sized = members.join(members.groupBy("rep").agg(F.count("*").alias("n")), "rep")
+    heads = sized.where((F.col("n") <= COPIES) | (F.col("id") == F.col("rep"))).select("rep", "id")
     across = links.join(heads.toDF("rep_a", "x"), "rep_a").join(heads.toDF("rep_b", "y"), "rep_b").select("x", "y")
-    tail = members.join(sizes.where(f"n > {COPIES}").select("rep"), "rep").where("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    tail = sized.where((F.col("n") > COPIES) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
     within = heads.toDF("rep", "x").join(heads.toDF("rep", "y"), "rep").where("x < y").select("x", "y")
     pairs = across.unionByName(within).unionByName(tail)
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
-
-def _heads(members: DataFrame) -> DataFrame:
-    """The first COPIES ids of each class; only the first one of a class that has more."""
-    sized = members.groupBy("rep").agg(F.count("*").alias("n"))
-    small = members.join(sized.where(f"n <= {COPIES}"), "rep").groupBy("rep").agg(F.collect_list("id").alias("head"), F.first("n").alias("n"))
-    return small.unionByName(sized.where(f"n > {COPIES}").select("rep", F.array("rep").alias("head"), "n"))
