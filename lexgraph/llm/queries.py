@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that register queries (QUERIES) and SQL twins (ORACLE).
-PARTS = ("tokens", "split", "sentences", "markup", "neardup", "knn", "survivor", "packing")
+PARTS = ("tokens", "split", "sentences", "markup", "neardup", "knn", "survivor", "packing", "scanned")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
