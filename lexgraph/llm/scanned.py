@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from ..functions.arrowmap import add_columns
 from ..runtime import cut
 
-#: Counters of the two sketches (two rows each), the proven bound on what is broadcast: 8 MB and 16 MB.
+#: Counters of the sketches (two rows each) of words, their keys and pairs, the proven bound on what is broadcast:
+#: 8, 8 and 16 MB.
 WORDS, PAIRS = 1 << 20, 1 << 21
 #: Bits of the set of running lines.
 LINES = 1 << 22
@@ -38,8 +39,10 @@ CONFUSIONS = {
     "8": [("b", 0.02)], "6": [("b", 0.02)], "9": [("g", 0.02)], "3": [("e", 0.01)], "$": [("s", 0.1)], "€": [("e", 0.05)], "¢": [("c", 0.1)],
     "ﬁ": [("fi", 0.3)], "ﬂ": [("fl", 0.3)], "ﬀ": [("ff", 0.3)], "ﬃ": [("ffi", 0.3)], "ﬄ": [("ffl", 0.3)],
     "c": [("e", 0.02)], "e": [("c", 0.005)], "rn": [("m", 0.02)], "m": [("rn", 0.005)], "cl": [("d", 0.02)], "d": [("cl", 0.005)],
-    "li": [("h", 0.02)], "h": [("li", 0.01), ("b", 0.002)], "ii": [("u", 0.02)], "vv": [("w", 0.02)], "nn": [("m", 0.002)], "in": [("m", 0.002)], "ni": [("m", 0.002)],
+    "li": [("h", 0.02)], "h": [("li", 0.01)], "ii": [("u", 0.02)], "vv": [("w", 0.02)],
 }
+#: What each character is written as in a word's key, so that a word and all its misreadings have the same key.
+_KEY = str.maketrans({"†": "t", "|": "i", "1": "i", "l": "i", "0": "o", "5": "s", "8": "b", "6": "b", "9": "g", "3": "e", "c": "e", "¢": "e", "€": "e", "$": "s", "d": "ei", "h": "ii", "u": "ii", "m": "rn", "w": "vv", "ﬁ": "fi", "ﬂ": "fi", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffi"})
 _SIGNS = {k: [(m, math.log(q)) for m, q in v] for k, v in CONFUSIONS.items() if not k.isalpha() or not k.isascii()}
 _ONE = {k: [(m, math.log(q)) for m, q in v] for k, v in CONFUSIONS.items() if len(k) == 1 and k not in _SIGNS}
 _TWO = {k: [(m, math.log(q)) for m, q in v] for k, v in CONFUSIONS.items() if len(k) == 2}
@@ -53,6 +56,8 @@ _SPACED = re.compile(rf"(?<![\w])(?:{_LETTERS} ){{3,}}{_LETTERS}(?!\w)(?:-{_LETT
 _PAGE = re.compile(
     r"(?:[-–—~\[(]\s*)?(?:(?:page|pg\.?|p\.|seite)\s*)?\d{1,4}(?:\s*(?:/|of|von)\s*\d{1,4})?(?:\s*[-–—~\])])?|\d{1,4}\s*\|\s*p\s*a\s*g\s*e|(?=[ivxlc])(?:x{0,4}c?l?x{0,4}(?:ix|iv|v?i{0,3}))|page\s+[ivxlc]+", re.I
 )
+_MAYBE_CUT = re.compile(r"[-¬\xad][^\S\n]*\n").search
+_MAYBE_SPACED = re.compile(rf" {_LETTERS} {_LETTERS} {_LETTERS}").search
 _STOP = re.compile(r"[.!?:;…][\"'”’»)\]]*\Z").search
 _BULLET = re.compile(r"(?:[-–—•*·▪‣]|[(]?(?:\d{1,3}(?:\.\d{1,3})*|[A-Za-z]|[ivxIVX]{1,5})[.)]|\d{1,3}(?:\.\d{1,3})+)\s").match
 
@@ -124,6 +129,7 @@ class Corpus:
     """Counts over all texts, in tables of fixed size."""
 
     words: np.ndarray
+    keys: np.ndarray
     pairs: np.ndarray
     lines: np.ndarray
     total: int
@@ -150,6 +156,7 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
 
         def flush() -> pa.RecordBatch:
             ws = np.zeros(WORDS * 2, np.int64)
+            ks = np.zeros(WORDS * 2, np.int64)
             ps = np.zeros(PAIRS * 2, np.int64)
             n = sum(words.values())
             parts: Counter = Counter()
@@ -162,14 +169,17 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
                 a, b = _cells(_hash(w), WORDS)
                 ws[a] += c
                 ws[WORDS + b] += c
+                a, b = _cells(_hash(w.translate(_KEY)), WORDS)
+                ks[a] += c
+                ks[WORDS + b] += c
             for (v, w), c in pairs.items():
                 a, b = _cells(_hash(v + " " + w), PAIRS)
                 ps[a] += c
                 ps[PAIRS + b] += c
-            wi, pi = np.flatnonzero(ws), np.flatnonzero(ps)
-            kind = np.concatenate([np.zeros(len(wi), np.int32), np.ones(len(pi), np.int32), np.full(1, 3, np.int32)])
-            k1 = np.concatenate([wi, pi, [0]])
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(k1.astype(np.int64)), pa.array(np.zeros(len(k1), np.int64)), pa.array(np.concatenate([ws[wi], ps[pi], [n]]))], ["kind", "k1", "k2", "n"])
+            wi, pi, ki = np.flatnonzero(ws), np.flatnonzero(ps), np.flatnonzero(ks)
+            kind = np.concatenate([np.zeros(len(wi), np.int32), np.ones(len(pi), np.int32), np.full(1, 3, np.int32), np.full(len(ki), 4, np.int32)])
+            k1 = np.concatenate([wi, pi, [0], ki])
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(k1.astype(np.int64)), pa.array(np.zeros(len(k1), np.int64)), pa.array(np.concatenate([ws[wi], ps[pi], [n], ks[ki]]))], ["kind", "k1", "k2", "n"])
 
         for b in batches:
             seen: list[tuple[int, int, int]] = []
@@ -188,12 +198,13 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
 
     seen = cut(texts.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInArrow(run, "kind int, k1 long, k2 long, n long"))
     cells = seen.where("kind <> 2").groupBy("kind", "k1").agg(F.sum("n").alias("n"))
-    ws, ps, total = np.zeros(WORDS * 2, np.uint32), np.zeros(PAIRS * 2, np.uint32), 0
+    ws, ks, ps = np.zeros(WORDS * 2, np.uint32), np.zeros(WORDS * 2, np.uint32), np.zeros(PAIRS * 2, np.uint32)
     got = cells.select((F.col("kind") * F.lit(1 << 32) + F.col("k1")).alias("k"), F.least("n", F.lit(2**32 - 1)).alias("n")).toArrow()  # at most one row per counter
     k, n = got.column("k").to_numpy(), got.column("n").to_numpy()
     kind, at = k >> 32, k & (1 << 32) - 1
     ws[at[kind == 0]] = n[kind == 0]
     ps[at[kind == 1]] = n[kind == 1]
+    ks[at[kind == 4]] = n[kind == 4]
     total = int(n[kind == 3].sum())
     # A line counts once for each surrounding, so that copies of a text don't make their lines recur.
     places = seen.where("kind = 2").groupBy("k1", "k2").agg(F.max("n").alias("n"))
@@ -201,13 +212,14 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
     bits = recur.select(F.col("k1").bitwiseAND(F.lit(LINES - 1)).alias("b")).distinct().toArrow()  # at most LINES rows
     flags = np.zeros(LINES, np.uint8)
     flags[bits.column("b").to_numpy()] = 1
-    return Corpus(ws.reshape(2, -1), ps.reshape(2, -1), np.packbits(flags, bitorder="little"), total)
+    return Corpus(ws.reshape(2, -1), ks.reshape(2, -1), ps.reshape(2, -1), np.packbits(flags, bitorder="little"), total)
 
 
 class Repairer:
     def __init__(self, corpus: Corpus) -> None:
         self.corpus = corpus
         self.first, self.second = memoryview(corpus.words[0].copy()), memoryview(corpus.words[1].copy())
+        self.third, self.fourth = memoryview(corpus.keys[0].copy()), memoryview(corpus.keys[1].copy())
         #: Words more frequent than this are no misreadings.
         self.most = max(50 * KNOWN, corpus.total * 3e-5)
         self.known: dict[str, int] = {}
@@ -266,7 +278,9 @@ class Repairer:
         letters = sum(c.isalpha() for c in w)
         if letters >= 2 and len(w) >= 4 and len(w) <= 40 and not (odd and letters < len(w) / 2):
             n = 0 if odd else self.count(w)
-            if n < self.most:
+            a, b = _cells(_hash(w.translate(_KEY)), WORDS)
+            rest = min(self.third[a], self.fourth[b]) - n  # of all words that could be read so
+            if n < self.most and rest >= KNOWN and rest >= ODDS * n:
                 # Two confusions in a word are tried if one doesn't explain it and the word isn't known itself.
                 for depth in (0, 1, 2) if odd else (1, 2)[: 2 if n < KNOWN else 1]:
                     found = []
@@ -369,7 +383,7 @@ class Repairer:
                 traces += 1
                 return w
 
-            closed = _CUT.sub(close, body)
+            closed = _CUT.sub(close, body) if _MAYBE_CUT(body) else body
         else:
             closed = body
 
@@ -381,7 +395,8 @@ class Repairer:
                 return w
             return m[0]
 
-        closed = _SPACED.sub(unspace, closed)
+        if _MAYBE_SPACED(closed):
+            closed = _SPACED.sub(unspace, closed)
         out = closed.split("\n")
         suspects = [t for t in set(_TOKEN.findall(closed)) if self.candidates(t)]
         for k, line in enumerate(out) if suspects else ():
