@@ -50,7 +50,7 @@ def similar(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0
                 m = min(k, s.shape[1])
                 edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
                 a, c = np.nonzero((s >= edge[:, None]) & (s >= least))
-                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(xi[c]), pa.array(s[a, c])], ["query", "other", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(qi[a], b.schema.field(0).type), pa.array(xi[c], b.schema.field(0).type), pa.array(s[a, c])], ["query", "other", "cosine"])
 
         parts.append(vectors.select(key, vec).mapInArrow(run, f"query {kind}, other {kind}, cosine double"))
     near = parts[0]
