@@ -27,7 +27,7 @@ SIMILARITY, LEAST_WORDS, MOST_CHARS = Fraction(7, 10), 30, 1800
 COUNTERS = 1 << 18
 #: Most entries of an index list that one group compares; longer lists are cut into chunks compared pairwise.
 CHUNK = 4096
-#: Copies of one set up to this number are paired with each other; beyond, each is paired with the first.
+#: Exact copies of one title and text up to this number are paired with each other; beyond, each is paired with the first.
 COPIES = 50
 #: Rows of a list compared at once.
 ROWS = 128
@@ -48,11 +48,13 @@ class _Hashes(dict):
         return got
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray]]]:
-    """For each batch, the rows that take part and their distinct word hashes."""
+def _sets(batches: Iterator[pa.RecordBatch], exact: bool = False) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray], list[bytes]]]:
+    """For each batch, the rows that take part, their distinct word hashes and, if wanted, keys of equal title and text."""
+    import xxhash
+
     hashes = _Hashes()
     for b in batches:
-        keep, sets = [], []
+        keep, sets, copies = [], [], []
         titles, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
         for i, (title, text) in enumerate(zip(titles, texts)):
             if text is None or len(text.split()) < LEAST_WORDS:
@@ -61,7 +63,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             if words:
                 keep.append(i)
                 sets.append(np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
-        yield b, keep, sets
+                if exact:
+                    copies.append(xxhash.xxh3_128_digest(f"{'' if title is None else len(title)}:{title or ''}{text}".encode("utf-8", "surrogatepass")))
+        yield b, keep, sets, copies
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -73,7 +77,7 @@ def word_counts(src: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for _, _, sets in _sets(batches):
+        for _, _, sets, _ in _sets(batches):
             if sets:
                 total += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
         at = np.flatnonzero(total)
@@ -86,13 +90,13 @@ def word_counts(src: DataFrame) -> np.ndarray:
 
 
 def as_sets(src: DataFrame, counts) -> DataFrame:
-    """id, n, words (hashes, rare first), signature (four longs), same (key of equal sets), core (without the rarest)."""
+    """id, n, words (hashes, rare first), signature (four longs), same (key of equal sets), core (without the rarest), copy (key of equal title and text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         freq = counts.value
-        for b, keep, sets in _sets(batches):
+        for b, keep, sets, copies in _sets(batches, True):
             if not keep:
                 continue
             n, flat, marks, same, core = [], [], np.zeros((len(keep), 4), np.uint64), [], []
@@ -109,11 +113,11 @@ def as_sets(src: DataFrame, counts) -> DataFrame:
             words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
             signs = marks.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keep)), pa.array(n, pa.int32()), words, *(pa.array(signs[:, j].copy()) for j in range(4)), pa.array(same, pa.binary()), pa.array(core, pa.binary())],
-                ["id", "n", "words", "s0", "s1", "s2", "s3", "same", "core"],
+                [b.column(0).take(pa.array(keep)), pa.array(n, pa.int32()), words, *(pa.array(signs[:, j].copy()) for j in range(4)), pa.array(same, pa.binary()), pa.array(core, pa.binary()), pa.array(copies, pa.binary())],
+                ["id", "n", "words", "s0", "s1", "s2", "s3", "same", "core", "copy"],
             )
 
-    return src.mapInArrow(run, "id string, n int, words array<long>, s0 long, s1 long, s2 long, s3 long, same binary, core binary")
+    return src.mapInArrow(run, "id string, n int, words array<long>, s0 long, s1 long, s2 long, s3 long, same binary, core binary, copy binary")
 
 
 def _need(total: np.ndarray | int, t: Fraction = SIMILARITY):
@@ -244,14 +248,15 @@ def _candidates(postings: DataFrame) -> DataFrame:
 def near_duplicate_sets(src: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes and links of the records in src(id, title, text).
 
-    members: id, rep - each record that takes part and the first record (smallest id) with the same set of words.
+    members: id, rep, copy - each record that takes part, the first record (smallest id) with the same set of words, and
+    a key of equal title and text.
     links: rep_a < rep_b - pairs of different sets with a similarity of at least 0.7. No link is lost.
     """
     spark = src.sparkSession
     counts = spark.sparkContext.broadcast(word_counts(src))
     sets = cut(as_sets(src, counts))
     classes = sets.groupBy("same").agg(F.min("id").alias("rep"))
-    members = sets.select("id", "same").join(classes, "same").select("id", "rep")
+    members = sets.select("id", "same", "copy").join(classes, "same").select("id", "rep", "copy")
     reps = sets.join(classes, (sets["same"] == classes["same"]) & (sets["id"] == classes["rep"]), "left_semi")
     reps = cut(reps.dropDuplicates(["id"]).withColumn("key", F.xxhash64("same")))
     families = reps.groupBy("core").agg(F.min("key").alias("leader"), F.count("*").alias("size"))
@@ -284,21 +289,26 @@ def prepare(df: DataFrame, key: str = "id", title: str = "title", text: str = "t
     return src.where((F.length("text") > 0) & (F.char_length("text") <= MOST_CHARS))
 
 
-def near_duplicate_pairs(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at") -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at", copies: int | None = COPIES) -> DataFrame:
     """id_a < id_b: all pairs of records whose word sets are similar by 0.7 or more.
 
     Records without an id, with null or empty text, with fewer than 30 words or more than 1,800 characters don't take
-    part; of several deliveries of one id the latest counts. Copies of one set are paired with each other up to COPIES
-    of them; the rest of a larger class is paired with the class's first record only, which loses no link between
-    different texts. Other columns are ignored.
+    part; of several deliveries of one id the latest counts. Records of different title or text are always paired,
+    also when their sets are equal. Exact copies (equal title and text) are paired with each other if there are at
+    most `copies` of them, None for always; of a larger number the first stands for all, the rest are paired with it
+    only. Other columns are ignored.
     """
     members, links = near_duplicate_sets(prepare(df, key, title, text, loaded))
     members = cut(members)
-    sized = members.join(members.groupBy("rep").agg(F.count("*").alias("n")), "rep")
-    heads = sized.where((F.col("n") <= COPIES) | (F.col("id") == F.col("rep"))).select("rep", "id")
+    if copies is None:
+        heads, tail = members.select("rep", "id"), None
+    else:
+        sized = members.join(members.groupBy("rep", "copy").agg(F.count("*").alias("n"), F.min("id").alias("first")), ["rep", "copy"])
+        heads = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("first"))).select("rep", "id")
+        tail = sized.where((F.col("n") > copies) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
     across = links.join(heads.toDF("rep_a", "x"), "rep_a").join(heads.toDF("rep_b", "y"), "rep_b").select("x", "y")
-    tail = sized.where((F.col("n") > COPIES) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
     within = heads.toDF("rep", "x").join(heads.toDF("rep", "y"), "rep").where("x < y").select("x", "y")
-    pairs = across.unionByName(within).unionByName(tail)
+    pairs = across.unionByName(within)
+    if tail is not None:
+        pairs = pairs.unionByName(tail)
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
-

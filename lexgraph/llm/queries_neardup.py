@@ -9,7 +9,7 @@ from . import neardup
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_pairs(table(spark, d, "node")).withColumnsRenamed({"id_a": "node_id_a", "id_b": "node_id_b"})
+    return neardup.near_duplicate_pairs(table(spark, d, "node"), copies=None).withColumnsRenamed({"id_a": "node_id_a", "id_b": "node_id_b"})
 
 
 QUERIES = {"p4_found": p4_found}

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lexgraph.llm import bpe, knn, markup, neardup, packing, scanned, sentences, split, survivor
 from lexgraph.runtime import tokenizer_path
 
@@ -96,6 +97,18 @@ def test_near_duplicates_of_many_copies(spark):
     assert len(got) == 80 and ("c000", "d") in got and ("c000", "c079") in got
 
 
+def test_near_duplicates_of_equal_sets_and_different_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(f"c{i:02}", "", " ".join(words[i:] + words[:i])) for i in range(55)] + [("d", "", " ".join([*words, "other"]))] + [(f"x{i:02}", "T", " ".join(words)) for i in range(55)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id string, title string, text string, loaded_at int")
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(df.where("title = ''")).collect()}
+    assert got == pairs_by_force(rows[:56]) and len(got) == 56 * 55 // 2
+    # The query names every pair, those between exact copies too.
+    df.write.parquet(str(tmp_path / "node.parquet"))
+    got = {tuple(r) for r in entry.queries()["p4_found"](spark, str(tmp_path)).collect()}
+    assert got == pairs_by_force(rows) and len(got) == 111 * 110 // 2
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1200, 16))
