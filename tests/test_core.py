@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lexgraph.functions import text as X
 from lexgraph.operators import analytics, enrich, orphans, reporting, search, semantic, store, traverse
 from lexgraph.sources import files, html
@@ -70,6 +71,17 @@ def test_traversal(spark):
     assert traverse.walks(e, "n003", 2).count() == 5
 
 
+def test_whole_graph_queries(spark, tmp_path):
+    n = 8
+    kinds = ("amends", "contains", "references", "shares_defined_term")
+    edges = spark.createDataFrame([(f"e{i}", f"n{i}", f"n{i + 1}", kinds[i % 4], "m", 1.0, "", T0) for i in range(n)] + [(f"h{i}", "n0", f"leaf{i}", "uses", "m", 1.0, "", T0) for i in range(5)], EDGE + ", loaded_at timestamp_ntz")
+    edges.write.parquet(str(tmp_path / "edge.parquet"))
+    nodes = [("n0", "rule"), *((f"n{i}", "chapter") for i in range(1, n + 1)), ("alone", "chapter")]
+    spark.createDataFrame([(*x, T0) for x in nodes], "id string, node_type string, loaded_at timestamp_ntz").write.parquet(str(tmp_path / "node.parquet"))
+    q = entry.queries()
+    assert rows(q["components_sizes_all"](spark, str(tmp_path))) == [("alone", 1), ("leaf0", n + 6)]
+
+
 def test_roll_up(spark):
     e = spark.createDataFrame([("c1", "doc", "sec", "contains", "m", 1.0, ""), ("c2", "sec", "par", "contains", "m", 1.0, ""), ("c3", "sec", "par2", "contains", "m", 1.0, ""), ("r1", "rule", "par", "references", "m", 0.7, ""), ("r2", "rule", "par2", "references", "m", 0.9, "")], EDGE)
     n = spark.createDataFrame([("doc", "guidance_document"), ("sec", "s"), ("par", "p"), ("par2", "p")], "id string, node_type string")
