@@ -73,26 +73,37 @@ def walks(edges: DataFrame, start: str, steps: int = 3) -> DataFrame:
     return seen
 
 
-def shortest_path_lengths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
-    """source, target, length: fewest undirected hops, null if there is no path within `most`.
+def shortest_path_lengths(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """source, target, length: fewest undirected hops, null if there is no path (with `most`: none of so many hops).
 
-    Both ends of each pair grow a ball of half the length; they meet in the middle.
+    The ends of the pairs that are still open grow balls, the smaller frontier first, until these meet or one of them
+    has no frontier left. Balls meet first on both frontiers, so only those are held.
     """
-    sym = symmetric(edges).distinct().where("node <> other")
-    half, other_half = -(-most // 2), most // 2
-
-    def ball(end: str, radius: int) -> DataFrame:
-        seen = pairs.select(F.col(end).alias("end")).distinct().select("end", F.col("end").alias("node"), F.lit(0).alias("h"))
-        front = seen
-        for k in range(1, radius + 1):
-            front = front.join(sym, "node").select("end", F.col("other").alias("node")).distinct().join(seen, ["end", "node"], "left_anti").withColumn("h", F.lit(k))
-            seen = seen.unionByName(front)
-        return cut(seen)
-
-    a = ball("source", half).toDF("source", "node", "ha")
-    b = ball("target", other_half).toDF("target", "node", "hb")
-    met = pairs.join(a, "source").join(b, ["target", "node"]).groupBy("source", "target").agg(F.min(F.col("ha") + F.col("hb")).alias("length"))
-    return pairs.join(met, ["source", "target"], "left").select("source", "target", "length")
+    sym = cut(symmetric(edges).distinct().where("node <> other"))
+    left = cut(pairs.select("source", "target").distinct())
+    ends, found = ("source", "target"), None
+    front = {e: cut(left.select(F.col(e).alias("end"), F.col(e).alias("node")).distinct()) for e in ends}
+    groups = {e: max(front[e].count(), 1) for e in ends}
+    rows, before, hops = dict(groups), {e: front[e].limit(0) for e in ends}, 0
+    while True:
+        near, far = sorted(ends, key=lambda e: rows[e] / groups[e])
+        met = left.join(front[near].withColumnRenamed("end", near), near).join(front[far].withColumnRenamed("end", far), [far, "node"]).select(*ends).distinct()
+        met = cut(met.withColumn("length", F.lit(hops)))
+        found = met if found is None else found.unionByName(met)
+        if hops == most:
+            break
+        left = left.join(met, list(ends), "left_anti")
+        for e in ends:
+            left = left.join(front[e].select(F.col("end").alias(e)).distinct(), e, "left_semi")
+        left = cut(left)
+        if left.isEmpty():
+            break
+        e = min(ends, key=rows.get)
+        grown = front[e].join(left.select(F.col(e).alias("end")).distinct(), "end", "left_semi").join(sym, "node").select("end", F.col("other").alias("node")).distinct()
+        # A neighbour of a level lies in that level, the one before or the next.
+        grown = cut(grown.join(front[e].unionByName(before[e]), ["end", "node"], "left_anti"))
+        before[e], front[e], hops, rows[e] = front[e], grown, hops + 1, grown.count()
+    return pairs.join(found, list(ends), "left").select("source", "target", "length")
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:

@@ -67,6 +67,12 @@ def shortest_path_len(s: SparkSession, d: str) -> DataFrame:
     return T.shortest_path_lengths(edges(s, d).where("edge_type in ('contains', 'references')"), pairs, 6)
 
 
+def shortest_path_len_all(s: SparkSession, d: str) -> DataFrame:
+    """As shortest_path_len, over edges of every type and any number of hops: null means unreachable."""
+    n = nodes(s, d).where("node_type in ('chapter', 'guidance_section')").select("id")
+    return T.shortest_path_lengths(edges(s, d), n.select(F.lit(_hub(s, d)).alias("source"), F.col("id").alias("target")))
+
+
 def components_sizes(s: SparkSession, d: str) -> DataFrame:
     c = T.components(edges(s, d).where("edge_type in ('amends', 'contains')"), nodes(s, d))
     return c.groupBy("component").agg(F.count("*").alias("n"))
@@ -129,7 +135,7 @@ def _hops(depth: int, limit: int, where: str = "true") -> str:
 
 _AROUND = "select s.id, s.depth, node_type, title from seen{k} s join n on n.id = s.id"
 
-QUERIES = {f.__name__: f for f in (neighbourhood_1, neighbourhood_2, neighbourhood_explicit, neighbourhood_edges, induced_subgraph, descendants_recursive, contents_tree, impact_walk, shortest_path_len, components_sizes, components_sizes_all, common_neighbours, interesting_connections, guidance_rollup, natural_sort_keys)}
+QUERIES = {f.__name__: f for f in (neighbourhood_1, neighbourhood_2, neighbourhood_explicit, neighbourhood_edges, induced_subgraph, descendants_recursive, contents_tree, impact_walk, shortest_path_len, shortest_path_len_all, components_sizes, components_sizes_all, common_neighbours, interesting_connections, guidance_rollup, natural_sort_keys)}
 _SIMPLE = "simple as materialized (select distinct least(from_node_id, to_node_id) a, greatest(from_node_id, to_node_id) b from e where from_node_id <> to_node_id), sy as materialized (select a node, b other from simple union select b, a from simple)"
 _DOWN = "parts as (select distinct from_node_id, to_node_id from e where edge_type = 'contains'), dn as (select id root, id, 0 depth from n where node_type = 'part' union select dn.root, p.to_node_id, dn.depth + 1 from dn join parts p on p.from_node_id = dn.id where dn.depth < {levels})"
 _ROMAN = "(list_reduce(list_prepend(0, list_transform(range(1, length({r}) + 1), lambda i: case when i < length({r}) and (map{{'I':1,'V':5,'X':10,'L':50,'C':100,'D':500,'M':1000}})[upper({r})[i+1]] > (map{{'I':1,'V':5,'X':10,'L':50,'C':100,'D':500,'M':1000}})[upper({r})[i]] then -(map{{'I':1,'V':5,'X':10,'L':50,'C':100,'D':500,'M':1000}})[upper({r})[i]] else (map{{'I':1,'V':5,'X':10,'L':50,'C':100,'D':500,'M':1000}})[upper({r})[i]] end)), lambda a, b: a + b))"

@@ -1,6 +1,7 @@
 """Core operators on small hand-made tables."""
 
 import json
+import random
 import zipfile
 from datetime import datetime
 
@@ -71,6 +72,34 @@ def test_traversal(spark):
     assert traverse.walks(e, "n003", 2).count() == 5
 
 
+def by_force(e):
+    """Hops from each node, by breadth-first search over all edges."""
+    near = {}
+    for r in e.collect():
+        near.setdefault(r["from_node_id"], set()).add(r["to_node_id"])
+        near.setdefault(r["to_node_id"], set()).add(r["from_node_id"])
+    out = {}
+    for a in near:
+        out[a], front = {a: 0}, [a]
+        while front:
+            x = front.pop(0)
+            for y in near[x] - set(out[a]):
+                out[a][y] = out[a][x] + 1
+                front.append(y)
+    return out
+
+
+def test_paths_of_any_length(spark):
+    rng = random.Random(4)
+    e = chain(spark, 9).unionByName(spark.createDataFrame([(f"r{i}", f"m{rng.randrange(30):02}", f"m{rng.randrange(30):02}", "t", "m", 1.0, "") for i in range(32)], EDGE))
+    hops = by_force(e)
+    ids = sorted(hops)
+    ends = [("n000", x) for x in ids] + [(a, b) for a in ids[:6] for b in ids[::3]] + [("n000", "no"), ("no", "n000"), (None, "n000")]
+    pairs = spark.createDataFrame(ends, "source string, target string").distinct()
+    got = {(r["source"], r["target"]): r["length"] for r in traverse.shortest_path_lengths(e, pairs).collect()}
+    assert got == {(a, b): hops.get(a, {}).get(b) for a, b in ends} and got["n000", "n009"] == 9
+
+
 def test_whole_graph_queries(spark, tmp_path):
     n = 8
     kinds = ("amends", "contains", "references", "shares_defined_term")
@@ -80,6 +109,8 @@ def test_whole_graph_queries(spark, tmp_path):
     spark.createDataFrame([(*x, T0) for x in nodes], "id string, node_type string, loaded_at timestamp_ntz").write.parquet(str(tmp_path / "node.parquet"))
     q = entry.queries()
     assert rows(q["components_sizes_all"](spark, str(tmp_path))) == [("alone", 1), ("leaf0", n + 6)]
+    got = {r["target"]: r["length"] for r in q["shortest_path_len_all"](spark, str(tmp_path)).collect()}
+    assert got == {"alone": None} | {f"n{i}": i for i in range(1, n + 1)}
 
 
 def test_roll_up(spark):
