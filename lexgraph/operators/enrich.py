@@ -76,10 +76,16 @@ THRESHOLDS = {
 }
 
 
-def thresholds(nodes: DataFrame, most: int = 8) -> DataFrame:
-    """id, sentence_no, kind, found: quantitative limits by class in each sentence, at most eight values of a class."""
-    s = nodes.where(F.length("text") > 0).select("id", F.posexplode(F.split("text", r"\. (?=[A-Z(])")).alias("sentence_no", "sentence")).where("length(sentence) <= 900")
-    parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.array_join(F.slice(F.regexp_extract_all("sentence", F.lit(p), F.lit(0)), 1, most), "|").alias("found")) for k, p in THRESHOLDS.items()))
+def thresholds(nodes: DataFrame, most: int | None = None, longest: int | None = None) -> DataFrame:
+    """id, sentence_no, kind, found: quantitative limits by class in each sentence, all values of a class.
+
+    most: only the first so many values of a class; longest: only sentences of at most so many characters.
+    """
+    s = nodes.where(F.length("text") > 0).select("id", F.posexplode(F.split("text", r"\. (?=[A-Z(])")).alias("sentence_no", "sentence"))
+    if longest is not None:
+        s = s.where(F.length("sentence") <= longest)
+    first = (lambda c: c) if most is None else lambda c: F.slice(c, 1, most)
+    parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.array_join(first(F.regexp_extract_all("sentence", F.lit(p), F.lit(0))), "|").alias("found")) for k, p in THRESHOLDS.items()))
     return s.select("id", "sentence_no", F.explode(parts).alias("t")).select("id", "sentence_no", "t.kind", "t.found").where("found <> ''")
 
 

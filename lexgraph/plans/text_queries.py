@@ -126,11 +126,20 @@ def title_match_edges(s: SparkSession, d: str) -> DataFrame:
     return n.where("node_type <> 'part'").select("id", X.clean_text(F.lower("title")).alias("t")).join(parts, "t").select("id", "part_id")
 
 
-def quant_thresholds(s: SparkSession, d: str) -> DataFrame:
-    t = E.thresholds(nodes(s, d))
+def _by_kind(t: DataFrame) -> DataFrame:
     return t.groupBy("kind").agg(F.count("*").alias("n_sentences"), F.countDistinct("id").alias("n_nodes"), F.countDistinct("found").alias("n_values"))
 
 
+def quant_thresholds(s: SparkSession, d: str) -> DataFrame:
+    """With the limits of its SQL twin: sentences of at most 900 characters, eight values of a class."""
+    return _by_kind(E.thresholds(nodes(s, d), 8, 900))
+
+
+def quant_thresholds_all(s: SparkSession, d: str) -> DataFrame:
+    """Over whole texts, with all values."""
+    return _by_kind(E.thresholds(nodes(s, d)))
+
+
 def monetary_thresholds(s: SparkSession, d: str) -> DataFrame:
     """Currency limits with stable candidate ids; example and accounting sentences are left out."""
     t = nodes(s, d).where(F.length("text") > 0).select("id", F.explode(F.split("text", r"\. (?=[A-Z(])")).alias("sentence"))
@@ -203,7 +212,7 @@ def heading_paths(s: SparkSession, d: str) -> DataFrame:
     return sp.select("span_id", head.alias("heading"), F.size(F.split(F.coalesce("heading_path", F.lit("")), " > ")).alias("levels"))
 
 
-QUERIES = {f.__name__: f for f in (schema_catalog, table_rows_search, list_nodes_page, unified_nodes_page, unified_edges_page, search_ilike, snippets, search_bm25, unified_search, canonical_documents, canonical_paragraphs, canonical_reason_counts, shared_term_edges, shared_obligation_edges, rollup_child_edges, regex_obligations, obligation_patterns, regex_rule_references, legal_citations, title_match_edges, quant_thresholds, monetary_thresholds, evidence_backfill, alias_merge_rewire, section_merge_pairs, url_normalise, source_classify_dedupe, link_extract, id_hashes, roman_numerals, reference_resolution, heading_paths)}
+QUERIES = {f.__name__: f for f in (schema_catalog, table_rows_search, list_nodes_page, unified_nodes_page, unified_edges_page, search_ilike, snippets, search_bm25, unified_search, canonical_documents, canonical_paragraphs, canonical_reason_counts, shared_term_edges, shared_obligation_edges, rollup_child_edges, regex_obligations, obligation_patterns, regex_rule_references, legal_citations, title_match_edges, quant_thresholds, quant_thresholds_all, monetary_thresholds, evidence_backfill, alias_merge_rewire, section_merge_pairs, url_normalise, source_classify_dedupe, link_extract, id_hashes, roman_numerals, reference_resolution, heading_paths)}
 
 _DS = "ds as (select * from document_source qualify row_number() over (partition by id order by loaded_at desc) = 1)"
 _META = "case when json_valid(metadata_json) then metadata_json->>'$.{}' end"

@@ -113,6 +113,14 @@ def test_whole_graph_queries(spark, tmp_path):
     assert got == {"alone": None} | {f"n{i}": i for i in range(1, n + 1)}
 
 
+def test_thresholds_of_long_sentences(spark, tmp_path):
+    text = "The firm holds " + "some words and " * 80 + " and ".join(f"{i} per cent" for i in range(12))
+    n = spark.createDataFrame([("a", text, T0), ("b", "Within 10 days.", T0)], "id string, text string, loaded_at timestamp_ntz")
+    assert {(r["id"], r["kind"]): len(r["found"].split("|")) for r in enrich.thresholds(n).collect()} == {("a", "percentage"): 12, ("b", "period"): 1}
+    n.write.parquet(str(tmp_path / "node.parquet"))
+    assert rows(entry.queries()["quant_thresholds_all"](spark, str(tmp_path))) == [("percentage", 1, 1, 1), ("period", 1, 1, 1)]
+
+
 def test_roll_up(spark):
     e = spark.createDataFrame([("c1", "doc", "sec", "contains", "m", 1.0, ""), ("c2", "sec", "par", "contains", "m", 1.0, ""), ("c3", "sec", "par2", "contains", "m", 1.0, ""), ("r1", "rule", "par", "references", "m", 0.7, ""), ("r2", "rule", "par2", "references", "m", 0.9, "")], EDGE)
     n = spark.createDataFrame([("doc", "guidance_document"), ("sec", "s"), ("par", "p"), ("par2", "p")], "id string, node_type string")
