@@ -31,12 +31,16 @@ def child_edges_on_container(edges: DataFrame, types: tuple[str, ...], most: int
     return every.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
 
 
-def obligations(nodes: DataFrame, modals: str = MODALS, most: int = 6) -> DataFrame:
-    """id, nth, subject, modal, action, object: the first obligations of each text longer than 40 characters."""
+def obligations(nodes: DataFrame, modals: str = MODALS, most: int | None = None) -> DataFrame:
+    """id, nth, subject, modal, action, object: the obligations of each text longer than 40 characters.
+
+    most: only the first so many of a text.
+    """
     pattern = rf"\b([A-Z][A-Za-z -]{{2,80}}?) ({modals}) (?:not )?([a-z]+) ([^.;:]{{3,140}})"
     names = ("subject", "modal", "action", "object")
     base = nodes.where(F.length("text") > 40).select("id", *(F.regexp_extract_all("text", F.lit(pattern), F.lit(i + 1)).alias(x) for i, x in enumerate(names)))
-    rows = base.select("id", F.posexplode(F.slice(F.arrays_zip(*names), 1, most)).alias("nth", "o"))
+    found = F.arrays_zip(*names)
+    rows = base.select("id", F.posexplode(found if most is None else F.slice(found, 1, most)).alias("nth", "o"))
     return rows.select("id", (F.col("nth") + 1).alias("nth"), *(F.col(f"o.{x}").alias(x) for x in names))
 
 

@@ -69,9 +69,13 @@ def propagate_urls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(best, "id", "left").select("id", F.coalesce("own", "eurl", "nurl").alias("url"), origin.alias("origin"))
 
 
-def clause_obligations(nodes: DataFrame, most: int = 24) -> DataFrame:
-    """id, sentence_no, modal, condition: sentences with a modal among the first of a text, and their first condition clause."""
-    s = nodes.where(F.length("text") > 40).select("id", F.posexplode(F.slice(F.split("text", r"[.;] (?=[A-Z(])"), 1, most)).alias("sentence_no", "sentence"))
+def clause_obligations(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """id, sentence_no, modal, condition: sentences with a modal, and their first condition clause.
+
+    most: only among the first so many sentences of a text.
+    """
+    parts = F.split("text", r"[.;] (?=[A-Z(])")
+    s = nodes.where(F.length("text") > 40).select("id", F.posexplode(parts if most is None else F.slice(parts, 1, most)).alias("sentence_no", "sentence"))
     modal = F.regexp_extract("sentence", r"\b(must|shall|should|may|is required to|are required to)\b", 1)
     cond = F.regexp_extract("sentence", r"(?i)\b(if|where|when|unless|except where|provided that|subject to)\b", 1)
     return s.select("id", "sentence_no", modal.alias("modal"), F.lower(cond).alias("condition")).where("modal <> ''")

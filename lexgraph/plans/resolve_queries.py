@@ -28,15 +28,25 @@ def url_propagation(s: SparkSession, d: str) -> DataFrame:
     return R.propagate_urls(nodes(s, d), edges(s, d))
 
 
+def _by_clause(o: DataFrame) -> DataFrame:
+    return o.groupBy("modal", "condition").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_nodes"))
+
+
 def clause_obligations(s: SparkSession, d: str) -> DataFrame:
-    return R.clause_obligations(nodes(s, d)).groupBy("modal", "condition").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_nodes"))
+    """With the limit of its SQL twin and of the reference: the first 24 sentences of a text."""
+    return _by_clause(R.clause_obligations(nodes(s, d), 24))
+
+
+def clause_obligations_all(s: SparkSession, d: str) -> DataFrame:
+    """Over whole texts."""
+    return _by_clause(R.clause_obligations(nodes(s, d)))
 
 
 def source_segments(s: SparkSession, d: str) -> DataFrame:
     return R.segment_sources(store.latest(table(s, d, "source_span"), "span_id"))
 
 
-QUERIES = {f.__name__: f for f in (resolve_references, staged_reference_edges, url_propagation, clause_obligations, source_segments)}
+QUERIES = {f.__name__: f for f in (resolve_references, staged_reference_edges, url_propagation, clause_obligations, clause_obligations_all, source_segments)}
 _T = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 _BEST = f"""rf as (select id ref_id, source_node_id source_id, coalesce(nullif(trim(target_title), ''), reference_text) tx, target_part_or_document pt, extracted_confidence extracted from llm_reference_resolution qualify row_number() over (partition by id order by loaded_at desc) = 1),
 r as (select ref_id, source_id, extracted, {_T.format('tx')} t, upper(regexp_extract(tx, '\\b([A-Za-z]{{2}}\\d{{1,2}}/\\d{{2}})\\b', 1)) code, regexp_extract(tx, '(\\d+\\.\\d+)', 1) number, {_T.format('pt')} part from rf),

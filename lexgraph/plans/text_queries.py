@@ -101,12 +101,30 @@ def rollup_child_edges(s: SparkSession, d: str) -> DataFrame:
     return E.child_edges_on_container(edges(s, d), ("uses_defined_term", "references", "has_obligation_pattern")).withColumn("confidence", F.round("confidence", 6))
 
 
+def _obligations(s: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    return E.obligations(nodes(s, d), most=most).select("id", "nth", "modal", "action", E.normalised_object(F.col("object")).alias("object"))
+
+
 def regex_obligations(s: SparkSession, d: str) -> DataFrame:
-    return E.obligations(nodes(s, d)).select("id", "nth", "modal", "action", E.normalised_object(F.col("object")).alias("object"))
+    """With the limit of its SQL twin and of the reference: the first six of a text."""
+    return _obligations(s, d, 6)
+
+
+def regex_obligations_all(s: SparkSession, d: str) -> DataFrame:
+    return _obligations(s, d)
 
 
 def obligation_patterns(s: SparkSession, d: str) -> DataFrame:
-    o = E.obligations(nodes(s, d)).withColumn("object", E.normalised_object(F.col("object"))).where("length(object) >= 3")
+    """Of the first six obligations of a text, as in its SQL twin and the reference."""
+    return _patterns(_obligations(s, d, 6))
+
+
+def obligation_patterns_all(s: SparkSession, d: str) -> DataFrame:
+    return _patterns(_obligations(s, d))
+
+
+def _patterns(o: DataFrame) -> DataFrame:
+    o = o.where("length(object) >= 3")
     key = F.concat_ws(":", "modal", "action", "object")
     return o.groupBy(key.alias("pattern")).agg(F.countDistinct("id").alias("n_nodes"), F.min("id").alias("first_id"))
 
@@ -212,7 +230,7 @@ def heading_paths(s: SparkSession, d: str) -> DataFrame:
     return sp.select("span_id", head.alias("heading"), F.size(F.split(F.coalesce("heading_path", F.lit("")), " > ")).alias("levels"))
 
 
-QUERIES = {f.__name__: f for f in (schema_catalog, table_rows_search, list_nodes_page, unified_nodes_page, unified_edges_page, search_ilike, snippets, search_bm25, unified_search, canonical_documents, canonical_paragraphs, canonical_reason_counts, shared_term_edges, shared_obligation_edges, rollup_child_edges, regex_obligations, obligation_patterns, regex_rule_references, legal_citations, title_match_edges, quant_thresholds, quant_thresholds_all, monetary_thresholds, evidence_backfill, alias_merge_rewire, section_merge_pairs, url_normalise, source_classify_dedupe, link_extract, id_hashes, roman_numerals, reference_resolution, heading_paths)}
+QUERIES = {f.__name__: f for f in (schema_catalog, table_rows_search, list_nodes_page, unified_nodes_page, unified_edges_page, search_ilike, snippets, search_bm25, unified_search, canonical_documents, canonical_paragraphs, canonical_reason_counts, shared_term_edges, shared_obligation_edges, rollup_child_edges, regex_obligations, regex_obligations_all, obligation_patterns, obligation_patterns_all, regex_rule_references, legal_citations, title_match_edges, quant_thresholds, quant_thresholds_all, monetary_thresholds, evidence_backfill, alias_merge_rewire, section_merge_pairs, url_normalise, source_classify_dedupe, link_extract, id_hashes, roman_numerals, reference_resolution, heading_paths)}
 
 _DS = "ds as (select * from document_source qualify row_number() over (partition by id order by loaded_at desc) = 1)"
 _META = "case when json_valid(metadata_json) then metadata_json->>'$.{}' end"

@@ -121,6 +121,17 @@ def test_thresholds_of_long_sentences(spark, tmp_path):
     assert rows(entry.queries()["quant_thresholds_all"](spark, str(tmp_path))) == [("percentage", 1, 1, 1), ("period", 1, 1, 1)]
 
 
+def test_obligations_of_long_texts(spark, tmp_path):
+    text = " ".join(f"The Board must approve plan {chr(97 + i)} of the firm." for i in range(26)) + " The Auditor may object unless told."
+    n = spark.createDataFrame([("a", text, T0)], "id string, text string, loaded_at timestamp_ntz")
+    assert enrich.obligations(n).count() == 27 and enrich.obligations(n, most=6).count() == 6
+    n.write.parquet(str(tmp_path / "node.parquet"))
+    q = entry.queries()
+    assert rows(q["clause_obligations_all"](spark, str(tmp_path))) == [("may", "unless", 1, 1), ("must", "", 26, 1)]
+    assert q["regex_obligations_all"](spark, str(tmp_path)).count() == 27
+    assert q["obligation_patterns_all"](spark, str(tmp_path)).count() == 27
+
+
 def test_roll_up(spark):
     e = spark.createDataFrame([("c1", "doc", "sec", "contains", "m", 1.0, ""), ("c2", "sec", "par", "contains", "m", 1.0, ""), ("c3", "sec", "par2", "contains", "m", 1.0, ""), ("r1", "rule", "par", "references", "m", 0.7, ""), ("r2", "rule", "par2", "references", "m", 0.9, "")], EDGE)
     n = spark.createDataFrame([("doc", "guidance_document"), ("sec", "s"), ("par", "p"), ("par2", "p")], "id string, node_type string")
