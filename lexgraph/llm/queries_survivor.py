@@ -16,10 +16,9 @@ def _copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Field by field: every field is a bundle of its own and no dependency is set."""
-    copies = _copies(spark, d)
-    kept = best_bundles(copies, {f: [f] for f in FIELDS}).select("group_id", "field_name", "node_id")
-    return kept.unionByName(surviving_copy(copies, FIELDS).select("group_id", F.lit("record").alias("field_name"), "node_id"))
+    """Field by field and the whole record: a bundle for each field, and one of all fields that is kept whole."""
+    kept = best_bundles(_copies(spark, d), {f: [f] for f in FIELDS} | {"record": FIELDS}, whole=("record",))
+    return kept.select("group_id", F.col("bundle").alias("field_name"), "node_id").distinct()
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +49,22 @@ f as (select group_id, field_name, node_id, row_number() over (partition by grou
 s as (select c.group_id, c.node_id, row_number() over (partition by c.group_id order by (select count(*) from real r where r.group_id = c.group_id and r.node_id = c.node_id) desc, c.rank, c.ts desc, c.node_id) n from c)
 """
 
+_RECORDS = """,
+w as (select group_id, node_id, rank, epoch_us(ts) us, nullif(max(case when field_name = 'document_code' then x end), '') code, max(case when field_name = 'document_type' then x end) typ, max(case when field_name = 'rulebook_date' then x end) dat from real group by all),
+pr as (select distinct group_id, code, dat from w where code is not null and dat is not null),
+dc as (select group_id, node_id, rank, us, code, typ, (code is null)::int + (typ is null)::int lack from w where code is not null or typ is not null),
+dd as (select group_id, node_id, rank, us, dat from w where dat is not null),
+bt as (select coalesce(dc.group_id, dd.group_id) group_id, code, typ, dat, row_number() over (partition by coalesce(dc.group_id, dd.group_id) order by coalesce(lack, 0), coalesce(dc.rank, 0) + coalesce(dd.rank, 0), coalesce(dc.us, 0) + coalesce(dd.us, 0) desc, dc.node_id, dd.node_id) k
+ from dc full join dd on dc.group_id = dd.group_id
+ where dc.code is null or dd.dat is null or exists (select 1 from pr where pr.group_id = dc.group_id and pr.code = dc.code and pr.dat = dd.dat) or not exists (select 1 from pr where pr.group_id = dc.group_id and pr.code = dc.code)),
+fv as (select group_id, max(case when field_name = 'contact_team' then x end) contact_team, max(case when field_name = 'page_count' then x end) page_count from (select r.group_id, r.field_name, r.x, row_number() over (partition by r.group_id, r.field_name order by rank, ts desc, node_id) n from real r) where n = 1 group by 1)
+select s.group_id, s.node_id, bt.code document_code, bt.typ document_type, bt.dat rulebook_date, contact_team, page_count
+from s left join bt on bt.group_id = s.group_id and bt.k = 1 left join fv on fv.group_id = s.group_id where s.n = 1
+"""
+
 QUERIES = {"p5_found": p5_found, "p5_records": p5_records, "p5_canonical": p5_canonical}
 ORACLE = {
     "p5_found": _COPIES + "select group_id, field_name, node_id from f where n = 1 union all select group_id, 'record', node_id from s where n = 1",
+    "p5_records": _COPIES.rstrip() + _RECORDS,
     "p5_canonical": _COPIES + "select s.group_id, s.node_id, cast(s.n = 1 as bigint) is_canonical from s where s.node_id in (select id from canonical_guidance_document)",
 }

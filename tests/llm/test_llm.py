@@ -160,6 +160,64 @@ def test_survivor_keeps_dependencies(spark):
         assert (got["code"], got["kind"]) == want
 
 
+def survivor_by_force(rows, deps):
+    """The cheapest consistent choice of each group: code and kind, with kind depending on code if deps."""
+    from datetime import datetime as D
+    from itertools import product
+
+    out = {}
+    for g in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == g]
+        pairs = {(r[4], r[5]) for r in mine if r[4] and r[5]}
+        options = [[(2**31 if r[2] is None else r[2], -(r[3] - D(1, 1, 1)).total_seconds() if r[3] else 0, r[1], r[k]) for r in mine if r[k]] or [None] for k in (4, 5)]
+        best = None
+        for a, b in product(*options):
+            if deps and a and b and any(x == a[3] for x, _ in pairs) and (a[3], b[3]) not in pairs:
+                continue
+            have = [x for x in (a, b) if x]
+            key = (sum(x[0] for x in have), sum(x[1] for x in have), [x[2] for x in have])
+            if have and (best is None or key < best[0]):
+                best = (key, {(g, f): x[3] for f, x in (("code", a), ("kind", b)) if x})
+        out |= best[1] if best else {}
+    return out
+
+
+def test_survivor_equals_brute_force_in_any_number_of_rounds(spark):
+    from datetime import datetime as D
+
+    rng = random.Random(8)
+    rows = [(g, f"n{g:02}{i:02}", rng.choice([1, 2, 10_000, 20_000, None]), rng.choice([None, D(2024, 1, 1, 10, 0, 5), D(2024, 1, 1, 10, 0, 50), D(2023, 5, 5)]), rng.choice([None, "c1", "c2", "c3"]), rng.choice([None, "k1", "k2", "k3", "k4"]), None) for g in range(40) for i in range(rng.randint(1, 9))]
+    for deps in ([], [survivor.Dependency("code", "kind")]):
+        for first in (1, 64):
+            got = survivor.best_bundles(copies(spark, rows), {"code": ["code"], "kind": ["kind"]}, deps, first=first).collect()
+            assert {(r["group_id"], r["field_name"]): r["value"] for r in got} == survivor_by_force(rows, deps)
+
+
+def test_survivor_ranks_and_times_in_full(spark):
+    from datetime import datetime as D
+
+    df = copies(spark, [(1, "a", 20_000, None, "c1", None, None), (1, "b", 10_000, None, "c2", None, None), (2, "c", 1, D(2024, 1, 1, 10, 0, 5), "c1", None, None), (2, "d", 1, D(2024, 1, 1, 10, 0, 50), "c2", None, None), (3, "e", None, D(2024, 1, 1), "c1", None, None), (3, "f", 2**31 - 1, None, "c2", None, None)])
+    assert {r["group_id"]: r["node_id"] for r in survivor.best_bundles(df, {"code": ["code"]}).collect()} == {1: "b", 2: "d", 3: "f"}
+    assert dict(survivor.surviving_copy(df, ["code", "kind"]).collect()) == {1: "b", 2: "d", 3: "f"}
+
+
+def test_survivor_where_no_whole_is_consistent(spark):
+    # Two determinants of one field that were never seen with the same value of it: one bundle stays empty.
+    df = copies(spark, [(1, "a", 1, None, "c1", "k1", None), (1, "b", 2, None, None, "k2", "t1")])
+    deps = [survivor.Dependency("code", "kind"), survivor.Dependency("team", "kind")]
+    got = {r["field_name"]: r["value"] for r in survivor.best_bundles(df, {"code": ["code"], "kind": ["kind"], "team": ["team"]}, deps).collect()}
+    assert got == {"code": "c1", "kind": "k1"}
+
+
+def test_survivor_values_and_times(spark):
+    values = ["x", " N/A ", "(unknown)", "—", "to be confirmed", "T.B.C.", None, "", "0", "page 3"]
+    times = ["2024-06-01", "01/02/2024", "3 May 2024", "2024-06-01T10:30:00.250Z", "2024-06-01T10:30:00+02:00", "soon", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select(survivor.real_value(F.col("v")))
+    assert [r[0] for r in df.collect()] == ["x", None, None, None, None, None, None, None, "0", "page 3"]
+    got = spark.createDataFrame([(v,) for v in times], "v string").select(survivor.moment(F.col("v")).cast("string"))
+    assert [r[0] for r in got.collect()] == ["2024-06-01 00:00:00", "2024-02-01 00:00:00", "2024-05-03 00:00:00", "2024-06-01 10:30:00.25", "2024-06-01 08:30:00", None, None]
+
+
 def test_scanned(spark):
     clean = ["The custodian must report the quarterly ledger of the firm and value each forward-looking transfer without delay."] * 60
     bad = "The custo-\ndian must rep0rt the quarterly l e d g e r of the\n\fCONSOLIDATED AUDIT TEXT\nfirm and\n- 12 -\nvalue each tranfer"
