@@ -5,30 +5,35 @@ and position, and a pair of blocks is skipped when no pair in it can reach the o
 compared by the bit-parity signatures of the sets, whose distance is a lower bound of the sets' difference. Copies of
 a set, and sets that differ from it in their rarest word only, aren't searched: their answers are derived from those
 of the leader of their family, which is searched with the slack that the difference makes.
+
+Long lists are parted by bands of set size, and words with very long ones have none: two sets whose first common word
+is such a word have a second one in their prefixes too, so they meet in the list of both words.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import cut, shuffle_width
 
 #: Similarity of the join, as an exact fraction; words and characters that a text must have to take part.
 SIMILARITY, LEAST_WORDS, MOST_CHARS = Fraction(7, 10), 30, 1800
-#: Counters of the word frequency sketch: a proven bound on what is broadcast (1 MB).
+#: Counters of the sketches of list lengths: a proven bound on what is broadcast (4 MB).
 COUNTERS = 1 << 18
 #: Most entries of an index list that one group compares; longer lists are cut into chunks compared pairwise.
 CHUNK = 4096
-#: Exact copies of one title and text up to this number are paired with each other; beyond, each is paired with the first.
-COPIES = 50
+#: Words in more sets than this have no list of their own, but lists for pairs of words.
+LONG = 32 * CHUNK
+#: Sets with fewer words keep the lists of all words: they may have one word in common only.
+SMALL = 16
 #: Rows of a list compared at once.
 ROWS = 128
 
@@ -48,76 +53,113 @@ class _Hashes(dict):
         return got
 
 
-def _sets(batches: Iterator[pa.RecordBatch], exact: bool = False) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray], list[bytes]]]:
-    """For each batch, the rows that take part, their distinct word hashes and, if wanted, keys of equal title and text."""
-    import xxhash
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-    hashes = _Hashes()
-    for b in batches:
-        keep, sets, copies = [], [], []
-        titles, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
-        for i, (title, text) in enumerate(zip(titles, texts)):
-            if text is None or len(text.split()) < LEAST_WORDS:
-                continue
-            words = set(_WORD(f"{title or ''} {text}".lower()))
-            if words:
-                keep.append(i)
-                sets.append(np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
-                if exact:
-                    copies.append(xxhash.xxh3_128_digest(f"{'' if title is None else len(title)}:{title or ''}{text}".encode("utf-8", "surrogatepass")))
-        yield b, keep, sets, copies
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A list key from two hashes or a hash and a number."""
+    x = a.view(np.uint64) * _A ^ (b.astype(np.int64).view(np.uint64) + np.uint64(1)) * _B
+    return (x ^ x >> np.uint64(29)).view(np.int64)
+
+
+def _edges(t: Fraction = SIMILARITY, most: int = 1 << 20) -> np.ndarray:
+    """Least sizes of the bands: a set's partner of at most its size is in its own band or the one below."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, (out[-1] - 1) * t.denominator // t.numerator + 1))
+    return np.array(out)
+
+
+_BANDS = _edges()
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
     return (h & (COUNTERS - 1)).astype(np.int64)
 
 
-def word_counts(src: DataFrame) -> np.ndarray:
-    """In how many sets the words of each counter are, over all rows; never less than for each single word."""
+def word_sets(df: DataFrame) -> DataFrame:
+    """id, words (sorted hashes), same (key of equal sets), copy (key of equal title and text) of df(id, at, title, text).
+
+    One row for each record that takes part: of several deliveries the latest counts, then the greater copy key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hashes = _Hashes()
+        for b in batches:
+            sets, same, copies = [], [], []
+            for title, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                words = ()
+                if text is not None and len(text) <= MOST_CHARS and len(text.split()) >= LEAST_WORDS:
+                    words = set(_WORD(f"{title or ''} {text}".lower()))
+                if words:
+                    h = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+                    h.sort()
+                    sets.append(h)
+                    same.append(xxhash.xxh3_128_digest(h.tobytes()))
+                else:
+                    sets.append(None)
+                    same.append(None)
+                copies.append(xxhash.xxh3_128_digest(f"{'' if title is None else len(title)}:{title or ''}{text}".encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64())), pa.array(same, pa.binary()), pa.array(copies, pa.binary())], ["id", "at", "words", "same", "copy"])
+
+    kind = df.schema["at"].dataType.simpleString()
+    made = df.select("id", "at", "title", "text").mapInArrow(run, f"id string, at {kind}, words array<long>, same binary, copy binary")
+    last = made.groupBy("id").agg(F.max_by(F.struct("words", "same", "copy"), F.struct("at", "copy")).alias("r"))
+    return last.where("r.words is not null").select("id", "r.words", "r.same", "r.copy")
+
+
+def list_lengths(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the lengths of lists, over all sets: by word, and by word and band of size. Never less than the truth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for _, _, sets, _ in _sets(batches):
-            if sets:
-                total += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
+        total = np.zeros(2 * COUNTERS, np.int64)
+        for b in batches:
+            words = b.column(0)
+            flat = words.flatten().to_numpy(zero_copy_only=False)
+            if not len(flat):
+                continue
+            n = np.diff(words.offsets.to_numpy().astype(np.int64))
+            band = np.repeat(np.searchsorted(_BANDS, n, "right"), n)
+            total[:COUNTERS] += np.bincount(_counter(flat), minlength=COUNTERS)
+            for k in (0, 1):
+                total[COUNTERS:] += np.bincount(_counter(_mix(flat, band - k)), minlength=COUNTERS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["counter", "n"])
 
-    got = src.mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
+    got = sets.select("words").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # at most one row per counter
+    out = np.zeros(2 * COUNTERS, np.int64)
     out[got["counter"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
+    return out[:COUNTERS], out[COUNTERS:]
 
 
-def as_sets(src: DataFrame, counts) -> DataFrame:
-    """id, n, words (hashes, rare first), signature (four longs), same (key of equal sets), core (without the rarest), copy (key of equal title and text)."""
+def in_order(reps: DataFrame, counts) -> DataFrame:
+    """id, same, n, words (rare first), s0 to s3 (signature), core (key of the set without its rarest word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        freq = counts.value
-        for b, keep, sets, copies in _sets(batches, True):
-            if not keep:
+        freq = counts.value[0]
+        for b in batches:
+            if not b.num_rows:
                 continue
-            n, flat, marks, same, core = [], [], np.zeros((len(keep), 4), np.uint64), [], []
-            for k, h in enumerate(sets):
+            words = b.column("words")
+            flat, ends = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy().astype(np.int64)
+            n, out, marks, core = np.diff(ends), [], np.zeros((b.num_rows, 4), np.uint64), []
+            for k in range(b.num_rows):
+                h = flat[ends[k] : ends[k + 1]]
                 h = h[np.lexsort((h, freq[_counter(h)]))]
-                n.append(len(h))
-                flat.append(h)
+                out.append(h)
                 bit = (h.view(np.uint64) >> np.uint64(20)) & np.uint64(255)
                 bits = np.bincount(bit.astype(np.int64), minlength=256).astype(np.uint64) & np.uint64(1)
                 marks[k] = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
-                same.append(xxhash.xxh3_128_digest(np.sort(h).tobytes()))
                 core.append(xxhash.xxh3_128_digest(np.sort(h[1:]).tobytes()))
-            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(out)))
             signs = marks.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keep)), pa.array(n, pa.int32()), words, *(pa.array(signs[:, j].copy()) for j in range(4)), pa.array(same, pa.binary()), pa.array(core, pa.binary()), pa.array(copies, pa.binary())],
-                ["id", "n", "words", "s0", "s1", "s2", "s3", "same", "core", "copy"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("same"), pa.array(n.astype(np.int32)), lists, *(pa.array(signs[:, j].copy()) for j in range(4)), pa.array(core, pa.binary())], ["id", "same", "n", "words", "s0", "s1", "s2", "s3", "core"])
 
-    return src.mapInArrow(run, "id string, n int, words array<long>, s0 long, s1 long, s2 long, s3 long, same binary, core binary, copy binary")
+    return reps.select("id", "same", "words").mapInArrow(run, "id string, same binary, n int, words array<long>, s0 long, s1 long, s2 long, s3 long, core binary")
 
 
 def _need(total: np.ndarray | int, t: Fraction = SIMILARITY):
@@ -126,43 +168,94 @@ def _need(total: np.ndarray | int, t: Fraction = SIMILARITY):
     return -(-(total * a) // b)
 
 
-def _postings(leaders: DataFrame, counts, t: Fraction = SIMILARITY) -> DataFrame:
-    """One row per word of each leader's prefix (times the chunks that a long list needs)."""
+_ENTRY = "word long, part long, n int, pos int, slack int, own int, index boolean, key long, s0 long, s1 long, s2 long, s3 long"
+
+
+def _prefixes(n: np.ndarray, slack: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """How many words of each set are looked up, and how many of those also stand in lists."""
     num, den = t.numerator, t.denominator
+    # A partner is at least t * n large; one element of slack may be its own as well.
+    probe = np.minimum(n, n - -(-(n * num) // den) + 1 + slack + 1)
+    index = np.minimum(n, n - -(-(2 * n * num) // (num + den)) + 1 + slack + 1)
+    return probe, index
+
+
+def _postings(leaders: DataFrame, counts, long: int, t: Fraction = SIMILARITY) -> DataFrame:
+    """One row per word of each leader's prefix (times the bands and chunks that a long list needs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = counts.value
+        freq, banded = counts.value
         names = ["word", "part", "n", "pos", "slack", "own", "index", "key", "s0", "s1", "s2", "s3"]
         for b in batches:
             if not b.num_rows:
                 continue
-            n = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            slack = b.column("slack").to_numpy(zero_copy_only=False).astype(np.int64)
-            key = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            n, slack, key = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "slack", "key"))
             words = b.column("words")
             flat, start = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy().astype(np.int64)[:-1]
-            # A partner is at least t * n large; one element of slack may be its own as well.
-            probe = np.minimum(n, n - -(-(n * num) // den) + 1 + slack + 1)
-            index = np.minimum(n, n - -(-(2 * n * num) // (num + den)) + 1 + slack + 1)
+            probe, index = _prefixes(n, slack, t)
             row = np.repeat(np.arange(len(n)), probe)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(probe) - probe, probe)
             word = flat[start[row] + pos]
-            chunks = -(-freq[_counter(word)] // CHUNK)
-            own = (key[row].view(np.uint64) % np.maximum(chunks, 1).astype(np.uint64)).astype(np.int64)
-            times = np.maximum(chunks, 1)
+            f = freq[_counter(word)]
+            own_list = (f <= long) | (n[row] < SMALL)
+            row, pos, word, f = row[own_list], pos[own_list], word[own_list], f[own_list]
+            indexed = pos < index[row]
+            band = np.searchsorted(_BANDS, n, "right")
+            parted = f > CHUNK
+            # A short list is one; of a long one there is a list for each band, and larger sets look into the band below.
+            at = np.concatenate([np.flatnonzero(~parted), np.flatnonzero(parted), np.flatnonzero(parted)])
+            below = np.concatenate([np.zeros(len(row) - parted.sum(), np.int64), np.zeros(parted.sum(), np.int64), np.ones(parted.sum(), np.int64)])
+            row, pos, word, parted = row[at], pos[at], word[at], parted[at]
+            indexed = indexed[at] & (below == 0)
+            word = np.where(parted, _mix(word, band[row] - below), word)
+            times = np.where(parted, np.maximum(-(-banded[_counter(word)] // CHUNK), 1), 1)
+            own = (key[row].view(np.uint64) % times.astype(np.uint64)).astype(np.int64)
             at = np.repeat(np.arange(len(row)), times)
             other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
             low, high = np.minimum(own[at], other), np.maximum(own[at], other)
-            part = low * times[at] + high
             r = row[at]
-            arrays = [word[at], part, n[r], pos[at], slack[r], own[at], (pos < index[row])[at], key[r]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2].astype(np.int32)), pa.array(arrays[3].astype(np.int32)), pa.array(arrays[4].astype(np.int32)), pa.array(arrays[5].astype(np.int32)), pa.array(arrays[6]), pa.array(arrays[7]), *(b.column(f"s{j}").take(pa.array(r)) for j in range(4))],
+                [pa.array(word[at]), pa.array(low * times[at] + high), pa.array(n[r].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.array(slack[r].astype(np.int32)), pa.array(own[at].astype(np.int32)), pa.array(indexed[at]), pa.array(key[r]), *(b.column(f"s{j}").take(pa.array(r)) for j in range(4))],
                 names,
             )
 
-    schema = "word long, part long, n int, pos int, slack int, own int, index boolean, key long, s0 long, s1 long, s2 long, s3 long"
-    return leaders.select("n", "slack", "key", "words", "s0", "s1", "s2", "s3").mapInArrow(run, schema)
+    return leaders.select("n", "slack", "key", "words", "s0", "s1", "s2", "s3").mapInArrow(run, _ENTRY)
+
+
+def _pair_postings(leaders: DataFrame, counts, long: int, t: Fraction = SIMILARITY) -> DataFrame:
+    """One row per pair of very frequent words in each leader's prefix, which is longer by one word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = counts.value[0]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, slack = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "slack"))
+            words = b.column("words")
+            flat, start = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy().astype(np.int64)[:-1]
+            probe, index = _prefixes(n, slack, t)
+            rows, keys, pos, indexed = [], [], [], []
+            for r in range(len(n)):
+                h = flat[start[r] : start[r] + min(n[r], probe[r] + 1)]
+                often = np.flatnonzero(freq[_counter(h)] > long)
+                if len(often) > 1:
+                    i, j = np.triu_indices(len(often), 1)
+                    i, j = often[i], often[j]
+                    rows.append(np.full(len(i), r))
+                    keys.append(_mix(h[i], h[j]))
+                    # The first two common words: what can be common beyond starts after the second.
+                    pos.append(j - 1)
+                    indexed.append(j < index[r] + 1)
+            if rows:
+                r = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column("n").take(pa.array(r)), pa.array(np.concatenate(pos).astype(np.int32)), b.column("slack").take(pa.array(r)), pa.array(np.concatenate(indexed)), b.column("key").take(pa.array(r)), *(b.column(f"s{j}").take(pa.array(r)) for j in range(4))], ["word", "n", "pos", "slack", "index", "key", "s0", "s1", "s2", "s3"])
+
+    made = leaders.select("n", "slack", "key", "words", "s0", "s1", "s2", "s3").mapInArrow(run, "word long, n int, pos int, slack int, index boolean, key long, s0 long, s1 long, s2 long, s3 long")
+    hot = made.groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK)
+    times = F.coalesce(F.ceil(F.col("c") / CHUNK), F.lit(1)).cast("int")
+    made = made.join(hot, "word", "left").withColumn("times", times).withColumn("own", F.pmod("key", "times").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    part = F.least("own", "other").cast("long") * F.col("times") + F.greatest("own", "other")
+    return made.withColumn("part", part).select("word", "part", "n", "pos", "slack", "own", "index", "key", "s0", "s1", "s2", "s3")
 
 
 def _compare(n, pos, slack, own, index, key, signs, split: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -245,70 +338,92 @@ def _candidates(postings: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicate_sets(src: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes and links of the records in src(id, title, text).
+@dataclass
+class Found:
+    """What the join finds.
 
-    members: id, rep, copy - each record that takes part, the first record (smallest id) with the same set of words, and
-    a key of equal title and text.
-    links: rep_a < rep_b - pairs of different sets with a similarity of at least 0.7. No link is lost.
+    members: id, rep, copy - each record that takes part, the first record (smallest id) with the same set of words,
+    and a key of equal title and text. sets: rep, key, leader, family, n - each different set with its family, the
+    family's size and the set's number of words. links: rep_a < rep_b - similar sets of different families. The sets
+    of a family differ in one word each, so they are all similar to each other, or with too few words none.
     """
+
+    members: DataFrame
+    sets: DataFrame
+    links: DataFrame
+
+    def families(self) -> DataFrame:
+        """The sets of families of two or more whose members are similar to each other."""
+        n = F.col("n")
+        return self.sets.where((F.col("family") > 1) & ((n - 1) * SIMILARITY.denominator >= (n + 1) * SIMILARITY.numerator))
+
+
+def near_duplicate_sets(src: DataFrame, long: int = LONG) -> Found:
+    """Classes and links of the records in src(id, at, title, text). No link is lost."""
     spark = src.sparkSession
-    counts = spark.sparkContext.broadcast(word_counts(src))
-    sets = cut(as_sets(src, counts))
+    sets = cut(word_sets(src))
+    lengths = list_lengths(sets)
+    counts = spark.sparkContext.broadcast(lengths)
     classes = sets.groupBy("same").agg(F.min("id").alias("rep"))
-    members = sets.select("id", "same", "copy").join(classes, "same").select("id", "rep", "copy")
-    reps = sets.join(classes, (sets["same"] == classes["same"]) & (sets["id"] == classes["rep"]), "left_semi")
-    reps = cut(reps.dropDuplicates(["id"]).withColumn("key", F.xxhash64("same")))
-    families = reps.groupBy("core").agg(F.min("key").alias("leader"), F.count("*").alias("size"))
-    family = reps.select("key", "core").join(families, "core").select("key", "leader", "size")
-    leaders = reps.join(family.where("key = leader").select("key", F.when(F.col("size") > 1, 1).otherwise(0).alias("slack")), "key")
-    near = _candidates(_postings(leaders, counts))
-    big = family.where("size > 1").select("key", "leader")
-    # Answers of the family: the leader's answers (with its slack) for each member, and the members among themselves.
+    members = cut(sets.select("id", "same", "copy").join(classes, "same").select("id", "rep", "copy"))
+    reps = sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = cut(in_order(reps, counts).withColumn("key", F.xxhash64("same")).drop("same"))
+    families = reps.groupBy("core").agg(F.min("key").alias("leader"), F.count("*").alias("family"))
+    family = cut(reps.select(F.col("id").alias("rep"), "key", "core", "n").join(families, "core").select("rep", "key", "leader", "family", "n"))
+    leaders = reps.join(family.where("key = leader").select("key", F.when(F.col("family") > 1, 1).otherwise(0).alias("slack")), "key")
+    lists = _postings(leaders, counts, long)
+    if lengths[0].max(initial=0) > long:
+        lists = lists.unionByName(_pair_postings(leaders, counts, long))
+    near = _candidates(lists)
+    # Answers of the family: the leader's answers (with its slack) for each member.
     all_of = family.select("key", "leader")
     found = near.join(all_of.toDF("ka", "a"), "a").join(all_of.toDF("kb", "b"), "b").select("ka", "kb")
-    own = big.toDF("ka", "leader").join(big.toDF("kb", "leader"), "leader").where("ka < kb").select("ka", "kb")
-    both = cut(found.unionByName(own))  # a join right above a union fails to plan when the union's parts are coalesced differently
     words = reps.select("key", "id", "words", "n")
     a, b = (words.select(*(F.col(c).alias(f"{x}_{c}") for c in words.columns)) for x in "ab")
-    joined = both.join(a, F.col("ka") == F.col("a_key")).join(b, F.col("kb") == F.col("b_key"))
+    joined = found.join(a, F.col("ka") == F.col("a_key")).join(b, F.col("kb") == F.col("b_key"))
     common = F.size(F.array_intersect("a_words", "b_words"))
     alike = common * SIMILARITY.denominator >= (F.col("a_n") + F.col("b_n") - common) * SIMILARITY.numerator
     links = joined.where(alike).select(F.least("a_id", "b_id").alias("rep_a"), F.greatest("a_id", "b_id").alias("rep_b"))
-    return members, links
+    return Found(members, family, cut(links))
 
 
 def prepare(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at") -> DataFrame:
-    """id, title, text of the latest delivery of each record that may take part; records without an id don't."""
-    src = df.select(F.col(key).cast("string").alias("id"), F.col(title).alias("title"), F.col(text).alias("text"), *([F.col(loaded).alias("_at")] if loaded else []))
-    src = src.where("id is not null")
-    if loaded:
-        src = src.groupBy("id").agg(F.max_by(F.struct("title", "text"), F.struct(F.col("_at"), F.col("text"), F.col("title"))).alias("r")).select("id", "r.title", "r.text")
-    else:
-        src = src.dropDuplicates(["id"])
-    return src.where((F.length("text") > 0) & (F.char_length("text") <= MOST_CHARS))
+    """id, at, title, text of each delivery; records without an id don't take part."""
+    at = F.col(loaded) if loaded else F.lit(0)
+    return df.select(F.col(key).cast("string").alias("id"), at.alias("at"), F.col(title).alias("title"), F.col(text).alias("text")).where("id is not null")
 
 
-def near_duplicate_pairs(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at", copies: int | None = COPIES) -> DataFrame:
-    """id_a < id_b: all pairs of records whose word sets are similar by 0.7 or more.
+def near_duplicate_pairs(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at", long: int = LONG) -> DataFrame:
+    """id_a < id_b: all pairs of records whose word sets are similar by 0.7 or more, exact copies too.
 
     Records without an id, with null or empty text, with fewer than 30 words or more than 1,800 characters don't take
-    part; of several deliveries of one id the latest counts. Records of different title or text are always paired,
-    also when their sets are equal. Exact copies (equal title and text) are paired with each other if there are at
-    most `copies` of them, None for always; of a larger number the first stands for all, the rest are paired with it
-    only. Other columns are ignored.
+    part; of several deliveries of one id the latest counts. Other columns are ignored. The number of pairs is
+    quadratic in the size of a group of copies; near_duplicate_classes gives the same answer in one row per record.
+    """
+    found = near_duplicate_sets(prepare(df, key, title, text, loaded), long)
+    m = found.members.select("rep", "id")
+    own = found.families().select("leader", "rep")
+    inside = own.toDF("leader", "rep_a").join(own.toDF("leader", "rep_b"), "leader").where("rep_a < rep_b").select("rep_a", "rep_b")
+    links = cut(found.links.unionByName(inside))  # a join right above a union fails to plan when the union's parts are coalesced differently
+    across = links.join(m.toDF("rep_a", "x"), "rep_a").join(m.toDF("rep_b", "y"), "rep_b").select("x", "y")
+    within = m.toDF("rep", "x").join(m.toDF("rep", "y"), "rep").where("x < y").select("x", "y")
+    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def near_duplicate_classes(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at", long: int = LONG) -> DataFrame:
+    """id, class_id, n_same, n_links: one row per record that takes part, in place of its pairs.
+
+    class_id is the smallest id with the same set of words, n_same the number of records of that class, n_links the
+    number of other records similar by 0.7 or more, those of the class included. Who takes part is as for
+    near_duplicate_pairs. No pairs of equal sets or within a family are made.
     """
-    members, links = near_duplicate_sets(prepare(df, key, title, text, loaded))
-    members = cut(members)
-    if copies is None:
-        heads, tail = members.select("rep", "id"), None
-    else:
-        sized = members.join(members.groupBy("rep", "copy").agg(F.count("*").alias("n"), F.min("id").alias("first")), ["rep", "copy"])
-        heads = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("first"))).select("rep", "id")
-        tail = sized.where((F.col("n") > copies) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
-    across = links.join(heads.toDF("rep_a", "x"), "rep_a").join(heads.toDF("rep_b", "y"), "rep_b").select("x", "y")
-    within = heads.toDF("rep", "x").join(heads.toDF("rep", "y"), "rep").where("x < y").select("x", "y")
-    pairs = across.unionByName(within)
-    if tail is not None:
-        pairs = pairs.unionByName(tail)
-    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    found = near_duplicate_sets(prepare(df, key, title, text, loaded), long)
+    size = found.members.groupBy("rep").agg(F.count("*").alias("n_same"))
+    to = found.links.select(F.col("rep_a").alias("of"), F.col("rep_b").alias("rep")).unionByName(found.links.select(F.col("rep_b").alias("of"), F.col("rep_a").alias("rep")))
+    across = cut(to).join(size, "rep").groupBy(F.col("of").alias("rep")).agg(F.sum("n_same").alias("across"))
+    own = found.families().select("leader", "rep").join(size, "rep")
+    total = own.groupBy("leader").agg(F.sum("n_same").alias("total"))
+    inside = own.join(total, "leader").select("rep", (F.col("total") - F.col("n_same")).alias("inside"))
+    sums = size.join(across, "rep", "left").join(inside, "rep", "left")
+    n = F.col("n_same") - 1 + F.coalesce("across", F.lit(0)) + F.coalesce("inside", F.lit(0))
+    return found.members.join(sums.select("rep", "n_same", n.alias("n_links")), "rep").select("id", F.col("rep").alias("class_id"), "n_same", "n_links")

@@ -72,7 +72,7 @@ def pairs_by_force(rows):
     return {(a, b) for a, b in combinations(sorted(words), 2) if 10 * len(words[a] & words[b]) >= 7 * len(words[a] | words[b])}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def near_duplicate_rows():
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(160)]
     rows = []
@@ -83,32 +83,51 @@ def test_near_duplicates_equal_brute_force(spark):
             for _ in range(k * 3):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             rows.append((f"n{f:02}{k}", "title", " ".join(copy)))
-    rows += [("x1", None, rows[0][2]), ("x2", "t", None), ("x3", "t", ""), (None, "t", rows[0][2]), ("x4", "t", "w1 " * 900), ("x5", "t", "short")]
+    # Few different words; a family of sets that differ in one rare word; one of so few words that they aren't similar.
+    rows += [(f"r{k}", None, " ".join([f"w{k % 3}", "w1"] * 20)) for k in range(6)]
+    rows += [(f"f{k:02}", "t", " ".join([f"w{i}" for i in range(35)] + [f"rare{k}"])) for k in range(12)]
+    rows += [(f"g{k:02}", None, " ".join(["w0 w1 w2"] * 12 + [f"seldom{k}"])) for k in range(6)]
+    return rows + [("x1", None, rows[0][2]), ("x2", "t", None), ("x3", "t", ""), (None, "t", rows[0][2]), ("x4", "t", "w1 " * 900), ("x5", "t", "short")]
+
+
+@pytest.mark.parametrize("long", [neardup.LONG, 3, 40])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, long):
+    """With lists of single words only, of pairs of words almost only, and of both; long ones in bands and chunks."""
+    if long < neardup.LONG:
+        monkeypatch.setattr(neardup, "CHUNK", 16)
+    rows = near_duplicate_rows()
     df = spark.createDataFrame([(*r, 1, "c") for r in rows + rows[:3]], "id string, title string, text string, loaded_at int, rep string")
-    got = {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()}
-    assert got == pairs_by_force(rows) and len(got) > 20
-    assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0
+    want = pairs_by_force(rows)
+    got = [tuple(r) for r in neardup.near_duplicate_pairs(df, long=long).collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+    links = {r["id"]: r["n_links"] for r in neardup.near_duplicate_classes(df, long=long).collect()}
+    assert {i: n for i, n in links.items() if n} == {i: sum(i in p for p in want) for i in {x for p in want for x in p}}
+    assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0 and neardup.near_duplicate_classes(df.limit(0)).count() == 0
 
 
 def test_near_duplicates_of_many_copies(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(f"c{i:03}", "", text) for i in range(80)] + [("d", "", text + " other")], "id string, title string, text string")
-    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, loaded=None).collect()}
-    assert len(got) == 80 and ("c000", "d") in got and ("c000", "c079") in got
+    assert neardup.near_duplicate_pairs(df, loaded=None).count() == 81 * 80 // 2
+    got = {r["id"]: tuple(r)[1:] for r in neardup.near_duplicate_classes(df, loaded=None).collect()}
+    assert len(got) == 81 and got["c079"] == ("c000", 80, 80) and got["d"] == ("d", 1, 80)
 
 
 def test_near_duplicates_of_equal_sets_and_different_texts(spark, tmp_path):
     words = [f"w{i}" for i in range(60)]
     rows = [(f"c{i:02}", "", " ".join(words[i:] + words[:i])) for i in range(55)] + [("d", "", " ".join([*words, "other"]))] + [(f"x{i:02}", "T", " ".join(words)) for i in range(55)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id string, title string, text string, loaded_at int")
-    got = {tuple(r) for r in neardup.near_duplicate_pairs(df.where("title = ''")).collect()}
-    assert got == pairs_by_force(rows[:56]) and len(got) == 56 * 55 // 2
-    # The query names every pair, those between exact copies too.
     df.write.parquet(str(tmp_path / "node.parquet"))
     got = {tuple(r) for r in entry.queries()["p4_found"](spark, str(tmp_path)).collect()}
     assert got == pairs_by_force(rows) and len(got) == 111 * 110 // 2
 
 
+def test_the_latest_delivery_counts_even_if_it_takes_no_part(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([("a", "", text, 1), ("b", "", text, 1), ("b", "", "short", 2), ("c", "", text, 2), ("c", "", None, 1)], "id string, title string, text string, loaded_at int")
+    assert [tuple(r) for r in neardup.near_duplicate_pairs(df).collect()] == [("a", "c")]
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1200, 16))
