@@ -3,12 +3,14 @@
 Items are spread over shards of bounded size by a hash. Each shard starts from best fit by decreasing size; then
 underfull containers exchange items - a move, one for one, two for one - whenever this raises the sum of squared
 fills, until containers empty. What is left in clearly underfull containers goes to the next level, where the rests of
-many shards are packed together, until one shard is left.
+many shards are packed together in shards of the same size. Levels end when a bound shows that nothing can improve,
+when a level leaves more than half of its items, or with the first level of one shard.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, shuffle_width
 
-#: Items of a shard, on average, and shards whose rests are packed together at the next level.
-SHARD, FAN = 4000, 256
+#: Items of a shard, on average.
+SHARD = 4000
 #: Containers filled less than this share are packed again with those of other shards.
 GOOD = 0.98
 
 
+def least_containers(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound of the containers that items need, from the number of items of each size.
+
+    The largest of: the total over the capacity; for each k, the items of which a container can hold at most k; and for
+    each threshold below the half, the large items, one a container, and what the middling ones need beyond the room
+    that the large ones leave.
+    """
+    sizes = sorted(counts, reverse=True)
+    best = -(-sum(s * n for s, n in counts.items()) // capacity)
+    many, k = 0, 1
+    for s in sizes:
+        while s * (k + 1) <= capacity:
+            best = max(best, -(-many // k))
+            k += 1
+        many += counts[s]
+    best = max(best, -(-many // k))
+    half = sum(n for s, n in counts.items() if 2 * s > capacity)
+    for low in [s for s in sizes if 2 * s <= capacity]:
+        room = sum((capacity - s) * n for s, n in counts.items() if capacity - low >= s and 2 * s > capacity)
+        middling = sum(s * n for s, n in counts.items() if 2 * s <= capacity and s >= low)
+        best = max(best, half + max(0, -(-(middling - room) // capacity)))
+    return best
+
+
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Best fit by decreasing size: the indexes of the items in each container."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
@@ -42,76 +68,105 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, passes: int = 20) -> list[list[int]]:
-    """Moves and exchanges between underfull containers that raise the sum of squared fills; empties what it can."""
-    total = sum(sizes[i] for b in bins for i in b)
-    lowest = -(-total // capacity)
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(passes):
-        if sum(1 for b in bins if b) <= lowest:
-            break
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
-        changed = False
-        for donor in under:
-            # The emptiest container gives: every change takes size from it, which raises the sum of squares as
-            # long as the receiver is fuller.
-            for item in sorted(bins[donor], key=lambda i: (-sizes[i], i)):
-                if item not in bins[donor]:
-                    continue
-                s = sizes[item]
-                best = None
-                for taker in under:
-                    if taker == donor or not bins[taker] or fill[taker] < fill[donor]:
-                        continue
-                    room = capacity - fill[taker]
-                    if room >= s:
-                        gain, back = s, ()
-                    else:
-                        # The receiver hands back one or two smaller items so that it ends as full as possible.
-                        least = s - room
-                        gain, back = 0, ()
-                        own = sorted(bins[taker], key=lambda i: (sizes[i], i))
-                        values = [sizes[i] for i in own]
-                        k = bisect_left(values, least)
-                        if k < len(own) and values[k] < s:
-                            gain, back = s - values[k], (own[k],)
-                        for x in range(len(own)):
-                            if 2 * values[x] >= s:
-                                break
-                            y = bisect_left(values, least - values[x], x + 1)
-                            if y < len(own) and values[x] + values[y] < s and s - values[x] - values[y] > gain:
-                                gain, back = s - values[x] - values[y], (own[x], own[y])
-                    # Raise of the sum of squares by shifting `gain` from donor to taker.
-                    raised = gain * (gain + fill[taker] - fill[donor])
-                    if gain > 0 and raised > 0 and (best is None or raised > best[0]):
-                        best = (raised, taker, back, gain)
-                if best is not None:
-                    _, taker, back, gain = best
-                    bins[donor].remove(item)
-                    bins[taker].append(item)
-                    for x in back:
-                        bins[taker].remove(x)
-                        bins[donor].append(x)
-                    fill[donor] -= gain
-                    fill[taker] += gain
-                    changed = True
-        if not changed:
+def _exchange(item: int, values: tuple[int, ...], room: int) -> tuple[int, tuple[int, ...]]:
+    """What a container of the sizes `values` (in order) gains by taking an item, and the sizes it hands back."""
+    if room >= item:
+        return item, ()
+    # It hands back one or two smaller items so that it ends as full as possible.
+    least = item - room
+    gain, back = 0, ()
+    k = bisect_left(values, least)
+    if k < len(values) and values[k] < item:
+        gain, back = item - values[k], (values[k],)
+    for x in range(len(values)):
+        if 2 * values[x] >= item:
             break
-    return [b for b in bins if b]
+        y = bisect_left(values, least - values[x], x + 1)
+        if y < len(values) and values[x] + values[y] < item and item - values[x] - values[y] > gain:
+            gain, back = item - values[x] - values[y], (values[x], values[y])
+    return gain, back
 
 
-def _pack_level(items: DataFrame, level: int, capacity: int, last: bool) -> DataFrame:
-    """item columns, shard -> container (null: to be packed again at the next level)."""
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Moves and exchanges between underfull containers that raise the sum of squared fills; empties what it can.
+
+    It ends when the number of containers is the least possible or no exchange raises the sum, which can't go on for
+    ever. Containers with the same sizes in them are alike: one of each kind is tried.
+    """
+    lowest = least_containers(Counter(sizes[i] for b in bins for i in b), capacity)
+    number = len(bins)
+    sums = [sum(sizes[i] for i in b) for b in bins]
+    full = [b for b, f in zip(bins, sums) if f == capacity]
+    kinds: dict[tuple[int, ...], list[list[int]]] = {}
+    for b, f in zip(bins, sums):
+        if f < capacity:
+            kinds.setdefault(tuple(sorted(sizes[i] for i in b)), []).append(b)
+    fill = {k: sum(k) for k in kinds}
+    stuck: set[tuple[int, ...]] = set()
+
+    def put(b: list[int]) -> None:
+        k = tuple(sorted(sizes[i] for i in b))
+        f = sum(k)
+        if f == capacity:
+            full.append(b)
+        elif k:
+            kinds.setdefault(k, []).append(b)
+            fill[k] = f
+
+    while number > lowest:
+        # The emptiest container gives: every change takes size from it, which raises the sum of squares as long as
+        # the receiver is fuller.
+        donor = min((k for k in kinds if k not in stuck), key=lambda k: (fill[k], k), default=None)
+        if donor is None:
+            break
+        best = None
+        for item in sorted(set(donor), reverse=True):
+            for taker in kinds:
+                if fill[taker] < fill[donor] or taker == donor and len(kinds[donor]) < 2:
+                    continue
+                gain, back = _exchange(item, taker, capacity - fill[taker])
+                if gain > 0:
+                    # Raise of the sum of squares by shifting `gain` from donor to taker.
+                    key = (gain * (gain + fill[taker] - fill[donor]), taker)
+                    if best is None or key > best[0]:
+                        best = (key, taker, item, back)
+            if best is not None:
+                break
+        if best is None:
+            stuck.add(donor)
+            continue
+        _, taker, item, back = best
+        giver, receiver = kinds[donor].pop(), kinds[taker].pop()
+        for k in {donor, taker}:
+            if not kinds[k]:
+                del kinds[k]
+        moved = next(i for i in giver if sizes[i] == item)
+        giver.remove(moved)
+        receiver.append(moved)
+        for s in back:
+            x = next(i for i in receiver if sizes[i] == s and i != moved)
+            receiver.remove(x)
+            giver.append(x)
+        number -= not giver
+        put(giver)
+        put(receiver)
+        stuck.clear()
+    return full + [b for bs in kinds.values() for b in bs]
+
+
+def _pack_level(items: DataFrame, level: int, shards: int, capacity: int, last: bool) -> DataFrame:
+    """item columns, shard, container_id or else tentative: the container of a part that may be packed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(shard: int, t: pa.Table) -> pa.RecordBatch:
             sizes = t.column("n_tokens").to_pylist()
             name: list[str | None] = [None] * len(sizes)
+            open_: list[str | None] = [None] * len(sizes)
             for k, b in enumerate(local_search(best_fit(sizes, capacity), sizes, capacity)):
-                if last or sum(sizes[i] for i in b) >= GOOD * capacity:
-                    for i in b:
-                        name[i] = f"{level}-{shard}-{k}"
-            t = t.append_column("container_id", pa.array(name, pa.string())).combine_chunks()
+                names = name if last or sum(sizes[i] for i in b) >= GOOD * capacity else open_
+                for i in b:
+                    names[i] = f"{level}-{shard}-{k}"
+            t = t.append_column("container_id", pa.array(name, pa.string())).append_column("tentative", pa.array(open_, pa.string())).combine_chunks()
             return t.to_batches()[0]
 
         rest = None
@@ -130,16 +185,19 @@ def _pack_level(items: DataFrame, level: int, capacity: int, last: bool) -> Data
         if rest is not None and rest.num_rows:
             yield pack(rest.column("shard")[0].as_py(), rest)
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in items.schema.fields)}, container_id string"
-    return items.repartition("shard").sortWithinPartitions("shard", "n_tokens", "doc_id", "part_no").mapInArrow(run, schema)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in items.schema.fields)}, container_id string, tentative string"
+    # Shards keep to their own tasks: adaptive execution would merge them by their few bytes.
+    parts = min(shards, max(4 * shuffle_width(items.sparkSession), -(-shards // 50)))
+    return items.repartition(parts, "shard").sortWithinPartitions("shard", "n_tokens", "doc_id", "part_no").mapInArrow(run, schema)
 
 
-def pack(items: DataFrame, capacity: int = 2048, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, key: str = "doc_id", size: str = "n_tokens", shard: int = SHARD) -> DataFrame:
     """container_id, doc_id, part_no, start_token, n_tokens: where each part of each item goes.
 
     No container holds more than `capacity`. An item is split only if it is larger: into full containers (part 1 ...)
     and its rest. Items of size 0 or null take no space and give no rows. A repeated row is packed once for every
-    time it occurs. Other columns are ignored; an empty table gives an empty result.
+    time it occurs. Other columns are ignored; an empty table gives an empty result. No task packs much more than
+    `shard` parts at a time.
     """
     rows = items.select(F.col(key).alias("doc_id"), F.col(size).cast("long").alias("_size")).where("_size > 0")
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / F.lit(capacity)) - 1), lambda k: F.struct((k + 1).cast("int").alias("part_no"), (k * capacity).alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("_size") - k * capacity).alias("n_tokens")))
@@ -148,17 +206,22 @@ def pack(items: DataFrame, capacity: int = 2048, key: str = "doc_id", size: str
     whole = rows.where(F.col("n_tokens") == capacity)
     full = whole.select(F.concat(F.lit("f-"), F.col("_row").cast("string"), F.lit("-"), F.col("part_no").cast("string")).alias("container_id"), "doc_id", "part_no", "start_token", "n_tokens")
     rest = rows.where(F.col("n_tokens") < capacity)
-    shards = max(1, -(-rest.count() // SHARD))
-    now = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "_row", "part_no"), F.lit(shards)))
-    done, level = [full], 0
+    done, level, count = [full], 0, rest.count()
+    last = count <= shard
     while True:
-        last = shards == 1
-        packed = cut(_pack_level(now, level, capacity, last))
+        shards = max(1, -(-count // shard))
+        packed = cut(_pack_level(rest.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), "doc_id", "_row", "part_no"), F.lit(shards))), level, shards, capacity, last))
         done.append(packed.where("container_id is not null").select("container_id", "doc_id", "part_no", "start_token", "n_tokens"))
         if last:
             break
-        shards, level = -(-shards // FAN), level + 1
-        now = packed.where("container_id is null").drop("container_id").withColumn("shard", F.pmod(F.col("shard"), F.lit(shards)))
+        rest = packed.where("container_id is null")
+        sizes = {r["n_tokens"]: r["n"] for r in rest.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # at most one row per size below the capacity
+        used = rest.select("tentative").distinct().count()
+        left = sum(sizes.values())
+        if used <= least_containers(sizes, capacity) or 2 * left > count and left > shard:
+            done.append(rest.select(F.col("tentative").alias("container_id"), "doc_id", "part_no", "start_token", "n_tokens"))
+            break
+        rest, count, level, last = rest.select("doc_id", "_row", "part_no", "start_token", "n_tokens"), left, level + 1, left <= shard
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

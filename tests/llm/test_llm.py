@@ -310,6 +310,51 @@ def test_packing(spark):
     assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 2048 for b in bins)
 
 
+def test_the_bound_of_containers_holds():
+    from collections import Counter
+
+    rng = random.Random(6)
+    for _ in range(300):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(0, 7))]
+        least = len(sizes)
+
+        def place(i, bins):
+            nonlocal least
+            if len(bins) >= least:
+                return
+            if i == len(sizes):
+                least = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + sizes[i] <= 20:
+                    place(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+            place(i + 1, [*bins, sizes[i]])
+
+        place(0, [])
+        found = len(packing.local_search(packing.best_fit(sizes, 20), sizes, 20))
+        assert packing.least_containers(Counter(sizes), 20) <= least <= found <= least + 1
+    assert packing.least_containers({1100: 40}, 2048) == 40 and packing.least_containers({700: 40}, 2048) == 20
+
+
+def test_packing_stops_where_nothing_can_improve(spark):
+    import time
+
+    began = time.time()
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(1100).alias("n_tokens"))
+    assert packing.fill_report(packing.pack(df)).first()["n_containers"] == 100_000 and time.time() - began < 60
+
+
+def test_packing_over_several_levels(spark):
+    rng = random.Random(9)
+    sizes = [rng.randint(200, 900) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    got = packing.pack(df, shard=100)
+    assert got.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where("n > 2048").count() == 0
+    assert got.count() == got.select("doc_id").distinct().count() == 3000
+    r = packing.fill_report(got).first()
+    assert r["n_containers"] <= 1.02 * r["least_containers"]
+
+
 def test_twins(spark, duck, data, same_rows):
     from lexgraph.llm.queries import ORACLE, QUERIES
 
