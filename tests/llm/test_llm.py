@@ -149,6 +149,29 @@ def test_nearest_vectors(spark):
     assert knn.nearest(knn.usable_vectors(df.limit(0))).count() == 0
 
 
+def test_nearest_vectors_in_parted_cells(spark):
+    """Few cells and small blocks, so that cells are parted and what remains large has several blocks."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 24))
+    x = np.repeat(centres, 40, axis=0) + 0.35 * rng.standard_normal((2400, 24))
+    df = spark.createDataFrame([(f"{i:04x}", "m", json.dumps(list(v)), "2024") for i, v in enumerate(x)], "node_id string, model_name string, vector_json string, created_at string")
+    vectors = knn.usable_vectors(df)
+    r = knn.recall(vectors, knn.nearest(vectors, most_cells=8, per_cell=40, block=100), F.pmod(F.conv("id", 16, 10).cast("int"), F.lit(10)) == 0).first()
+    assert r["n_queries"] == 240 and r["n_true"] == 1200 and r["recall"] >= 0.9
+
+
+def test_walking_outward_counts_what_windows_hold():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((500, 32))
+    x[250:] = x[:250] + 0.2 * rng.standard_normal((250, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    i, j, c = knn.Block(x).search(x[:40], 6, -2.0)
+    for k in range(40):
+        assert set(np.argsort(-(x @ x[k]))[:3]) <= set(j[i == k]) and (i == k).sum() == 6
+    i, j, c = knn.Block(x).search(x[:40], 6, 0.9)
+    assert sorted(zip(i, j)) == [(k, m) for k in range(40) for m in np.flatnonzero(x @ x[k] >= 0.9)]
+
+
 def test_equal_vectors_go_by_id(spark):
     df = spark.createDataFrame([(f"n{i:02}", "m", "[1, 0]", "x") for i in range(40)], "node_id string, model_name string, vector_json string, created_at string")
     got = knn.nearest(knn.usable_vectors(df))
