@@ -3,7 +3,8 @@
 Each notation is read by its own pass, which records that it was found and turns its signs into blocks (headings,
 paragraphs, list items, code, tables, formulas). Then two passes of block rules part content from boilerplate: the
 first decides by link density, length and the density of stop words, the second lets short or middling blocks
-inherit from their nearest decided neighbours.
+inherit from their nearest decided neighbours. Stop words are known for the languages of STOP_WORDS; on a page of
+another language their density says nothing and isn't used.
 """
 
 from __future__ import annotations
@@ -26,19 +27,88 @@ HTML, MARKDOWN, WIKI, LATEX = "html", "markdown", "wiki", "latex"
 TAGS = "a abbr address article aside b base blockquote body br button caption center cite code col colgroup dd del dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main map mark menu meta nav noscript object ol option p param pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split()
 BLOCK_TAGS = set("address article aside blockquote body caption center dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav noscript ol option p pre script section select style table tbody td tfoot th thead title tr ul".split())
 COMMANDS = "begin end section subsection subsubsection chapter part paragraph item emph textbf textit texttt textsc underline cite citep citet ref eqref pageref label footnote url href documentclass usepackage title author date maketitle caption includegraphics input include hline cline toprule midrule bottomrule frac sum prod int sqrt leq geq neq times cdot alpha beta gamma delta lambda sigma left right quad qquad S ldots dots newline newpage noindent vspace hspace textsuperscript textsubscript mathbf mathrm text multicolumn centering".split()
-STOP_WORDS = set("a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each either every few for from further had has have having he her here hers him his how i if in into is it its itself may me might more most must my need no nor not of off on once only or other our out over own same shall she should so some such than that the their them then there these they this those through to under unless until up upon very was we were what when where which while who whom whose why will with within would you your la le les des du de der die das und den el los las y et en un une con por para".split())
+STOP_WORDS = set(
+    " ".join(
+        [
+            "a about after all also an and any are as at be been before but by can could did do does each every for from had has have he her his how i if in into is it its may more most must no not of on only or other our out over own shall she should so some such than that the their them then there these they this those to under until up upon was we were what when where which who will with within would you your",
+            "aber als am an auch auf aus bei bis das dass dem den der des die durch ein eine einem einen einer eines er es für hat im in ist kann mit muss nach nicht noch nur oder sich sie sind so über um und unter vom von vor werden wenn wie wird zu zum zur",
+            "au aux avec ce ces cette dans de des doit du elle en est et il la le les leur mais ne nous on ou par pas plus pour que qui sa se ses si son sont sur un une vous",
+            "al como con cuando de debe del el en entre es esta este la las lo los más no o para pero por que se si sin sobre su sus un una y ya",
+            "che di e gli i il nel non per sono una uno deve della delle",
+            "een en het van voor niet dat de te zijn met op",
+            "é do da dos das em um uma não ao os na no que para com",
+            "को का की के में है हैं और से पर यह भी नहीं ने कि एक या तो",
+            "في من على إلى أن لا ما هذا هذه التي الذي أو عن مع كل يجب قد",
+        ]
+    ).split()
+)
+#: Frequent grammatical characters of scripts written without spaces, where characters stand for words (fixed values).
+STOP_CHARACTERS = set("的了是在不和有也与或及其应而为于以の に は を が と で も た し て れ る い ที่ และ ใน ของ ให้ ได้ ไม่ การ".replace(" ", ""))
 
 #: Thresholds of the block rules.
 LONG, SHORT = 200, 70
 LINKS, STOP_LOW, STOP_HIGH = 0.5, 0.15, 0.3
+#: Words of a block whose density of stop words shows that the page's language is one whose stop words are known.
+TELLING = 10
 
 _TAG = re.compile(r"<(/?)(" + "|".join(sorted(TAGS, key=len, reverse=True)) + r")((?:\s[^<>]*)?)/?>", re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<\?xml[^>]*>", re.I | re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _ESCAPED = re.compile(r"&(?:amp;)*lt;(?:/?(?:" + "|".join(sorted(TAGS, key=len, reverse=True)) + r")\b|!--|!DOCTYPE)", re.I)
 _COMMAND = re.compile(r"\\(" + "|".join(sorted(COMMANDS, key=len, reverse=True)) + r")\*?(?![A-Za-z])")
-_MATH = re.compile(r"\$\$(.+?)\$\$|\$(?=[^$\n]{1,200}\$)([^$\n]*(?:\\[A-Za-z]+|[\^_]\{?\w)[^$\n]*)\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
-_TEX_QUOTE = re.compile(r"``([^`'\n]{1,400}?)''")
+_ANY_COMMAND = re.compile(r"(?<![\w:\\])\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])*\{")
+_MATH = re.compile(r"\$\$(.+?)\$\$|\$(?=[^$\n]+\$)([^$\n]*(?:\\[A-Za-z]+|[\^_]\{?\w)[^$\n]*)\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
+_TEX_QUOTE = re.compile(r"``((?:[^`'\n]|'(?!'))+)''")
+#: Commands whose argument is no text of the document (fixed values).
+_SILENT = set("label cite citep citet ref eqref pageref footnote vspace hspace includegraphics input include".split())
+#: Commands whose argument is a heading (fixed values).
+_HEADINGS = set("chapter part section subsection subsubsection paragraph title".split())
+_BRACES = re.compile(r"~?\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])*\{|\\.|[{}]", re.S)
+_OPEN_TAG = re.compile(r"<([A-Za-z][\w.:-]*)(?:\s[^<>]*)?>")
+_CLOSE_TAG = re.compile(r"</([A-Za-z][\w.:-]*)\s*>")
+#: What shows that the text inside an HTML block goes on in another notation: a blank line, a sign at a line's start, a command.
+_LINED = re.compile(r"\n[^\S\n]*\n|^[^\S\n]*(?:#{1,6}\s|[-*+>]\s|={1,6}[^=\n]+={1,6}[^\S\n]*$|\{\||```|~~~|\|)|\\[A-Za-z]+", re.M)
+
+
+def _unescape(text: str) -> str:
+    """Character entities replaced until none is left, as they may be escaped themselves."""
+    while any(_entity(m[0]) for m in _ENTITY.finditer(text)):
+        done = html.unescape(text)
+        if done == text:
+            break
+        text = done
+    return text
+
+
+def _unbraced(text: str, keep_heading) -> str:
+    """LaTeX commands with a braced argument, nested to any depth: silent ones go, headings are handed over, others leave their text."""
+    out: list[str] = []
+    open_: list[tuple[str, int, str]] = []  # what the brace belongs to, where its text starts in `out`, as it was written
+    at = 0
+    for m in _BRACES.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        name = m[1]
+        if name is not None and name not in ("begin", "end", "frac", "sqrt", "multicolumn"):
+            open_.append((name, len(out), m[0]))
+            out.append("")
+        elif m[0].endswith("{") and m[0][0] != "\\" or name is not None:
+            open_.append(("", len(out), m[0]))
+            out.append(m[0])
+        elif m[0] == "}" and open_:
+            kind, start, _ = open_.pop()
+            if kind in _SILENT:
+                del out[start:]
+            elif kind in _HEADINGS:
+                out[start:] = [keep_heading("".join(out[start:]))]
+            elif not kind:
+                out.append("}")
+        else:
+            out.append(m[0])
+    for kind, start, written in open_:
+        if kind:
+            out[start] = written  # never closed
+    return "".join(out) + text[at:]
 
 
 @dataclass
@@ -59,9 +129,7 @@ class Document:
         self.found: set[str] = set()
         self.kept: list[Block] = []
         text = re.sub("[\ue000\ue001]", "", raw).replace("\r\n", "\n").replace("\r", "\n")
-        for _ in range(3):
-            if not _ESCAPED.search(text) or _TAG.search(text):
-                break
+        while _ESCAPED.search(text) and not _TAG.search(text):
             self.found.add(HTML)
             text = html.unescape(text)
         self.blocks = self._lines(self._latex(self._html(text)))
@@ -76,11 +144,16 @@ class Document:
             self.found.add(HTML)
         if any(_entity(m[0]) for m in _ENTITY.finditer(text)):
             self.found.add(HTML)
+        # Elements of any other name: those that are opened and closed.
+        other = ({m[1].lower() for m in _CLOSE_TAG.finditer(text)} & {m[1].lower() for m in _OPEN_TAG.finditer(text)}) - set(TAGS)
+        if other:
+            self.found.add(HTML)
+            text = re.sub(r"</?([A-Za-z][\w.:-]*)(?:\s[^<>]*)?>", lambda m: "" if m[1].lower() in other else m[0], text)
         if HTML not in self.found:
             return text
         text = _COMMENT.sub("", text)
         text = re.sub(r"<(script|style|head|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", "\n", text, flags=re.I | re.S)
-        text = re.sub(r"<pre\b[^>]*>(.*?)(?:</pre\s*>|\Z)", lambda m: self._keep(Block("code", html.unescape(_TAG.sub("", m[1])).strip("\n"))), text, flags=re.I | re.S)
+        text = re.sub(r"<pre\b[^>]*>(.*?)(?:</pre\s*>|\Z)", lambda m: self._keep(Block("code", _unescape(_TAG.sub("", m[1])).strip("\n"))), text, flags=re.I | re.S)
         text = re.sub(r"<nav\b[^>]*>(.*?)(?:</nav\s*>|\Z)", lambda m: self._keep(Block("text", self._inline_html(m[1]), 10**6)), text, flags=re.I | re.S)
         text = re.sub(r"<table\b[^>]*>(.*?)(?:</table\s*>|\Z)", self._html_table, text, flags=re.I | re.S)
         out: list[str] = []
@@ -90,10 +163,13 @@ class Document:
 
         def flush(kind: str) -> None:
             nonlocal part, links
-            body = html.unescape("".join(part))
+            body = _unescape("".join(part))
             if body.strip():
                 if kind == "free":
                     out.append("\n" + body + "\n")
+                elif _LINED.search(body.strip()):
+                    # A block that was never closed, or text in another notation: left to the passes that follow.
+                    out.append("\n\n" + re.sub(r"(?m)^[^\S\n]+", "", body) + "\n\n")
                 else:
                     out.append(self._keep(Block(kind, re.sub(r"\s+", " ", body).strip(), links)))
             part, links = [], 0
@@ -107,7 +183,8 @@ class Document:
                     head, _, rest = chunk.partition("\n\ue000")
                     part.append(head)
                     flush(kind)
-                    out.append("\n\ue000" + rest)
+                    kind = "free"
+                    part.append("\n\ue000" + rest)
                 else:
                     part.append(chunk)
             else:
@@ -158,14 +235,14 @@ class Document:
         return "".join(out)
 
     def _inline_html(self, text: str) -> str:
-        return re.sub(r"\s+", " ", html.unescape(_TAG.sub(" ", text))).strip()
+        return re.sub(r"\s+", " ", _unescape(_TAG.sub(" ", text))).strip()
 
     def _html_table(self, m: re.Match) -> str:
         rows = [[self._inline_html(c) for c in re.split(r"<t[dh]\b[^>]*>", r, flags=re.I)[1:]] for r in re.split(r"<tr\b[^>]*>", m[1], flags=re.I)]
         return self._keep(Block("table", "\n".join(" | ".join(r) for r in rows if r)))
 
     def _latex(self, text: str) -> str:
-        signs = _COMMAND.search(text) or _MATH.search(text) or _TEX_QUOTE.search(text)
+        signs = _COMMAND.search(text) or _ANY_COMMAND.search(text) or _MATH.search(text) or _TEX_QUOTE.search(text)
         if not signs:
             return text
         self.found.add(LATEX)
@@ -173,7 +250,7 @@ class Document:
         text = re.sub(r"\\begin\{tabular\}\{[^}]*\}(.*?)(?:\\end\{tabular\}|\Z)", self._tex_table, text, flags=re.S)
         text = re.sub(r"\\\[(.+?)\\\]|\$\$(.+?)\$\$", lambda m: self._keep(Block("formula", (m[1] or m[2]).strip())), text, flags=re.S)
         text = re.sub(r"\\(?:documentclass|usepackage)(?:\[[^\]]*\])?\{[^}]*\}|\\(?:begin|end)\{document\}|\\maketitle", "", text)
-        text = re.sub(r"\\(?:chapter|part|section|subsection|subsubsection|paragraph|title)\*?\{([^{}]*)\}", lambda m: self._keep(Block("heading", m[1])), text)
+        text = _unbraced(text, lambda title: self._keep(Block("heading", title.strip())))
         counters: list[int] = []
 
         def listing(m: re.Match) -> str:
@@ -190,9 +267,6 @@ class Document:
             return "\n- "
 
         text = re.sub(r"\\begin\{(itemize|enumerate|description)\}|\\end\{(itemize|enumerate|description)\}|\\item\b\s*", listing, text)
-        text = re.sub(r"~?\\(?:label|cite[pt]?|ref|eqref|pageref|footnote|vspace|hspace|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
-        for _ in range(3):
-            text = re.sub(r"\\(?:emph|text\w*|underline|caption|url|mathbf|mathrm|text)\{([^{}]*)\}", r"\1", text)
         text = re.sub(r"\\(?:hline|toprule|midrule|bottomrule|centering|noindent|newpage|S)\b", "", text)
         text = re.sub(r"\\(?:begin|end)\{[^}]*\}", "\n", text)
         text = re.sub(r"\\\\(?:\[\w+\])?", "\n" if signs else "", text)
@@ -353,31 +427,49 @@ class Document:
 
     def content(self) -> list[Block]:
         """The blocks that are content, by the two passes of block rules."""
-        labels = []
+        density = []
         for b in self.blocks:
+            words = [w for x in re.findall(r"[^\W\d_]+", b.text.lower()) for w in (x if ord(x[0]) >= 0x0E00 else [x])]
+            n = sum(w in STOP_WORDS or w in STOP_CHARACTERS for w in words)
+            density.append((n / len(words) if words else 0.0, len(words)))
+        known = any(stop >= STOP_HIGH and words >= TELLING for stop, words in density)
+        # First pass: every block by itself. Tables written in plain text have few stop words but many figures.
+        labels = []
+        for b, (stop, words) in zip(self.blocks, density):
             n = len(b.text)
-            words = re.findall(r"[^\W\d_]+", b.text.lower())
-            stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
             if b.kind == "drop" or b.links > LINKS * n:
                 labels.append("bad")
-            elif b.kind in ("code", "table", "formula", "heading", "item") or n < SHORT:
+            elif b.kind in ("code", "table", "formula", "heading"):
+                labels.append("kept")
+            elif b.kind == "item" or n < SHORT:
                 labels.append("short")
+            elif not known:
+                labels.append("near")
             elif stop >= STOP_HIGH:
                 labels.append("good" if n > LONG else "near")
+            elif stop >= STOP_LOW:
+                labels.append("near")
             else:
-                labels.append("near" if stop >= STOP_LOW else "short")
-        decided = [x if x in ("good", "bad") else "" for x in labels]
-        before, after, last = [""] * len(labels), [""] * len(labels), ""
-        for i, x in enumerate(decided):
+                figures = sum(c.isdigit() for c in b.text)
+                sentences = re.search(r"[.;!?。！？।؟](?:\s|\Z)", b.text)
+                labels.append("bad" if words >= 8 and figures < 0.03 * n and not sentences else "short")
+        # Second pass: short and middling blocks go with the nearest decided ones around them.
+        before, after, last = [("", 0)] * len(labels), [("", 0)] * len(labels), ("", 0)
+        for i, x in enumerate(labels):
             before[i] = last
-            last = x or last
-        last = ""
-        for i in range(len(decided) - 1, -1, -1):
+            if x in ("good", "bad"):
+                last = (x, i)
+        last = ("", 0)
+        for i in range(len(labels) - 1, -1, -1):
             after[i] = last
-            last = decided[i] or last
+            if labels[i] in ("good", "bad"):
+                last = (labels[i], i)
         out = []
-        for b, x, p, q in zip(self.blocks, labels, before, after):
-            if x == "good" or x == "near" and not (p == q == "bad") or x == "short" and (not (p == q == "bad") or b.kind in ("code", "table", "formula", "heading")):
+        for i, (b, x) in enumerate(zip(self.blocks, labels)):
+            (p, pi), (q, qi) = before[i], after[i]
+            if x == "short" and p and q and p != q and not density[i][0] and not re.search(r"\d|[.;:!?]\Z", b.text):
+                x = p if i - pi < qi - i else q if i - pi > qi - i else "good"  # nothing in it speaks for content
+            if x in ("kept", "good") or x in ("near", "short") and not p == q == "bad":
                 out.append(b)
         return out
 

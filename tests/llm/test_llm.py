@@ -279,6 +279,16 @@ def test_scanned(spark):
         ("# T\n\nsome **bold** and `code`\n\n```\nx = 1\n```", {"markdown"}, "T\n\nsome bold and code\n\n    x = 1"),
         ("== T ==\n\n''it'' and [[Page|word]]{{cite}}", {"wiki"}, "T\n\nit and word"),
         ("\\section{T}\nGiven \\emph{x}\\footnote{n}:\n\\[ a_1 \\]", {"latex"}, "T\n\nGiven x:\n\na_1"),
+        ("&amp;amp;amp;amp;lt;p&amp;amp;amp;amp;gt;hi&amp;amp;amp;amp;lt;/p&amp;amp;amp;amp;gt;", {"html"}, "hi"),
+        ("\\emph{" * 12 + "deep" + "}" * 12, {"latex"}, "deep"),
+        ("So $" + "a + " * 120 + "x_1$ holds.", {"latex"}, "So $" + "a + " * 120 + "x_1$ holds."),
+        ("Seen ``by the firm's " + "very " * 120 + "board'' today.", {"latex"}, "Seen “by the firm's " + "very " * 120 + "board” today."),
+        ("\\section{A \\emph{b}}\nText\\footnote{see \\emph{x} {y}} goes \\newthing{on}.", {"latex"}, "A b\n\nText goes on."),
+        ("<p>One of the two.\n\n\\section{Next}\n\nIt is\\cite{a} so.", {"html", "latex"}, "One of the two.\n\nNext\n\nIt is so."),
+        ("<p>One of the two.\n\n== Next ==\n\n* ''it''", {"html", "wiki"}, "One of the two.\n\nNext\n\n- it"),
+        ("<rule-text>One of <term>the</term> two</rule-text> if a <n> b.", {"html"}, "One of the two if a <n> b."),
+        ("<div>x<table><tr><td>1</td></tr></table>\nA&nbsp; b &amp;amp; c</div>", {"html"}, "x\n\n1\n\nA b & c"),
+        ("Files in C:\\returns\\q1 hold {r031} of map<k, v> and List<String>.", set(), None),
         ("A charge of $5 million or $8 million; a|b -- x < 4 and y > 2, a == b, see [3] in C:\\returns\\q1 & so #52, 3^2.", set(), None),
     ],
 )
@@ -287,6 +297,31 @@ def test_markup(raw, found, text):
     assert d.found == found and d.text() == (raw if text is None else text)
 
 
+CONTENT = "The firm must keep a record of each of the transfers that it has made in the course of the year and show it to the board when it asks for it. It may not be kept by any other firm unless the board has agreed to that in writing."
+
+
+def test_markup_drops_boilerplate_without_links():
+    menu = "Cookies Privacy Login Sitemap Careers Newsroom Accessibility Contact Imprint Subscribe " * 6
+    german = "Das Institut muss die Meldung an die Aufsicht bis zum Ende des Monats abgeben und dabei auch den Wert der Sicherheiten angeben, die es im Laufe des Jahres von den Kunden erhalten hat. Sie ist von einem Prüfer zu unterschreiben."
+    for body in (CONTENT, german):
+        page = f"<h1>Rule</h1><p>{menu}</p><p>Home</p><p>{menu}</p><p>{body}</p><p>In short.</p><p>{menu}</p>"
+        assert markup.Document(page).text() == f"Rule\n\n{body}\n\nIn short."
+    # Tables in plain text stay, and so does all of a page in a language whose stop words aren't known.
+    plain = "aggregation   5591   case HX-7207\ndataset   4644   case HX-1920\noutflow   9488   row 36720"
+    assert "HX-1920" in markup.Document(f"<p>{CONTENT}</p>\n\n{plain}\n\n<p>{CONTENT}</p>").text()
+    foreign = "Przedsiębiorstwo powinno przechowywać ewidencję każdego transferu dokonanego podczas roku sprawozdawczego " * 3
+    assert "sprawozdawczego" in markup.Document(f"<p>{foreign}</p>").text()
+
+
+def test_markup_is_linear():
+    import time
+
+    began = time.time()
+    for raw in ("\\emph{" * 20000, "{" * 50000, "$" + "a_1 " * 50000, "<p>" * 20000, "``" * 20000, "&amp;" * 20000 + "lt;p", "<x>" * 20000 + "</x>" * 20000):
+        markup.Document(raw).text()
+    assert time.time() - began < 20
+
+
 def test_markup_column(spark):
     df = spark.createDataFrame([("1", None, 1), ("2", "", 1), ("3", "<p>" * 20000, 1), ("4", LONG, 1)], "id string, raw_html string, markups int")
     got = {r["id"]: r for r in markup.clean_markup(df).collect()}
