@@ -4,16 +4,18 @@ Every character of a text is tagged as inside a unit or as its boundary by a lin
 after which a unit can end (end marks with their closing signs, line ends, spaces of scripts without end marks)
 have an uncertain tag, so Viterbi decoding runs over those. Emission scores are a log-linear model whose weights
 start from stated priors and are fitted on silver labels of a bounded sample: the ends of paragraphs, taken without
-the line break, are boundaries; a mark before a lower-case word is none. How often a word with a full stop ends a
-paragraph tells abbreviations; scripts without end marks are learned from paragraph ends without their punctuation
-against places inside runs.
+the line break, are boundaries; a mark before a lower-case word is none. Counts over all documents tell how often a
+word with a full stop ends a paragraph (abbreviations don't) and how often a capitalised word opens a sentence.
+Scripts without end marks are learned from text stripped of its punctuation: what stands at the joints of paragraphs
+against what stands inside, counted over all documents, weighed by a model fitted on the sample.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -22,13 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrowmap import explode_rows
+from ..runtime import cut
 
 #: Documents the model is fitted on, chosen by a hash.
 SAMPLE = 4000
+#: Least count of a word, and least share of all words counted, to be in the model: at most 1 / SHARE words are sent out.
+LEAST, SHARE = 5, 2e-6
 
 _CLOSE = "\"'”’»«“‘」』)\\]）】〉》›"
 _SHUT = "\"'”’»」』)\\]）】〉》›"
-_OPEN = "\"'“‘„«»「『([（【〈《‹¿¡‚"
+_OPEN = "\"'“‘„«»「『(\\[（【〈《‹¿¡‚"
 _BLIND = "​‌‍‎‏⁠﻿\xad"
 _RUNS = "฀-໿က-႟ក-៿"  # Thai, Lao, Myanmar, Khmer: no marks at the end
 _ENDS = re.compile(rf"(?P<t>[.!?…‥]+)(?P<c>(?:[{_CLOSE}]|[^\S\n]»)*)(?P<s>[\s{_BLIND}]+|\Z|(?<=[a-zà-ÿ]{{3}}[.!?])(?=[A-ZÀ-Þ¿¡(“„«])|(?<=[\u0620-\u064a]{{3}}[.!])(?=[\u0620-\u064a]))|(?P<u>[。！？｡।॥؟۔።]+)(?P<v>(?:[{_SHUT}]|[^\S\n]»)*)(?P<w>[\s{_BLIND}]*)|(?P<n>[^\S\n]*\n\s*)")
@@ -53,6 +58,9 @@ PRIOR = {
     "run=dig": -8.0, "line=shared": -7.0, "quote=first": -9.0, "quote=later": 1.0, "quote=particle": -7.0, "dig=.": -2.0, "low=full": 3.0,
 }
 
+#: Prior weights of what stands before and after a place in scripts without end marks (fixed values).
+RUN_PRIOR = (0.5, 1.0)
+
 
 def _kind(text: str, at: int) -> str:
     """What the text at a place starts with: a bullet, capital, small letter, digit, caseless letter, other, end."""
@@ -189,6 +197,7 @@ class Model:
     stops: dict[str, float] = field(default_factory=dict)
     starts: dict[str, float] = field(default_factory=dict)
     runs: tuple[dict[str, float], dict[str, float]] = field(default_factory=lambda: ({}, {}))
+    run_weights: tuple[float, float] = RUN_PRIOR
     unseen: float = 0.0
 
     def word_score(self, w: str) -> float:
@@ -200,7 +209,7 @@ class Model:
     def run_score(self, run: str) -> float:
         a, b = run.split("|", 1)
         left, right = self.runs
-        return left.get(a, 0.0) + right.get(b[:1], 0.0)
+        return self.run_weights[0] * left.get(a, 0.0) + self.run_weights[1] * right.get(b[:1], 0.0)
 
     def score(self, c: Candidate) -> float:
         s = sum(self.weights.get(x, 0.0) for x in c.features)
@@ -284,53 +293,151 @@ def _units(text: str, ends: list[int]) -> list[int]:
     return out
 
 
-def fit(texts: list[str], rounds: int = 60, pull: float = 0.02) -> Model:
-    """Fit on whole texts. pull: how strongly the weights are held at their priors."""
+def stripped_paragraphs(text: str) -> list[str]:
+    """The paragraphs of a text without their punctuation and spaces."""
+    found = [re.sub(r"[^\w฀-໿က-႟ក-៿]+", "", p) for p in re.split(r"\n\s*\n", text)]
+    return [p for p in found if p]
+
+
+@dataclass
+class Counts:
+    """Counts over documents: words before a full stop (all, at paragraph ends), capitalised words (all, opening a
+    sentence), and in scripts without end marks two characters before and one after a place (at joints, inside)."""
+
+    total: Counter = field(default_factory=Counter)
+    final: Counter = field(default_factory=Counter)
+    seen: Counter = field(default_factory=Counter)
+    opens: Counter = field(default_factory=Counter)
+    joins_l: Counter = field(default_factory=Counter)
+    joins_r: Counter = field(default_factory=Counter)
+    in_l: Counter = field(default_factory=Counter)
+    in_r: Counter = field(default_factory=Counter)
+    sums: dict[str, int] = field(default_factory=dict)
+
+    def sum(self, name: str) -> int:
+        """Of all that was counted, also of what is too rare to be kept."""
+        return self.sums.get(name) or sum(getattr(self, name).values())
+
+    def add_runs(self, text: str) -> None:
+        paragraphs = stripped_paragraphs(text)
+        for a, b in zip(paragraphs, paragraphs[1:]):
+            self.joins_l[a[-2:]] += 1
+            self.joins_r[b[:1]] += 1
+        for p in paragraphs:
+            self.in_l.update(p[max(0, i - 2) : i] for i in range(1, len(p)))
+            self.in_r.update(p[1:])
+
+
+#: The same places as _ENDS finds, in the JVM's notation: the word before a single full stop, and a capitalised word
+#: that opens a text, a paragraph, or what follows a question or an exclamation.
+_STOPPED = rf"(?<![^\s{_OPEN}–—])([^\s{_OPEN}–—]+)(?<![.!?…‥])\.(?:[{_CLOSE}])*"
+_COUNTED = {
+    "total": _STOPPED + rf"(?=[\s{_BLIND}]|\z)",
+    "final": _STOPPED + rf"(?=[^\S\n]*\n\s*\n|[\s{_BLIND}]*\z)",
+    "seen": r"(?<!\p{L})(\p{Lu}\p{L}*)",
+    "opens": rf"(?:\A|\n[^\S\n]*\n|[!?][{_CLOSE}]*\s)[\s{_OPEN}{_BLIND}]*(\p{{Lu}}\p{{L}}*)",
+}
+
+
+def corpus_counts(df: DataFrame, text: str = "text") -> Counts:
+    """Counts over all texts; words that are too rare to matter (LEAST, SHARE) are counted but not sent to the driver."""
+    src = df.select(F.col(text).alias("t")).where(F.length("t") > 0)
+    words = F.flatten(F.array(*(F.transform(F.regexp_extract_all("t", F.lit("(?U)" + p), F.lit(1)), _labelled(k)) for k, p in _COUNTED.items())))
+    each = src.select(F.explode(words).alias("w")).select("w.kind", F.when(F.col("w.kind").isin("total", "final"), F.when(F.col("w.word").rlike(r"^[\d.,]*\d[\d.,]*$"), "9").otherwise(F.lower("w.word"))).otherwise(F.col("w.word")).alias("word"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Counts()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                c.add_runs(t)
+        rows = [(k, w, n) for k in ("joins_l", "joins_r", "in_l", "in_r") for w, n in getattr(c, k).items()]
+        if rows:
+            k, w, n = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), pa.array(n, pa.int64())], ["kind", "word", "n"])
+
+    # Two characters of a few scripts: their number is bounded by the scripts.
+    inside = src.where(F.col("t").rlike(f"[{_RUNS}]")).mapInArrow(runs, "kind string, word string, n long")
+    counted = cut(each.groupBy("kind", "word").agg(F.count("*").alias("n")).unionByName(inside.groupBy("kind", "word").agg(F.sum("n").alias("n"))))
+    sums = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # eight rows
+    out = Counts(sums=sums)
+    least = {k: max(LEAST if k in ("total", "seen") else 1, SHARE * sums.get({"final": "total", "opens": "seen"}.get(k, k), 0)) for k in sums}
+    # `final` and `opens` are wanted for the words kept of `total` and `seen`.
+    pairs = counted.where("kind in ('total', 'final', 'seen', 'opens')").groupBy(F.when(F.col("kind").isin("total", "final"), "total").otherwise("seen").alias("of"), "word").agg(F.max(F.when(F.col("kind").isin("total", "seen"), F.col("n"))).alias("n"), F.max(F.when(F.col("kind").isin("final", "opens"), F.col("n"))).alias("m"))
+    for r in pairs.where(((F.col("of") == "total") & (F.col("n") >= least.get("total", 1))) | ((F.col("of") == "seen") & (F.col("n") >= least.get("seen", 1)))).toLocalIterator():
+        a, b = (out.total, out.final) if r["of"] == "total" else (out.seen, out.opens)
+        a[r["word"]], b[r["word"]] = r["n"], r["m"] or 0
+    for r in counted.where("kind in ('joins_l', 'joins_r', 'in_l', 'in_r')").toLocalIterator():
+        getattr(out, r["kind"])[r["word"]] = r["n"]
+    return out
+
+
+def _labelled(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("word"))
+
+
+def text_counts(texts: list[str]) -> Counts:
+    """The same counts of a few texts."""
+    import regex
+
+    c = Counts()
+    for text in texts:
+        for k, p in _COUNTED.items():
+            for w in regex.findall(p.replace(r"\z", r"\Z"), text):
+                getattr(c, k)[("9" if regex.fullmatch(r"[\d.,]*\d[\d.,]*", w) else w.lower()) if k in ("total", "final") else w] += 1
+        if _HAS_RUNS(text):
+            c.add_runs(text)
+    return c
+
+
+def _logistic(x, y, prior, rounds: int, pull: float):
+    """Weights of a logistic model with a constant, held at their priors."""
+    import numpy as np
+
+    w, base = np.array(prior, float), math.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))
+    for _ in range(rounds):
+        g = 1 / (1 + np.exp(-np.clip(x @ w + base, -30, 30))) - y
+        base -= 4 * g.mean()
+        w -= 4 * (x * g[:, None]).mean(0) + 0.5 * pull * (w - np.array(prior))
+    return w
+
+
+def fit(texts: list[str], counts: Counts | None = None, rounds: int = 60, pull: float = 0.02) -> Model:
+    """Fit on whole texts, with counts over all documents or else of these texts.
+
+    pull: how strongly the weights are held at their priors.
+    """
     import numpy as np
 
-    final, total, opens, seen = Counter(), Counter(), Counter(), Counter()
-    joins_l, joins_r, in_l, in_r = Counter(), Counter(), Counter(), Counter()
+    c = counts or text_counts(texts)
     examples: list[tuple[tuple[str, ...], str, float]] = []
     for text in texts:
-        found = candidates(text)
-        seen.update(w for w in _WORDS(text) if w[0].isupper())
-        starts = [0, *(c.end for c in found if c.gap.count("\n") > 1 or "t=!" in c.features and "next=up" in c.features)]
-        for at in starts:
-            n = _NEXT_WORD(text, _FIRST(text, at).end())
-            if n and n[0][0].isupper():
-                opens[n[0]] += 1
-        for c in found:
-            blank = c.gap.count("\n") > 1 or c.end >= len(text)
-            if c.word:
-                total[c.word] += 1
-                final[c.word] += blank
-            known = [x for x in c.features if x.startswith(("t=", "next=", "dig=", "low=", "quote="))]
+        for m in candidates(text):
+            blank = m.gap.count("\n") > 1 or m.end >= len(text)
+            known = [x for x in m.features if x.startswith(("t=", "next=", "dig=", "low=", "quote="))]
             if "t=none" in known or "t=run" in known:
                 continue
-            if blank and c.end < len(text):
-                examples.append(((*known, "gap=space"), c.word, 1.0))
-            elif "next=low" in known and "\n" not in c.gap and "t=full" not in known:
-                examples.append(((*known, "gap=space"), c.word, 0.0))
-        if _HAS_RUNS(text):
-            # Paragraphs without their punctuation and spaces: their joints are boundaries, all other places aren't.
-            paragraphs = [re.sub(r"[^\w฀-໿က-႟ក-៿]+", "", p) for p in re.split(r"\n\s*\n", text)]
-            paragraphs = [p for p in paragraphs if p]
-            for a, b in zip(paragraphs, paragraphs[1:]):
-                joins_l[a[-2:]] += 1
-                joins_r[b[:1]] += 1
-            for p in paragraphs:
-                for i in range(1, len(p)):
-                    in_l[p[max(0, i - 2) : i]] += 1
-                    in_r[p[i]] += 1
+            if blank and m.end < len(text):
+                examples.append(((*known, "gap=space"), m.word, 1.0))
+            elif "next=low" in known and "\n" not in m.gap and "t=full" not in known:
+                examples.append(((*known, "gap=space"), m.word, 0.0))
     model = Model()
-    share = (sum(final.values()) + 1) / (sum(total.values()) + 2)
-    model.stops = {w: math.log((final[w] + 2 * share) / ((n + 2) * share)) for w, n in total.items() if n >= 5}
-    part = (sum(opens.values()) + 1) / (sum(seen.values()) + 2)
-    model.starts = {w: max(-6.0, min(3.0, math.log((opens[w] + 0.5 * part) / ((n + 0.5) * part)))) for w, n in seen.items() if n >= 3}
-    if joins_l:
-        n, k = sum(joins_l.values()), sum(in_l.values())
+    share = (c.sum("final") + 1) / (c.sum("total") + 2)
+    model.stops = {w: math.log((c.final[w] + 2 * share) / ((n + 2) * share)) for w, n in c.total.items() if n >= LEAST}
+    part = (c.sum("opens") + 1) / (c.sum("seen") + 2)
+    model.starts = {w: max(-6.0, min(3.0, math.log((c.opens[w] + 0.5 * part) / ((n + 0.5) * part)))) for w, n in c.seen.items() if n >= 3}
+    if c.joins_l:
+        n, k = c.sum("joins_l"), c.sum("in_l")
         ratio = lambda a, b: max(-3.0, min(3.0, math.log((a + 0.5) / (n + 50)) - math.log((b + 0.5) / (k + 50))))
-        model.runs = ({x: 0.5 * ratio(joins_l[x], in_l[x]) for x in in_l}, {x: ratio(joins_r[x], in_r[x]) for x in in_r})
+        left, right = model.runs = ({x: ratio(c.joins_l[x], c.in_l[x]) for x in c.in_l}, {x: ratio(c.joins_r[x], c.in_r[x]) for x in c.in_r})
+        rows = []
+        for text in filter(_HAS_RUNS, texts):
+            whole = stripped_paragraphs(text)
+            for p, q in zip(whole, whole[1:]):
+                rows.append((left.get(p[-2:], 0.0), right.get(q[:1], 0.0), 1.0))
+            rows += [(left.get(p[max(0, i - 2) : i], 0.0), right.get(p[i], 0.0), 0.0) for p in whole for i in range(1, len(p))]
+        x = np.array(rows)
+        if len(x) and x[:, 2].any():
+            model.run_weights = tuple(float(v) for v in _logistic(x[:, :2], x[:, 2], RUN_PRIOR, rounds, pull))
     if examples:
         names = sorted({x for fs, _, _ in examples for x in fs})
         at = {x: i for i, x in enumerate(names)}
@@ -368,14 +475,16 @@ def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", model
 
     start_char is where the unit's first visible character stands, end_char counts characters up to and including
     its last. Null, empty and blank texts give no rows; a repeated row gives its units again. Other columns are
-    ignored. Without a model, one is fitted on a bounded sample of this table.
+    ignored. Without a model, one is fitted on counts over this table and on a bounded sample of it.
     """
-    model = model or fit(sorted(sample_texts(df, key, text)))
+    shared = df.sparkSession.sparkContext.broadcast(model or fit(sorted(sample_texts(df, key, text)), corpus_counts(df, text)))
     src = df.select(F.col(key).alias(key), F.col(text).alias("_body")).where(F.length("_body") > 0)
     fields = [T.StructField("unit_no", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]
     first = re.compile(rf"[\s{_BLIND}]*")
 
     def make():
+        model = shared.value
+
         def f(texts: pa.Array):
             index, no, a, b = [], [], [], []
             for i, t in enumerate(texts.to_pylist()):
