@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from ..functions.arrowmap import add_columns
 from ..runtime import tokenizer_path
 
-#: Most transitions and pieces a task remembers; beyond that it starts again, which changes no result.
-MOST_TRANSITIONS, MOST_PIECES = 3_000_000, 400_000
+#: Most transitions, pieces and pairs of tokens a task remembers; beyond that it starts again, which changes no result.
+MOST_TRANSITIONS, MOST_PIECES, MOST_FITS = 3_000_000, 400_000, 1_000_000
 
 #: The pre-tokenisation pattern of this family of public tokenizers (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -115,6 +115,8 @@ class Transducer:
         """Whether token b may follow token a: no merge across their border comes before those that made them."""
         known = self.fits.get((a, b))
         if known is None:
+            if len(self.fits) > MOST_FITS:
+                self.fits.clear()
             known = self.fits[(a, b)] = self._compatible(a, b)
         return known
 

@@ -12,5 +12,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES = {"p8_ids": p8_ids}
-ORACLE: dict = {}
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again from their ids: what goes in comes out, empty for a null text."""
+    return bpe.decode(p8_ids(spark, d)).select("doc_id", "text")
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded}
+ORACLE = {"p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}

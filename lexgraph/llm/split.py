@@ -127,11 +127,13 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int
 
 
 def latest(df: DataFrame, key: str, loaded: str | None) -> DataFrame:
-    """The latest delivery of each key; rows with a null key stay as they are."""
+    """The latest delivery of each key (of two at one time always the same); rows with a null key stay as they are."""
     if loaded is None:
         return df
-    first = F.row_number().over(W.partitionBy(key).orderBy(F.col(loaded).desc_nulls_last()))
-    return df.withColumn("_nth", F.when(F.col(key).isNull(), 1).otherwise(first)).where("_nth = 1").drop("_nth")
+    # A number for each row without a key, so that those rows spread over all tasks.
+    own = df.withColumn("_own", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    first = F.row_number().over(W.partitionBy(key, "_own").orderBy(F.col(loaded).desc_nulls_last(), F.xxhash64("body")))
+    return own.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_own")
 
 
 def oversized(text: Column, limit: int = LIMIT) -> Column:

@@ -42,6 +42,13 @@ def test_bpe_round_trip_and_state_machine(encoder):
     assert "".join(bpe.decode_stream([0, 1, 2], {0: b"\xe2\x82", 1: b"a", 2: b"\xf0\x9f"})) == b"\xe2\x82a\xf0\x9f".decode("utf-8", "replace")
 
 
+def test_bpe_forgets_and_stays_the_same(encoder, monkeypatch):
+    for name in ("MOST_TRANSITIONS", "MOST_PIECES", "MOST_FITS"):
+        monkeypatch.setattr(bpe, name, 50)
+    forgetful = bpe.Encoder(tokenizer_path())
+    assert [list(forgetful.ids(x)) for x in texts(60)] == [list(encoder.ids(x)) for x in texts(60)] and len(forgetful.fst.fits) < 100
+
+
 def test_bpe_column(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, LONG, "x"), (3, LONG, "x")], "doc_id long, text string, IDS string")
     got = bpe.encode(df).collect()
@@ -61,6 +68,12 @@ def test_split(spark):
     assert got.where("item_id = 'a' and piece_no = 1").count() == 1 and split.split_oversized(df.limit(0), "n", "id", "text").count() == 0
 
 
+def test_split_of_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, LONG, 1)] * 3 + [("a", LONG, 1), ("a", LONG + "x", 1)], "id string, text string, loaded_at int")
+    got = split.split_oversized(df, "node", "id", "text", "loaded_at").where("piece_no = 1").groupBy("item_id").count()
+    assert {r[0]: r[1] for r in got.collect()} == {None: 3, "a": 1}
+
+
 def test_split_cuts_at_the_change_of_topic():
     a = "The custodian reconciles ledger entries against custody statements daily. " * 14
     b = "Penguins hatch eggs under antarctic ice while whales migrate northward. " * 14
