@@ -1,9 +1,13 @@
 """Noise of scanned pages: a noisy channel over the words of a line, and the furniture of pages.
 
-Corpus counts of words and word pairs are kept in a count-min sketch of fixed size, over all texts. Running headers
-and footers are short title-like lines that interrupt sentences in many different surroundings. A text is repaired by
-dropping page furniture, closing words cut at line ends or spaced out, and decoding each line with a Viterbi search
-over candidate words: character confusion probabilities times the corpus likelihood of the words in their order.
+Words, word pairs and title-like lines of all texts are counted exactly, in tables. Running headers and footers are
+short title-like lines that interrupt sentences in many different surroundings. A text is repaired by dropping page
+furniture, closing words cut at line ends or spaced out, and decoding each line with a Viterbi search over candidate
+words: character confusion probabilities times the corpus likelihood of the words in their order.
+
+A word and all its misreadings have one key, so what a word may have been meant to be is found among the words of its
+key, once for each different word. A filter of fixed size tells which texts may have anything to repair; those ask for
+the counts they need, which are joined to them.
 """
 
 from __future__ import annotations
@@ -23,11 +27,9 @@ from pyspark.sql import types as T
 from ..functions.arrowmap import add_columns
 from ..runtime import cut
 
-#: Counters of the sketches (two rows each) of words, their keys and pairs, the proven bound on what is broadcast:
-#: 8, 8 and 16 MB.
-WORDS, PAIRS = 1 << 20, 1 << 21
-#: Bits of the set of running lines.
-LINES = 1 << 22
+#: Bits of the filter of words and lines that may have to do with scanning: a proven bound on what is broadcast (1 MB).
+#: What it lets through is looked up in the tables, so it changes no result.
+BITS = 1 << 23
 #: A word is known from this count on; a correction must be so many times as frequent as what was read.
 KNOWN, ODDS = 8, 8
 #: Different surroundings that make a repeated line a running header or footer; its longest length.
@@ -57,19 +59,18 @@ _PAGE = re.compile(
     r"(?:[-–—~\[(]\s*)?(?:(?:page|pg\.?|p\.|seite)\s*)?\d{1,4}(?:\s*(?:/|of|von)\s*\d{1,4})?(?:\s*[-–—~\])])?|\d{1,4}\s*\|\s*p\s*a\s*g\s*e|(?=[ivxlc])(?:x{0,4}c?l?x{0,4}(?:ix|iv|v?i{0,3}))|page\s+[ivxlc]+", re.I
 )
 _MAYBE_CUT = re.compile(r"[-¬\xad][^\S\n]*\n").search
+_MAYBE_ODD = re.compile(rf"[\d{re.escape(_ODD)}]").search
 _MAYBE_SPACED = re.compile(rf" {_LETTERS} {_LETTERS} {_LETTERS}").search
 _STOP = re.compile(r"[.!?:;…][\"'”’»)\]]*\Z").search
 _BULLET = re.compile(r"(?:[-–—•*·▪‣]|[(]?(?:\d{1,3}(?:\.\d{1,3})*|[A-Za-z]|[ivxIVX]{1,5})[.)]|\d{1,3}(?:\.\d{1,3})+)\s").match
 
 
 def _hash(s: str) -> int:
+    """The hash of a string as xxhash64 of Spark makes it."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
-
-
-def _cells(h: int, width: int) -> tuple[int, int]:
-    return h & (width - 1), h >> 40 & (width - 1)
+    h = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def shape(line: str) -> str:
@@ -109,130 +110,209 @@ def interrupts(lines: list[str], i: int) -> bool:
     return not _STOP(before) and len(before) > 20 and (after[0].islower() or before[-1] in "-¬\xad")
 
 
-def _observe(text: str, words: Counter, pairs: Counter, seen: list[tuple[int, int, int]]) -> None:
-    ws = _WORD(text.lower())
+def _cuts(lines: list[str], dropped) -> Iterator[tuple[re.Match, str]]:
+    """Words cut at a line's end, with each line they may go on in, and both lines closed.
+
+    Lines for which `dropped` holds may be page furniture: the word may go on in them or after them.
+    """
+    for i, line in enumerate(lines):
+        if not line.strip() or line.rstrip()[-1] not in "-¬\xad":
+            continue
+        for j in range(i + 1, len(lines)):
+            if lines[j].strip():
+                pair = f"{line}\n{lines[j]}"
+                m = _CUT.search(pair)
+                if m:
+                    yield m, _CUT.sub(r"\1\3", pair)
+                if not dropped(j):
+                    break
+
+
+def _observe(text: str, words: Counter, pairs: Counter, odd: set[str], seen: dict[tuple[str, int], int]) -> None:
+    low = text.lower()
+    ws = _WORD(low)
     words.update(ws)
     pairs.update(zip(ws, ws[1:]))
+    if _MAYBE_ODD(low):
+        odd.update(x for x in set(_TOKEN.findall(low)) if not x.isalpha() and _correctable(x))
+    if _MAYBE_SPACED(text):
+        odd.update(x for m in _SPACED.finditer(low) for x in _TOKEN.findall(m[0].replace(" ", "")) if _correctable(x))
     if "\n" in text:
         lines = _lines(text)
+        if _MAYBE_CUT(text):
+            for _, closed in _cuts(lines, lambda j: is_page_number(lines[j]) or title_like(lines[j].strip())):
+                odd.update(x for x in _TOKEN.findall(closed.lower()) if x not in words and _correctable(x))
         for i, line in enumerate(lines):
             s = line.strip()
             if s and title_like(s) and not is_page_number(s):
                 j = i - 1
                 while j >= 0 and not lines[j].strip():
                     j -= 1
-                seen.append((_hash(shape(s)), _hash(lines[j].strip()) if j >= 0 else 0, int(interrupts(lines, i) or line.startswith("\f") and 0 < i)))
+                at = (shape(s), _hash(lines[j].strip()) if j >= 0 else 0)
+                seen[at] = max(seen.get(at, 0), int(interrupts(lines, i) or line.startswith("\f") and 0 < i))
+
+
+def _is_odd(w: str) -> bool:
+    return any(c in _ODD or c.isdigit() for c in w)
+
+
+def _correctable(w: str) -> bool:
+    """Whether a token (in lower case) can be a misreading: long enough, and mostly letters."""
+    letters = sum(c.isalpha() for c in w)
+    return letters >= 2 and 4 <= len(w) <= 40 and not (letters < len(w) / 2 and _is_odd(w))
 
 
 @dataclass
 class Corpus:
-    """Counts over all texts, in tables of fixed size."""
+    """What all texts of a table tell: counts of words(word, n) and pairs(h, n) by hash, the readings that the corpus
+    supports, choices(word, found), running lines, running(shape), the number of all words, and the filter."""
 
-    words: np.ndarray
-    keys: np.ndarray
-    pairs: np.ndarray
-    lines: np.ndarray
+    words: DataFrame
+    pairs: DataFrame
+    choices: DataFrame
+    running: DataFrame
     total: int
+    bits: np.ndarray
 
-    def count(self, w: str) -> int:
-        a, b = _cells(_hash(w), WORDS)
-        return int(min(self.words[0, a], self.words[1, b]))
-
-    def pair(self, v: str, w: str) -> int:
-        a, b = _cells(_hash(v + " " + w), PAIRS)
-        return int(min(self.pairs[0, a], self.pairs[1, b]))
 
-    def running(self, line: str) -> bool:
-        at = _hash(shape(line)) & (LINES - 1)
-        return bool(self.lines[at >> 3] >> (at & 7) & 1)
+_FOUND = "array<struct<word:string,p:double,n:long>>"
 
 
 def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
-    """Word and pair counts and running lines of all texts of the table."""
+    """Word and pair counts, readings and running lines of all texts of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         pairs: Counter = Counter()
+        odd: set[str] = set()
+        seen: dict[tuple[str, int], int] = {}
 
-        def flush() -> pa.RecordBatch:
-            ws = np.zeros(WORDS * 2, np.int64)
-            ks = np.zeros(WORDS * 2, np.int64)
-            ps = np.zeros(PAIRS * 2, np.int64)
-            n = sum(words.values())
+        def flush() -> Iterator[pa.RecordBatch]:
             parts: Counter = Counter()
             for w, c in words.items():
                 parts[w] += c
                 if "-" in w:
                     for x in w.split("-"):
                         parts[x] += c
-            for w, c in parts.items():
-                a, b = _cells(_hash(w), WORDS)
-                ws[a] += c
-                ws[WORDS + b] += c
-                a, b = _cells(_hash(w.translate(_KEY)), WORDS)
-                ks[a] += c
-                ks[WORDS + b] += c
-            for (v, w), c in pairs.items():
-                a, b = _cells(_hash(v + " " + w), PAIRS)
-                ps[a] += c
-                ps[PAIRS + b] += c
-            wi, pi, ki = np.flatnonzero(ws), np.flatnonzero(ps), np.flatnonzero(ks)
-            kind = np.concatenate([np.zeros(len(wi), np.int32), np.ones(len(pi), np.int32), np.full(1, 3, np.int32), np.full(len(ki), 4, np.int32)])
-            k1 = np.concatenate([wi, pi, [0], ki])
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(k1.astype(np.int64)), pa.array(np.zeros(len(k1), np.int64)), pa.array(np.concatenate([ws[wi], ps[pi], [n], ks[ki]]))], ["kind", "k1", "k2", "n"])
+            kinds = (
+                (0, list(parts), None, list(parts.values())),
+                (1, None, [_hash(f"{v} {w}") for v, w in pairs], list(pairs.values())),
+                (2, [s for s, _ in seen], [h for _, h in seen], list(seen.values())),
+                (3, None, None, [sum(words.values())]),
+                (4, list(odd), None, [0] * len(odd)),
+            )
+            for kind, s, h, n in kinds:
+                if n:
+                    none = [None] * len(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array(s or none, pa.string()), pa.array(h or none, pa.int64()), pa.array(n, pa.int64())], ["kind", "s", "h", "n"])
 
         for b in batches:
-            seen: list[tuple[int, int, int]] = []
             for t in b.column(0).to_pylist():
                 if t:
-                    _observe(t, words, pairs, seen)
-            if seen:
-                x = np.array([(a & (1 << 63) - 1, p & (1 << 63) - 1, n) for a, p, n in seen], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), 2, np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2])], ["kind", "k1", "k2", "n"])
+                    _observe(t, words, pairs, odd, seen)
             if len(pairs) > 2_000_000:
-                yield flush()
-                words.clear()
-                pairs.clear()
-        if words:
-            yield flush()
-
-    seen = cut(texts.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInArrow(run, "kind int, k1 long, k2 long, n long"))
-    cells = seen.where("kind <> 2").groupBy("kind", "k1").agg(F.sum("n").alias("n"))
-    ws, ks, ps = np.zeros(WORDS * 2, np.uint32), np.zeros(WORDS * 2, np.uint32), np.zeros(PAIRS * 2, np.uint32)
-    got = cells.select((F.col("kind") * F.lit(1 << 32) + F.col("k1")).alias("k"), F.least("n", F.lit(2**32 - 1)).alias("n")).toArrow()  # at most one row per counter
-    k, n = got.column("k").to_numpy(), got.column("n").to_numpy()
-    kind, at = k >> 32, k & (1 << 32) - 1
-    ws[at[kind == 0]] = n[kind == 0]
-    ps[at[kind == 1]] = n[kind == 1]
-    ks[at[kind == 4]] = n[kind == 4]
-    total = int(n[kind == 3].sum())
+                yield from flush()
+                for x in (words, pairs, odd, seen):
+                    x.clear()
+        if words or seen or odd:
+            yield from flush()
+
+    made = texts.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInArrow(run, "kind int, s string, h long, n long")
+    counted = cut(made.groupBy("kind", "s", "h").agg(F.sum("n").alias("n")))
+    total = counted.where("kind = 3").agg(F.sum("n")).first()[0] or 0
+    words = counted.where("kind = 0").select(F.col("s").alias("word"), "n")
     # A line counts once for each surrounding, so that copies of a text don't make their lines recur.
-    places = seen.where("kind = 2").groupBy("k1", "k2").agg(F.max("n").alias("n"))
-    recur = places.groupBy("k1").agg(F.count("*").alias("m"), F.sum("n").alias("n")).where((F.col("m") >= SURROUNDINGS) & (F.col("n") * 2 >= F.col("m")))
-    bits = recur.select(F.col("k1").bitwiseAND(F.lit(LINES - 1)).alias("b")).distinct().toArrow()  # at most LINES rows
-    flags = np.zeros(LINES, np.uint8)
-    flags[bits.column("b").to_numpy()] = 1
-    return Corpus(ws.reshape(2, -1), ks.reshape(2, -1), ps.reshape(2, -1), np.packbits(flags, bitorder="little"), total)
+    recur = counted.where("kind = 2").groupBy(F.col("s").alias("shape")).agg(F.count("*").alias("m"), F.count_if(F.col("n") > 0).alias("n"))
+    running = cut(recur.where((F.col("m") >= SURROUNDINGS) & (F.col("n") * 2 >= F.col("m"))).select("shape"))
+    choices = cut(_choices(words.unionByName(counted.where("kind = 4").select(F.col("s").alias("word"), F.lit(0).cast("long").alias("n"))), total))
+    asked = choices.select(F.concat(F.lit("c:"), "word").alias("q")).unionByName(running.select(F.concat(F.lit("s:"), "shape").alias("q")))
+    at = asked.select(F.xxhash64("q").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()  # at most BITS rows
+    flags = np.zeros(BITS, np.uint8)
+    flags[at] = 1
+    return Corpus(words, counted.where("kind = 1").select("h", "n"), choices, running, total, np.packbits(flags, bitorder="little"))
+
+
+def _choices(tokens: DataFrame, total: int) -> DataFrame:
+    """word, found: the readings (word, p, n) that the corpus supports for each of tokens(word, n) that may be misread.
+
+    Tokens of one key are brought together; there are as many as different ways to read one word.
+    """
+    #: Words more frequent than this are no misreadings.
+    most = max(50 * KNOWN, total * 3e-5)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ws = b.column(0).to_pylist()
+            at = [i for i, w in enumerate(ws) if _correctable(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([ws[i].translate(_KEY) for i in at], pa.string()), b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64()))], ["key", "word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(rows: list[tuple[str, list[tuple[str, float, int]]]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([[{"word": r, "p": p, "n": n} for r, p, n in f] for _, f in rows], pa.list_(pa.struct([("word", pa.string()), ("p", pa.float64()), ("n", pa.int64())])))], ["word", "found"])
+
+        now, group, out = None, [], []
+        for b in batches:
+            for key, w, n in zip(*(c.to_pylist() for c in b.columns)):
+                if key != now:
+                    out += _readings_of(group, most)
+                    now, group = key, []
+                    if len(out) > 5000:
+                        yield result(out)
+                        out = []
+                group.append((w, n))
+        out += _readings_of(group, most)
+        if out:
+            yield result(out)
+
+    keyed = tokens.select("word", "n").mapInArrow(keys, "key string, word string, n long")
+    return keyed.repartition("key").sortWithinPartitions("key", "word").mapInArrow(run, f"word string, found {_FOUND}")
+
+
+def _readings_of(group: list[tuple[str, int]], most: float) -> list[tuple[str, list[tuple[str, float, int]]]]:
+    """For the words (with counts) of one key: those that may be misread, with the readings that the corpus supports."""
+    known = {w: n for w, n in group if n >= KNOWN and w.isalpha()}
+    if not known:
+        return []
+    counted: dict[str, int] = {}
+    for w, n in group:  # what was seen in a closed form only comes with 0
+        counted[w] = max(n, counted.get(w, 0))
+    group = [*counted.items()]
+    whole = sum(n for _, n in group)
+    out = []
+    for w, n in group:
+        odd = _is_odd(w)
+        rest = whole - n  # of all words that could be read so
+        if n >= most or rest < KNOWN or rest < ODDS * n:
+            continue
+        # Two confusions in a word are tried if one doesn't explain it and the word isn't known itself.
+        for depth in (0, 1, 2) if odd else (1, 2)[: 2 if n < KNOWN else 1]:
+            found = [(r, p, known[r]) for r, p in Repairer._readings(w, depth).items() if r != w and len(r) >= 4 and known.get(r, 0) >= ODDS * n and r in known]
+            if found:
+                out.append((w, sorted(found, key=lambda x: -x[1] - math.log(x[2]))[:6]))
+                break
+    return out
 
 
 class Repairer:
-    def __init__(self, corpus: Corpus) -> None:
-        self.corpus = corpus
-        self.first, self.second = memoryview(corpus.words[0].copy()), memoryview(corpus.words[1].copy())
-        self.third, self.fourth = memoryview(corpus.keys[0].copy()), memoryview(corpus.keys[1].copy())
-        #: Words more frequent than this are no misreadings.
-        self.most = max(50 * KNOWN, corpus.total * 3e-5)
-        self.known: dict[str, int] = {}
-        self.options: dict[str, tuple[tuple[str, float], ...]] = {}
+    """Repairs one text at a time with what was looked up for it."""
+
+    def __init__(self, total: int, facts: list[dict] | None = None, numbers: list[dict] | None = None) -> None:
+        self.total = max(1, total)
+        facts = facts or []
+        self.known: dict[str, int] = {f["q"][2:]: f["n"] for f in facts if f["q"][0] == "w"}
+        self.options = {f["q"][2:]: tuple((x["word"], x["p"]) for x in f["found"]) for f in facts if f["q"][0] == "c"}
+        self.lines = {f["q"][2:] for f in facts if f["q"][0] == "s"}
+        for f in facts:
+            if f["q"][0] == "c":
+                self.known |= {x["word"]: x["n"] for x in f["found"]}
+        self.numbers = {f["h"]: f["n"] for f in numbers or []}
 
     def count(self, w: str) -> int:
         n = self.known.get(w)
-        if n is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            a, b = _cells(_hash(w), WORDS)
-            n = self.known[w] = min(self.first[a], self.second[b])
-        return n
+        return n if n is not None else self.numbers.get(_hash(w), 0)
+
+    def pair(self, v: str, w: str) -> int:
+        return self.numbers.get(_hash(f"{v} {w}"), 0)
 
     @staticmethod
     def _confused(s: str) -> Iterator[tuple[str, float]]:
@@ -244,7 +324,8 @@ class Repairer:
                 for meant, q in _TWO.get(s[i : i + 2], ()):
                     yield s[:i] + meant + s[i + 2 :], q
 
-    def _readings(self, w: str, depth: int) -> dict[str, float]:
+    @staticmethod
+    def _readings(w: str, depth: int) -> dict[str, float]:
         """What may have been meant by w, with the logarithm of the channel's probability.
 
         Signs that are no letters are replaced in every case; beyond those at most `depth` confusions are undone.
@@ -259,7 +340,7 @@ class Repairer:
         for _ in range(depth):
             nxt: dict[str, float] = {}
             for t, v in layer.items():
-                for r, q in self._confused(t):
+                for r, q in Repairer._confused(t):
                     if r not in best or best[r] < v + q:
                         best[r] = nxt[r] = v + q
             layer = nxt
@@ -267,53 +348,40 @@ class Repairer:
 
     def candidates(self, token: str) -> tuple[tuple[str, float], ...]:
         """The readings of a token that the corpus supports; empty if it stands as it is."""
-        got = self.options.get(token)
-        if got is not None:
-            return got
-        if len(self.options) > 300_000:
-            self.options.clear()
-        w = token.lower()
-        odd = any(c in _ODD or c.isdigit() for c in w)
-        out: tuple[tuple[str, float], ...] = ()
-        letters = sum(c.isalpha() for c in w)
-        if letters >= 2 and len(w) >= 4 and len(w) <= 40 and not (odd and letters < len(w) / 2):
-            n = 0 if odd else self.count(w)
-            a, b = _cells(_hash(w.translate(_KEY)), WORDS)
-            rest = min(self.third[a], self.fourth[b]) - n  # of all words that could be read so
-            if n < self.most and rest >= KNOWN and rest >= ODDS * n:
-                # Two confusions in a word are tried if one doesn't explain it and the word isn't known itself.
-                for depth in (0, 1, 2) if odd else (1, 2)[: 2 if n < KNOWN else 1]:
-                    found = []
-                    for r, p in self._readings(w, depth).items():
-                        if r != w and len(r) >= 4:
-                            m = self.count(r)
-                            if m >= KNOWN and m >= ODDS * n and r.isalpha():
-                                found.append((r, p))
-                    if found:
-                        out = tuple(sorted(found, key=lambda x: -x[1] - math.log(self.count(x[0])))[:6])
-                        break
-        self.options[token] = out
+        return self.options.get(token.lower(), ())
+
+    def _rows(self, tokens: list[str]) -> list[list[tuple[str, float]]]:
+        """The options of each token of a line: itself and its readings."""
+        out = []
+        for t in tokens:
+            w, c = t.lower(), self.candidates(t)
+            out.append([(w, -12.0 if c and any(x in _ODD for x in w) else 0.0), *c])
         return out
 
-    def _viterbi(self, tokens: list[str], choices: list[tuple[tuple[str, float], ...]]) -> list[str]:
-        """The likeliest words of a line."""
-        total = max(1, self.corpus.total)
+    def _viterbi(self, rows: list[list[tuple[str, float]]]) -> list[str]:
+        """The likeliest words of a line. What stands between two words without a choice is the same for all."""
 
         def unigram(w: str) -> float:
-            return math.log((self.count(w) + 0.1) / total)
+            return math.log((self.count(w) + 0.1) / self.total)
 
         def bigram(v: str, w: str) -> float:
-            pw = (self.count(w) + 0.1) / total
-            return math.log((self.corpus.pair(v, w) + 20 * pw) / (self.count(v) + 20))
+            pw = (self.count(w) + 0.1) / self.total
+            return math.log((self.pair(v, w) + 20 * pw) / (self.count(v) + 20))
 
+        # Figures and the like are no words of the corpus and say nothing about their neighbours.
+        word = [len(options) > 1 or options[0][0].isalpha() for options in rows]
         table: list[dict[str, tuple[float, str | None]]] = []
-        for i, t in enumerate(tokens):
-            w = t.lower()
-            own = [(w, 0.0)] if not choices[i] or not any(c in _ODD for c in w) else [(w, -12.0)]
+        for i, options in enumerate(rows):
             row: dict[str, tuple[float, str | None]] = {}
-            for r, p in (*own, *choices[i]):
+            for r, p in options:
                 if not table:
-                    row[r] = (p + unigram(r), None)
+                    row[r] = (p + (unigram(r) if len(options) > 1 else 0.0), None)
+                elif not word[i] or not word[i - 1]:
+                    v, (s, _) = max(table[-1].items(), key=lambda x: x[1][0])
+                    row[r] = (s + p + (unigram(r) if len(options) > 1 else 0.0), v)
+                elif len(options) == len(rows[i - 1]) == 1:
+                    v, (s, _) = next(iter(table[-1].items()))
+                    row[r] = (s + p, v)
                 else:
                     row[r] = max(((s + bigram(v, r) + p, v) for v, (s, _) in table[-1].items()), key=lambda x: x[0])
             table.append(row)
@@ -339,7 +407,7 @@ class Repairer:
                     out.add(i)
             elif title_like(s):
                 numbered = re.match(r"\d{1,4}\s{2,}\S|.*\S\s{2,}\d{1,4}$", s) is not None
-                if page or self.corpus.running(s) or (numbered or s.isupper()) and interrupts(lines, i):
+                if page or shape(s) in self.lines or (numbered or s.isupper()) and interrupts(lines, i):
                     out.add(i)
         return out
 
@@ -356,8 +424,8 @@ class Repairer:
                 return None
         return left + right
 
-    def repair(self, text: str) -> tuple[str, int]:
-        """The text in continuous paragraphs and the number of traces of scanning; unchanged if there are none."""
+    def close(self, text: str) -> tuple[str, int]:
+        """The text without page furniture, cut and spaced words closed, and the number of traces found so far."""
         traces = 0
         lines = _lines(text)
         body = text
@@ -397,17 +465,34 @@ class Repairer:
 
         if _MAYBE_SPACED(closed):
             closed = _SPACED.sub(unspace, closed)
+        return closed, traces
+
+    def suspects(self, closed: str) -> Iterator[tuple[int, str, list[re.Match], list[list[tuple[str, float]]]]]:
+        """The lines with tokens that may be misread: number, line, tokens, options."""
+        found = [t for t in set(_TOKEN.findall(closed)) if self.candidates(t)]
+        for k, line in enumerate(closed.split("\n")) if found else ():
+            if any(t in line for t in found):
+                spans = [*_TOKEN.finditer(line)]
+                yield k, line, spans, self._rows([m[0] for m in spans])
+
+    def needs(self, text: str) -> set[int]:
+        """Hashes of the words and pairs whose counts decide between the options."""
+        out: set[int] = set()
+        for _, _, _, rows in self.suspects(self.close(text)[0]):
+            for a, b in zip([[], *rows], [*rows, []]):
+                if len(a) > 1 or len(b) > 1:
+                    out.update(_hash(w) for w, _ in (*a, *b) if w not in self.known)
+                    out.update(_hash(f"{v} {w}") for v, _ in a for w, _ in b)
+        return out
+
+    def repair(self, text: str) -> tuple[str, int]:
+        """The text in continuous paragraphs and the number of traces of scanning; unchanged if there are none."""
+        closed, traces = self.close(text)
         out = closed.split("\n")
-        suspects = [t for t in set(_TOKEN.findall(closed)) if self.candidates(t)]
-        for k, line in enumerate(out) if suspects else ():
-            if not any(t in line for t in suspects):
-                continue
-            spans = [m for m in _TOKEN.finditer(line)]
-            choices = [self.candidates(m[0]) for m in spans]
-            words = self._viterbi([m[0] for m in spans], choices)
+        for k, line, spans, rows in self.suspects(closed):
             parts, at = [], 0
-            for m, c, w in zip(spans, choices, words):
-                if c and w != m[0].lower():
+            for m, options, w in zip(spans, rows, self._viterbi(rows)):
+                if len(options) > 1 and w != m[0].lower():
                     traces += 1
                     parts += [line[at : m.start()], w.upper() if m[0].isupper() and len(m[0]) > 1 else w.capitalize() if m[0][0].isupper() else w]
                     at = m.end()
@@ -433,23 +518,107 @@ class Repairer:
         return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
+class Asker:
+    """What has to be looked up for a text: counts of words (w:), readings (c:), running lines (s:)."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.mask = memoryview(bits), 8 * len(bits) - 1
+        self.passed: dict[str, bool] = {}
+
+    def maybe(self, q: str) -> bool:
+        got = self.passed.get(q)
+        if got is None:
+            if len(self.passed) > 500_000:
+                self.passed.clear()
+            at = _hash(q) & self.mask
+            got = self.passed[q] = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        return got
+
+    def __call__(self, text: str) -> list[str] | None:
+        """The questions, or None if the text can have no trace of scanning."""
+        out: set[str] = set()
+        lines, any_ = _lines(text), False
+        filled = [i for i, x in enumerate(lines) if x.strip()] if len(lines) > 1 else []
+        maybe = set()
+        for i in filled if len(filled) > 1 else ():
+            s = lines[i].strip()
+            if is_page_number(s):
+                maybe.add(i)
+            elif title_like(s):
+                q = "s:" + shape(s)
+                if self.maybe(q):
+                    out.add(q)
+                    maybe.add(i)
+                elif lines[i].startswith("\f") or interrupts(lines, i):
+                    maybe.add(i)
+        any_ = bool(maybe)
+        for m, closed in _cuts(lines, maybe.__contains__) if _MAYBE_CUT(text) else ():
+            a, b = m[1].lower(), m[3].lower()
+            head, tail = a.rsplit("-", 1)[-1], b.split("-", 1)[0]
+            out.update(f"w:{w}" for w in (head + tail, f"{a}-{b}", head, tail))
+            out.add("c:" + head + tail)
+            out.update(q for q in ("c:" + x for x in _TOKEN.findall(closed.lower())) if self.maybe(q))
+            any_ = True
+        for m in _SPACED.finditer(text) if _MAYBE_SPACED(text) else ():
+            w = m[0].replace(" ", "").lower()
+            out.update(("w:" + w, "c:" + w))
+            out.update("c:" + x for x in _TOKEN.findall(w))
+            any_ = True
+        out.update(q for q in ("c:" + x for x in set(_TOKEN.findall(text.lower()))) if self.maybe(q))
+        return list(out) if out or any_ else None
+
+
+_ASK, _ROW, _FACTS, _NUMBERS = "_lexgraph_ask", "_lexgraph_row", "_lexgraph_facts", "_lexgraph_numbers"
+
+
 def repair_scanned(df: DataFrame, corpus: Corpus, text: str = "text", out: str = "repaired", traces: str = "traces", with_text: bool = True) -> DataFrame:
     """Add the repaired text and the number of traces of scanning found in it.
 
     A text without traces stays as it is, null and empty ones too (0 traces). Columns named like the new ones are
     replaced, others pass through; one output row per input row. Without with_text only the number is added.
     """
-    shared = df.sparkSession.sparkContext.broadcast(corpus)
+    bits = df.sparkSession.sparkContext.broadcast(corpus.bits)
+    new = [out, traces] if with_text else [traces]
+    keep = [c for c in df.columns if c.lower() not in {x.lower() for x in new} or c == text]
+    last = [c for c in keep if c.lower() not in {x.lower() for x in new}]
+    done = {out: F.col(text), traces: F.lit(0)}
+
+    def ask():
+        asker = Asker(bits.value)
+        return lambda texts: [pa.array([asker(t) if t else None for t in texts.to_pylist()], pa.list_(pa.string()))]
+
+    asked = add_columns(df.select(*keep), [text], [T.StructField(_ASK, T.ArrayType(T.StringType()))], ask)
+    clean = asked.where(F.col(_ASK).isNull()).select(*last, *(done[c].alias(c) for c in new))
+    some = cut(asked.where(F.col(_ASK).isNotNull()).withColumn(_ROW, F.monotonically_increasing_id()))
+
+    # First what words, readings and lines there are, then the counts that decide between readings.
+    none = F.lit(None).cast(_FOUND)
+    facts = corpus.words.select(F.concat(F.lit("w:"), "word").alias("q"), "n", none.alias("found"))
+    facts = facts.unionByName(corpus.choices.select(F.concat(F.lit("c:"), "word").alias("q"), F.lit(0).cast("long").alias("n"), "found"))
+    facts = facts.unionByName(corpus.running.select(F.concat(F.lit("s:"), "shape").alias("q"), F.lit(1).cast("long").alias("n"), none.alias("found")))
+    answers = some.select(_ROW, F.explode(_ASK).alias("q")).join(facts, "q").groupBy(_ROW).agg(F.collect_list(F.struct("q", "n", "found")).alias(_FACTS))
+    some = cut(some.drop(_ASK).join(answers, _ROW, "left"))
+
+    total = corpus.total
+
+    def need():
+        def f(texts: pa.Array, facts: pa.Array) -> list[pa.Array]:
+            return [pa.array([sorted(Repairer(total, k).needs(t)) for t, k in zip(texts.to_pylist(), facts.to_pylist())], pa.list_(pa.int64()))]
 
-    def make():
-        r = Repairer(shared.value)
+        return f
 
-        def f(texts: pa.Array) -> list[pa.Array]:
-            got = [r.repair(t) if t else (t, 0) for t in texts.to_pylist()]
+    needed = add_columns(some.where(F.exists(_FACTS, lambda x: x["found"].isNotNull())).select(_ROW, text, _FACTS), [text, _FACTS], [T.StructField(_ASK, T.ArrayType(T.LongType()))], need)
+    counts = corpus.pairs.unionByName(corpus.words.select(F.xxhash64("word").alias("h"), "n"))
+    numbers = needed.select(_ROW, F.explode(_ASK).alias("h")).join(counts, "h").groupBy(_ROW).agg(F.collect_list(F.struct("h", "n")).alias(_NUMBERS))
+
+    def make():
+        def f(texts: pa.Array, facts: pa.Array, numbers: pa.Array) -> list[pa.Array]:
+            got = [Repairer(total, k, n).repair(t) for t, k, n in zip(texts.to_pylist(), facts.to_pylist(), numbers.to_pylist())]
             n = pa.array([x for _, x in got], pa.int32())
             return [pa.array([t for t, _ in got], pa.string()), n] if with_text else [n]
 
         return f
 
-    fields = [T.StructField(traces, T.IntegerType())]
-    return add_columns(df, [text], [T.StructField(out, T.StringType()), *fields] if with_text else fields, make)
+    fields = [T.StructField(f"{_ROW}_{c}", T.StringType() if c == out else T.IntegerType()) for c in new]
+    repaired = add_columns(some.join(numbers, _ROW, "left"), [text, _FACTS, _NUMBERS], fields, make)
+    return clean.unionByName(repaired.select(*last, *(F.col(f"{_ROW}_{c}").alias(c) for c in new)))

@@ -284,6 +284,24 @@ def test_scanned(spark):
     assert scanned.repair_scanned(df.limit(0), scanned.corpus_counts(df.limit(0))).count() == 0
 
 
+def test_scanned_words_cut_inside_a_misreading(spark):
+    clean = ["The custodian must report irrespective of the quarterly ledger that exceeds 290 basis points of the firm."] * 60
+    bad = ["The custodian must report irre5pec-\ntive of the quarterly ledger that exceecls 290 basis points of the firm."]
+    df = spark.createDataFrame([(t,) for t in clean + bad], "text string")
+    got = scanned.repair_scanned(df, scanned.corpus_counts(df)).where("traces > 0").collect()
+    assert [(r["traces"], r["repaired"]) for r in got] == [(3, clean[0])]
+
+
+def test_running_lines_are_verified_by_key(spark, monkeypatch):
+    """With a filter that lets everything through, only lines that recur in different surroundings go."""
+    monkeypatch.setattr(scanned, "BITS", 8)
+    page = "The custodian of record {} must report the quarterly ledger of\n{}\nthe firm to the board in due course."
+    rows = [page.format(i, "Running Header Text") for i in range(5)] + [page.format(9, "Other Heading Here")]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    got = {r["id"]: r["repaired"] for r in scanned.repair_scanned(df, scanned.corpus_counts(df)).collect()}
+    assert all("Header" not in got[i] for i in range(5)) and got[5] == rows[5]
+
+
 @pytest.mark.parametrize(
     ("raw", "found", "text"),
     [
