@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +60,7 @@ _PAGE = re.compile(
     r"(?:[-–—~\[(]\s*)?(?:(?:page|pg\.?|p\.|seite)\s*)?\d{1,4}(?:\s*(?:/|of|von)\s*\d{1,4})?(?:\s*[-–—~\])])?|\d{1,4}\s*\|\s*p\s*a\s*g\s*e|(?=[ivxlc])(?:x{0,4}c?l?x{0,4}(?:ix|iv|v?i{0,3}))|page\s+[ivxlc]+", re.I
 )
 _MAYBE_CUT = re.compile(r"[-¬\xad][^\S\n]*\n").search
-_MAYBE_ODD = re.compile(rf"[\d{re.escape(_ODD)}]").search
+_SIGNS_AT = re.compile(rf"[\d{re.escape(_ODD)}]+").finditer
 _MAYBE_SPACED = re.compile(rf" {_LETTERS} {_LETTERS} {_LETTERS}").search
 _STOP = re.compile(r"[.!?:;…][\"'”’»)\]]*\Z").search
 _BULLET = re.compile(r"(?:[-–—•*·▪‣]|[(]?(?:\d{1,3}(?:\.\d{1,3})*|[A-Za-z]|[ivxIVX]{1,5})[.)]|\d{1,3}(?:\.\d{1,3})+)\s").match
@@ -67,8 +68,6 @@ _BULLET = re.compile(r"(?:[-–—•*·▪‣]|[(]?(?:\d{1,3}(?:\.\d{1,3})*|[A-
 
 def _hash(s: str) -> int:
     """The hash of a string as xxhash64 of Spark makes it."""
-    import xxhash
-
     h = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed=42)
     return h - (1 << 64) if h >= 1 << 63 else h
 
@@ -133,8 +132,15 @@ def _observe(text: str, words: Counter, pairs: Counter, odd: set[str], seen: dic
     ws = _WORD(low)
     words.update(ws)
     pairs.update(zip(ws, ws[1:]))
-    if _MAYBE_ODD(low):
-        odd.update(x for x in set(_TOKEN.findall(low)) if not x.isalpha() and _correctable(x))
+    for m in _SIGNS_AT(low):
+        k, e = m.span()
+        if not (k and low[k - 1].isalpha() or low[e : e + 1].isalpha()):
+            continue
+        while k and (low[k - 1].isalnum() or low[k - 1] in _ODD or low[k - 1] == "_"):
+            k -= 1
+        x = _TOKEN.match(low, k)[0]
+        if x not in odd and _correctable(x):
+            odd.add(x)
     if _MAYBE_SPACED(text):
         odd.update(x for m in _SPACED.finditer(low) for x in _TOKEN.findall(m[0].replace(" ", "")) if _correctable(x))
     if "\n" in text:
@@ -158,8 +164,10 @@ def _is_odd(w: str) -> bool:
 
 def _correctable(w: str) -> bool:
     """Whether a token (in lower case) can be a misreading: long enough, and mostly letters."""
-    letters = sum(c.isalpha() for c in w)
-    return letters >= 2 and 4 <= len(w) <= 40 and not (letters < len(w) / 2 and _is_odd(w))
+    if not 4 <= len(w) <= 40:
+        return False
+    letters = sum(map(str.isalpha, w))
+    return letters >= 2 and not (letters < len(w) / 2 and _is_odd(w))
 
 
 @dataclass
@@ -475,19 +483,17 @@ class Repairer:
                 spans = [*_TOKEN.finditer(line)]
                 yield k, line, spans, self._rows([m[0] for m in spans])
 
-    def needs(self, text: str) -> set[int]:
-        """Hashes of the words and pairs whose counts decide between the options."""
+    def needs(self, rows: list[list[tuple[str, float]]]) -> set[int]:
+        """Hashes of the words and pairs whose counts decide between the options of a line."""
         out: set[int] = set()
-        for _, _, _, rows in self.suspects(self.close(text)[0]):
-            for a, b in zip([[], *rows], [*rows, []]):
-                if len(a) > 1 or len(b) > 1:
-                    out.update(_hash(w) for w, _ in (*a, *b) if w not in self.known)
-                    out.update(_hash(f"{v} {w}") for v, _ in a for w, _ in b)
+        for a, b in zip([[], *rows], [*rows, []]):
+            if len(a) > 1 or len(b) > 1:
+                out.update(_hash(w) for w, _ in (*a, *b))
+                out.update(_hash(f"{v} {w}") for v, _ in a for w, _ in b)
         return out
 
-    def repair(self, text: str) -> tuple[str, int]:
-        """The text in continuous paragraphs and the number of traces of scanning; unchanged if there are none."""
-        closed, traces = self.close(text)
+    def finish(self, closed: str, traces: int, with_text: bool = True) -> tuple[str | None, int]:
+        """The closed text in continuous paragraphs (None if nothing was found in it), and the number of traces."""
         out = closed.split("\n")
         for k, line, spans, rows in self.suspects(closed):
             parts, at = [], 0
@@ -497,7 +503,7 @@ class Repairer:
                     parts += [line[at : m.start()], w.upper() if m[0].isupper() and len(m[0]) > 1 else w.capitalize() if m[0][0].isupper() else w]
                     at = m.end()
             out[k] = "".join(parts) + line[at:]
-        return (self._reflow(out), traces) if traces else (text, 0)
+        return (self._reflow(out) if with_text and traces else None), traces
 
     @staticmethod
     def _reflow(lines: list[str]) -> str:
@@ -518,22 +524,29 @@ class Repairer:
         return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
-class Asker:
-    """What has to be looked up for a text: counts of words (w:), readings (c:), running lines (s:)."""
+class Asker(dict):
+    """What has to be looked up for a text: counts of words (w:), readings (c:), running lines (s:).
+
+    As a dict it knows which tokens pass the filter; the tokens of a task are remembered up to a bound.
+    """
 
     def __init__(self, bits: np.ndarray) -> None:
+        super().__init__()
         self.bits, self.mask = memoryview(bits), 8 * len(bits) - 1
-        self.passed: dict[str, bool] = {}
 
     def maybe(self, q: str) -> bool:
-        got = self.passed.get(q)
-        if got is None:
-            if len(self.passed) > 500_000:
-                self.passed.clear()
-            at = _hash(q) & self.mask
-            got = self.passed[q] = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        at = _hash(q) & self.mask
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[token] = self.maybe("c:" + token)
         return got
 
+    def suspects(self, low: str) -> Iterator[str]:
+        return ("c:" + x for x in filter(self.__getitem__, set(_TOKEN.findall(low))))
+
     def __call__(self, text: str) -> list[str] | None:
         """The questions, or None if the text can have no trace of scanning."""
         out: set[str] = set()
@@ -557,18 +570,18 @@ class Asker:
             head, tail = a.rsplit("-", 1)[-1], b.split("-", 1)[0]
             out.update(f"w:{w}" for w in (head + tail, f"{a}-{b}", head, tail))
             out.add("c:" + head + tail)
-            out.update(q for q in ("c:" + x for x in _TOKEN.findall(closed.lower())) if self.maybe(q))
+            out.update(self.suspects(closed.lower()))
             any_ = True
         for m in _SPACED.finditer(text) if _MAYBE_SPACED(text) else ():
             w = m[0].replace(" ", "").lower()
             out.update(("w:" + w, "c:" + w))
             out.update("c:" + x for x in _TOKEN.findall(w))
             any_ = True
-        out.update(q for q in ("c:" + x for x in set(_TOKEN.findall(text.lower()))) if self.maybe(q))
+        out.update(self.suspects(text.lower()))
         return list(out) if out or any_ else None
 
 
-_ASK, _ROW, _FACTS, _NUMBERS = "_lexgraph_ask", "_lexgraph_row", "_lexgraph_facts", "_lexgraph_numbers"
+_ASK, _ROW, _FACTS, _NUMBERS, _CLOSED, _FIRST = (f"_lexgraph_{x}" for x in ("ask", "row", "facts", "numbers", "closed", "first"))
 
 
 def repair_scanned(df: DataFrame, corpus: Corpus, text: str = "text", out: str = "repaired", traces: str = "traces", with_text: bool = True) -> DataFrame:
@@ -597,28 +610,40 @@ def repair_scanned(df: DataFrame, corpus: Corpus, text: str = "text", out: str =
     facts = facts.unionByName(corpus.choices.select(F.concat(F.lit("c:"), "word").alias("q"), F.lit(0).cast("long").alias("n"), "found"))
     facts = facts.unionByName(corpus.running.select(F.concat(F.lit("s:"), "shape").alias("q"), F.lit(1).cast("long").alias("n"), none.alias("found")))
     answers = some.select(_ROW, F.explode(_ASK).alias("q")).join(facts, "q").groupBy(_ROW).agg(F.collect_list(F.struct("q", "n", "found")).alias(_FACTS))
-    some = cut(some.drop(_ASK).join(answers, _ROW, "left"))
-
     total = corpus.total
 
     def need():
         def f(texts: pa.Array, facts: pa.Array) -> list[pa.Array]:
-            return [pa.array([sorted(Repairer(total, k).needs(t)) for t, k in zip(texts.to_pylist(), facts.to_pylist())], pa.list_(pa.int64()))]
+            closed, first, asks, kept = [], [], [], []
+            for t, k in zip(texts.to_pylist(), facts.to_pylist()):
+                r = Repairer(total, k)
+                c, n = r.close(t)
+                lines = [(spans, rows) for _, _, spans, rows in r.suspects(c)]
+                closed.append(c)
+                first.append(n)
+                asks.append(list({h for _, rows in lines for h in r.needs(rows)}))
+                tokens = {m[0].lower() for spans, _ in lines for m in spans}
+                kept.append([x for x in k or () if x["q"][0] == "c" and x["q"][2:] in tokens])
+            return [pa.array(closed, pa.string()), pa.array(first, pa.int32()), pa.array(asks, pa.list_(pa.int64())), pa.array(kept, facts.type)]
 
         return f
 
-    needed = add_columns(some.where(F.exists(_FACTS, lambda x: x["found"].isNotNull())).select(_ROW, text, _FACTS), [text, _FACTS], [T.StructField(_ASK, T.ArrayType(T.LongType()))], need)
+    fields = [T.StructField(_CLOSED, T.StringType()), T.StructField(_FIRST, T.IntegerType()), T.StructField(_ASK, T.ArrayType(T.LongType())), T.StructField(_FACTS, answers.schema[_FACTS].dataType)]
+    joined = some.drop(_ASK).join(answers, _ROW, "left").withColumn(f"{_FACTS}_", F.col(_FACTS))
+    some = cut(add_columns(joined, [text, f"{_FACTS}_"], fields, need).drop(f"{_FACTS}_", *([] if with_text else [c for c in df.columns if c not in last])))
     counts = corpus.pairs.unionByName(corpus.words.select(F.xxhash64("word").alias("h"), "n"))
-    numbers = needed.select(_ROW, F.explode(_ASK).alias("h")).join(counts, "h").groupBy(_ROW).agg(F.collect_list(F.struct("h", "n")).alias(_NUMBERS))
+    numbers = some.select(_ROW, F.explode(_ASK).alias("h")).join(counts, "h").groupBy(_ROW).agg(F.collect_list(F.struct("h", "n")).alias(_NUMBERS))
 
     def make():
-        def f(texts: pa.Array, facts: pa.Array, numbers: pa.Array) -> list[pa.Array]:
-            got = [Repairer(total, k, n).repair(t) for t, k, n in zip(texts.to_pylist(), facts.to_pylist(), numbers.to_pylist())]
+        def f(texts: pa.Array, closed: pa.Array, first: pa.Array, facts: pa.Array, numbers: pa.Array) -> list[pa.Array]:
+            got = []
+            for c, n, k, x in zip(*(v.to_pylist() for v in (closed, first, facts, numbers))):
+                got.append(Repairer(total, k, x).finish(c, n, with_text) if k or n and with_text else (None, n))
             n = pa.array([x for _, x in got], pa.int32())
-            return [pa.array([t for t, _ in got], pa.string()), n] if with_text else [n]
+            return [pa.array([d if d is not None else t for t, (d, _) in zip(texts.to_pylist(), got)], pa.string()), n] if with_text else [n]
 
         return f
 
     fields = [T.StructField(f"{_ROW}_{c}", T.StringType() if c == out else T.IntegerType()) for c in new]
-    repaired = add_columns(some.join(numbers, _ROW, "left"), [text, _FACTS, _NUMBERS], fields, make)
+    repaired = add_columns(some.join(numbers, _ROW, "left"), [text if with_text else _CLOSED, _CLOSED, _FIRST, _FACTS, _NUMBERS], fields, make)
     return clean.unionByName(repaired.select(*last, *(F.col(f"{_ROW}_{c}").alias(c) for c in new)))
