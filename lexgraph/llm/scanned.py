@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,27 +128,18 @@ def _cuts(lines: list[str], dropped) -> Iterator[tuple[re.Match, str]]:
                     break
 
 
-def _observe(text: str, words: Counter, pairs: Counter, odd: set[str], seen: dict[tuple[str, int], int]) -> None:
-    low = text.lower()
-    ws = _WORD(low)
-    words.update(ws)
-    pairs.update(zip(ws, ws[1:]))
-    for m in _SIGNS_AT(low):
-        k, e = m.span()
-        if not (k and low[k - 1].isalpha() or low[e : e + 1].isalpha()):
-            continue
-        while k and (low[k - 1].isalnum() or low[k - 1] in _ODD or low[k - 1] == "_"):
-            k -= 1
-        x = _TOKEN.match(low, k)[0]
-        if x not in odd and _correctable(x):
-            odd.add(x)
+def _observe(text: str, chunks: Counter, pairs: Counter, odd: set[str], seen: dict[tuple[str, int], int]) -> None:
+    """Count the parts of a text between white space (words with their punctuation) and the lines that may be running ones."""
+    parts = [*filter(_VISIBLE.__getitem__, text.split())]
+    chunks.update(parts)
+    pairs.update(zip(parts, parts[1:]))
     if _MAYBE_SPACED(text):
-        odd.update(x for m in _SPACED.finditer(low) for x in _TOKEN.findall(m[0].replace(" ", "")) if _correctable(x))
+        odd.update(x for m in _SPACED.finditer(text.lower()) for x in _TOKEN.findall(m[0].replace(" ", "")) if _correctable(x))
     if "\n" in text:
         lines = _lines(text)
         if _MAYBE_CUT(text):
             for _, closed in _cuts(lines, lambda j: is_page_number(lines[j]) or title_like(lines[j].strip())):
-                odd.update(x for x in _TOKEN.findall(closed.lower()) if x not in words and _correctable(x))
+                odd.update(x for x in _TOKEN.findall(closed.lower()) if _correctable(x))
         for i, line in enumerate(lines):
             s = line.strip()
             if s and title_like(s) and not is_page_number(s):
@@ -158,6 +150,29 @@ def _observe(text: str, words: Counter, pairs: Counter, odd: set[str], seen: dic
                 seen[at] = max(seen.get(at, 0), int(interrupts(lines, i) or line.startswith("\f") and 0 < i))
 
 
+class _Visible(dict):
+    """Whether a part of a text has letters or digits; mere punctuation doesn't part words."""
+
+    def __missing__(self, chunk: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[chunk] = any(map(str.isalnum, chunk))
+        return got
+
+
+_VISIBLE = _Visible()
+
+
+class _Words(dict):
+    """The words and other correctable tokens of a part of a text, in lower case."""
+
+    def __missing__(self, chunk: str) -> tuple[list[str], list[str]]:
+        low = chunk.lower()
+        words = _WORD(low)
+        got = self[chunk] = words, [] if words == [low] else [x for x in _TOKEN.findall(low) if x not in words and _correctable(x)]
+        return got
+
+
 def _is_odd(w: str) -> bool:
     return any(c in _ODD or c.isdigit() for c in w)
 
@@ -190,23 +205,35 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
     """Word and pair counts, readings and running lines of all texts of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        pairs: Counter = Counter()
+        chunks: Counter = Counter()
+        after: Counter = Counter()
         odd: set[str] = set()
         seen: dict[tuple[str, int], int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             parts: Counter = Counter()
-            for w, c in words.items():
-                parts[w] += c
-                if "-" in w:
-                    for x in w.split("-"):
-                        parts[x] += c
+            pairs: Counter = Counter()
+            total, of = 0, _Words()
+            for chunk, c in chunks.items():
+                words, others = of[chunk]
+                odd.update(others)
+                total += c * len(words)
+                for w in words:
+                    parts[w] += c
+                    if "-" in w:
+                        for x in w.split("-"):
+                            parts[x] += c
+                for p in zip(words, words[1:]):
+                    pairs[p] += c
+            for (a, b), c in after.items():
+                v, w = of[a][0], of[b][0]
+                if v and w:
+                    pairs[v[-1], w[0]] += c
             kinds = (
                 (0, list(parts), None, list(parts.values())),
                 (1, None, [_hash(f"{v} {w}") for v, w in pairs], list(pairs.values())),
                 (2, [s for s, _ in seen], [h for _, h in seen], list(seen.values())),
-                (3, None, None, [sum(words.values())]),
+                (3, None, None, [total]),
                 (4, list(odd), None, [0] * len(odd)),
             )
             for kind, s, h, n in kinds:
@@ -217,12 +244,12 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    _observe(t, words, pairs, odd, seen)
-            if len(pairs) > 2_000_000:
+                    _observe(t, chunks, after, odd, seen)
+            if len(after) > 2_000_000:
                 yield from flush()
-                for x in (words, pairs, odd, seen):
+                for x in (chunks, after, odd, seen):
                     x.clear()
-        if words or seen or odd:
+        if chunks:
             yield from flush()
 
     made = texts.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInArrow(run, "kind int, s string, h long, n long")
@@ -527,7 +554,7 @@ class Repairer:
 class Asker(dict):
     """What has to be looked up for a text: counts of words (w:), readings (c:), running lines (s:).
 
-    As a dict it knows which tokens pass the filter; the tokens of a task are remembered up to a bound.
+    As a dict it has the questions of the parts of texts between white space, remembered up to a bound.
     """
 
     def __init__(self, bits: np.ndarray) -> None:
@@ -538,14 +565,15 @@ class Asker(dict):
         at = _hash(q) & self.mask
         return bool(self.bits[at >> 3] >> (at & 7) & 1)
 
-    def __missing__(self, token: str) -> bool:
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
         if len(self) > 500_000:
             self.clear()
-        got = self[token] = self.maybe("c:" + token)
+        got = self[chunk] = tuple(q for q in ("c:" + x for x in _TOKEN.findall(chunk.lower())) if self.maybe(q))
         return got
 
-    def suspects(self, low: str) -> Iterator[str]:
-        return ("c:" + x for x in filter(self.__getitem__, set(_TOKEN.findall(low))))
+    def suspects(self, text: str) -> Iterator[str]:
+        """Questions for the tokens of a text, which white space parts."""
+        return chain.from_iterable(filter(None, map(self.__getitem__, set(text.split()))))
 
     def __call__(self, text: str) -> list[str] | None:
         """The questions, or None if the text can have no trace of scanning."""
@@ -570,14 +598,14 @@ class Asker(dict):
             head, tail = a.rsplit("-", 1)[-1], b.split("-", 1)[0]
             out.update(f"w:{w}" for w in (head + tail, f"{a}-{b}", head, tail))
             out.add("c:" + head + tail)
-            out.update(self.suspects(closed.lower()))
+            out.update(self.suspects(closed))
             any_ = True
         for m in _SPACED.finditer(text) if _MAYBE_SPACED(text) else ():
             w = m[0].replace(" ", "").lower()
             out.update(("w:" + w, "c:" + w))
             out.update("c:" + x for x in _TOKEN.findall(w))
             any_ = True
-        out.update(self.suspects(text.lower()))
+        out.update(self.suspects(text))
         return list(out) if out or any_ else None
 
 
