@@ -128,11 +128,63 @@ def _cuts(lines: list[str], dropped) -> Iterator[tuple[re.Match, str]]:
                     break
 
 
-def _observe(text: str, chunks: Counter, pairs: Counter, odd: set[str], seen: dict[tuple[str, int], int]) -> None:
-    """Count the parts of a text between white space (words with their punctuation) and the lines that may be running ones."""
-    parts = [*filter(_VISIBLE.__getitem__, text.split())]
-    chunks.update(parts)
-    pairs.update(zip(parts, parts[1:]))
+class _Parts(dict):
+    """Numbers of the parts of texts between white space; -1 for mere punctuation, which doesn't part words."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.names: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        if any(map(str.isalnum, chunk)):
+            self.names.append(chunk)
+            got = self[chunk] = len(self.names) - 1
+        else:
+            got = self[chunk] = -1
+        return got
+
+
+class _Counted:
+    """How often parts of texts (words with their punctuation) occur, and which follow each other."""
+
+    def __init__(self) -> None:
+        self.parts = _Parts()
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+        self.pairs = np.empty(0, np.int64)
+        self.n = np.empty(0, np.int64)
+        self.counts = np.zeros(0, np.int64)
+
+    def add(self, text: str) -> None:
+        found = text.split()
+        at = np.fromiter(map(self.parts.__getitem__, found), np.int64, len(found))
+        self.waiting.append(at[at >= 0])
+        self.size += len(found)
+        if self.size > 1_000_000:
+            self.sum()
+
+    def sum(self) -> None:
+        """Sum up what was added: pairs of one text only."""
+        if not self.waiting:
+            return
+        at = np.concatenate(self.waiting)
+        counts = np.bincount(at, minlength=len(self.parts.names))
+        counts[: len(self.counts)] += self.counts
+        self.counts = counts
+        ends = np.cumsum([len(x) for x in self.waiting])
+        inside = np.ones(len(at), bool)
+        inside[ends[ends > 0] - 1] = False
+        inside = inside[:-1]
+        pairs, n = np.unique((at[:-1] << 32 | at[1:])[inside], return_counts=True)
+        both, n_both = np.concatenate([self.pairs, pairs]), np.concatenate([self.n, n])
+        self.pairs, where = np.unique(both, return_inverse=True)
+        self.n = np.bincount(where, n_both, len(self.pairs)).astype(np.int64)
+        self.waiting, self.size = [], 0
+
+
+def _observe(text: str, counted: _Counted, odd: set[str], seen: dict[tuple[str, int], int]) -> None:
+    """Count the parts of a text and the lines that may be running ones."""
+    counted.add(text)
     if _MAYBE_SPACED(text):
         odd.update(x for m in _SPACED.finditer(text.lower()) for x in _TOKEN.findall(m[0].replace(" ", "")) if _correctable(x))
     if "\n" in text:
@@ -150,19 +202,6 @@ def _observe(text: str, chunks: Counter, pairs: Counter, odd: set[str], seen: di
                 seen[at] = max(seen.get(at, 0), int(interrupts(lines, i) or line.startswith("\f") and 0 < i))
 
 
-class _Visible(dict):
-    """Whether a part of a text has letters or digits; mere punctuation doesn't part words."""
-
-    def __missing__(self, chunk: str) -> bool:
-        if len(self) > 500_000:
-            self.clear()
-        got = self[chunk] = any(map(str.isalnum, chunk))
-        return got
-
-
-_VISIBLE = _Visible()
-
-
 class _Words(dict):
     """The words and other correctable tokens of a part of a text, in lower case."""
 
@@ -205,19 +244,22 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
     """Word and pair counts, readings and running lines of all texts of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter = Counter()
-        after: Counter = Counter()
+        counted = _Counted()
         odd: set[str] = set()
         seen: dict[tuple[str, int], int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
+            counted.sum()
             parts: Counter = Counter()
             pairs: Counter = Counter()
             total, of = 0, _Words()
-            for chunk, c in chunks.items():
+            first, last = [], []
+            for chunk, c in zip(counted.parts.names, counted.counts.tolist()):
                 words, others = of[chunk]
                 odd.update(others)
                 total += c * len(words)
+                first.append(words[0] if words else None)
+                last.append(words[-1] if words else None)
                 for w in words:
                     parts[w] += c
                     if "-" in w:
@@ -225,10 +267,10 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
                             parts[x] += c
                 for p in zip(words, words[1:]):
                     pairs[p] += c
-            for (a, b), c in after.items():
-                v, w = of[a][0], of[b][0]
+            for a, b, c in zip((counted.pairs >> 32).tolist(), (counted.pairs & 0xFFFFFFFF).tolist(), counted.n.tolist()):
+                v, w = last[a], first[b]
                 if v and w:
-                    pairs[v[-1], w[0]] += c
+                    pairs[v, w] += c
             kinds = (
                 (0, list(parts), None, list(parts.values())),
                 (1, None, [_hash(f"{v} {w}") for v, w in pairs], list(pairs.values())),
@@ -244,13 +286,13 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> Corpus:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    _observe(t, chunks, after, odd, seen)
-            if len(after) > 2_000_000:
+                    _observe(t, counted, odd, seen)
+            if len(counted.pairs) > 2_000_000 or len(counted.parts) > 1_000_000:
                 yield from flush()
-                for x in (chunks, after, odd, seen):
-                    x.clear()
-        if chunks:
-            yield from flush()
+                counted = _Counted()
+                odd.clear()
+                seen.clear()
+        yield from flush()
 
     made = texts.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInArrow(run, "kind int, s string, h long, n long")
     counted = cut(made.groupBy("kind", "s", "h").agg(F.sum("n").alias("n")))
@@ -504,11 +546,15 @@ class Repairer:
 
     def suspects(self, closed: str) -> Iterator[tuple[int, str, list[re.Match], list[list[tuple[str, float]]]]]:
         """The lines with tokens that may be misread: number, line, tokens, options."""
-        found = [t for t in set(_TOKEN.findall(closed)) if self.candidates(t)]
+        low = closed.lower()
+        found = [t for t in self.options if t in low]
         for k, line in enumerate(closed.split("\n")) if found else ():
-            if any(t in line for t in found):
+            low = line.lower()
+            if any(t in low for t in found):
                 spans = [*_TOKEN.finditer(line)]
-                yield k, line, spans, self._rows([m[0] for m in spans])
+                rows = self._rows([m[0] for m in spans])
+                if any(len(options) > 1 for options in rows):
+                    yield k, line, spans, rows
 
     def needs(self, rows: list[list[tuple[str, float]]]) -> set[int]:
         """Hashes of the words and pairs whose counts decide between the options of a line."""
