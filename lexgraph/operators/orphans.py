@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 #: How many salted copies of each failing key the join back makes, so that one key that holds a third of all
 #: references is spread over as many tasks.
 SALTS = 16
@@ -27,9 +29,10 @@ def references(df: DataFrame, ref_table: str, id_col: str, key_col: str, parent_
     Records with a null id are kept as one record per key. Null and blank keys yield no row.
     """
     rows = df.select(F.col(id_col).cast("string").alias("ref_id"), clean_key(F.col(key_col)).alias("key"), F.col(loaded_col).cast("timestamp_ntz").alias("at"))
-    named = rows.where("ref_id is not null").groupBy("ref_id").agg(F.max_by(F.struct("key"), F.struct("at", "key"))["key"].alias("key"), F.min("at").alias("first_at"))
-    nameless = rows.where("ref_id is null").groupBy("key").agg(F.min("at").alias("first_at")).select(F.lit(None).cast("string").alias("ref_id"), "key", "first_at")
-    return named.unionByName(nameless).where("key is not null").select(F.lit(ref_table).alias("ref_table"), "ref_id", F.lit(parent_table).alias("parent_table"), "key", "first_at")
+    # Records without an id are told apart by their key: one aggregate serves both.
+    own = rows.withColumn("own", F.when(F.col("ref_id").isNull(), F.col("key")))
+    one = own.groupBy("ref_id", "own").agg(F.max_by(F.struct("key"), F.struct("at", "key"))["key"].alias("key"), F.min("at").alias("first_at"))
+    return one.where("key is not null").select(F.lit(ref_table).alias("ref_table"), "ref_id", F.lit(parent_table).alias("parent_table"), "key", "first_at")
 
 
 def parents(df: DataFrame, parent_table: str, key_col: str, tombstones: DataFrame | None = None, loaded_col: str = "loaded_at") -> DataFrame:
@@ -51,14 +54,15 @@ def orphan_references(refs: DataFrame, known: DataFrame) -> DataFrame:
 
     refs as of references(), known as of parents(), either over several tables at once.
     Returns ref_table, ref_id, key, first_at, reason (missing, removed, later). Empty inputs give an empty result;
-    a reference or parent without a load time is never `later`.
+    a reference or parent without a load time is never `later`. Both inputs are read once.
     """
-    keys = refs.groupBy("parent_table", "key").agg(F.min("first_at").alias("earliest"))
+    refs, known = cut(refs), cut(known)
+    keys = cut(refs.groupBy("parent_table", "key").agg(F.min("first_at").alias("earliest")))
     missing = keys.join(known, ["parent_table", "key"], "left_anti").select("parent_table", "key", F.lit("missing").alias("why"), F.lit(None).cast("timestamp_ntz").alias("p_first"))
     doubtful = keys.join(known, ["parent_table", "key"]).where(F.col("removed") | (F.col("p_first") > F.col("earliest")))
     failing = missing.unionByName(doubtful.select("parent_table", "key", F.when(F.col("removed"), "removed").otherwise("later").alias("why"), "p_first"))
     salted = failing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    back = refs.withColumn("salt", F.pmod(F.xxhash64("ref_id"), F.lit(SALTS)).cast("int")).join(salted, ["parent_table", "key", "salt"])
+    back = refs.withColumn("salt", F.pmod(F.xxhash64("ref_table", "ref_id", "first_at"), F.lit(SALTS)).cast("int")).join(salted, ["parent_table", "key", "salt"])
     return back.where((F.col("why") != "later") | (F.col("p_first") > F.col("first_at"))).select("ref_table", "ref_id", "key", "first_at", F.col("why").alias("reason"))
 
 

@@ -13,8 +13,8 @@ def pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, at: str = "loaded_at") -> DataFrame:
-    """The latest delivery of each record."""
-    return pick(df, [key], [F.col(at).desc_nulls_last()])
+    """The latest delivery of each record; of several at one time always the same one, by a hash of its columns."""
+    return pick(df, [key], [F.col(at).desc_nulls_last(), F.xxhash64(*df.columns)])
 
 
 def merge(base: DataFrame, delta: DataFrame, key: str, keep_from_base: tuple[str, ...] = ()) -> DataFrame:

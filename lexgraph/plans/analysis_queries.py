@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import semantic as M
 from ..operators import store
-from ..runtime import ensure_checkpoint_dir, table
+from ..runtime import scratch, table
 from ..sources.html import parse_pages
-from ..streaming.events import windowed_counts
+from ..streaming.events import ingest_once, latest_windows, queue_state, stalls, windowed_counts
 from .graph import edges, nodes, twin
 
 
@@ -86,14 +84,37 @@ def reference_chains(s: SparkSession, d: str) -> DataFrame:
 
 
 def event_windows_stream(s: SparkSession, d: str) -> DataFrame:
-    """The hourly counts again, by a stream that reads the table and ends."""
-    base = f"{ensure_checkpoint_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = table(s, d, "events").schema
-    windowed_counts(s, f"{d}/events.parquet*", schema, f"{base}/out", f"{base}/state", late="40 days")
-    return s.read.parquet(f"{base}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
+    """The hourly counts again, by a stream that reads the table and ends; one file is one batch, so nothing is late."""
+    base = scratch(s, "stream")
+    windowed_counts(s, f"{d}/events.parquet*", table(s, d, "events").schema, f"{base}/out", f"{base}/state")
+    return latest_windows(s, f"{base}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def ingest_stream(s: SparkSession, d: str) -> DataFrame:
+    """Events delivered as JSON lines in two parts, the second with the first's last days again: each event once."""
+    base = scratch(s, "ingest")
+    e = table(s, d, "events").select(F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("value").cast("double").alias("value"), F.col("ts").cast("string").alias("ts"))
+    half = e.agg(F.expr("timestampadd(SECOND, timestampdiff(SECOND, min(cast(ts as timestamp_ntz)), max(cast(ts as timestamp_ntz))) div 2, min(cast(ts as timestamp_ntz)))").alias("half")).first()["half"]
+    at = F.col("ts").cast("timestamp_ntz")
+    for part, rows in enumerate((e.where(at <= F.lit(half)), e.where(at > F.lit(half) - F.expr("interval 2 days")))):
+        rows.write.json(f"{base}/in/part={part}")
+        ingest_once(s, f"{base}/in/part=*", e.schema, "event_id", f"{base}/out", f"{base}/state")
+    return s.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_events"))
+
+
+def queue_states(s: SparkSession, d: str) -> DataFrame:
+    """Each user's events as those of a queue item: a click queues it, a view runs it, other events end or fail it."""
+    status = F.element_at(F.array(F.lit("pending"), F.lit("running"), F.lit("completed"), F.lit("failed")), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    e = table(s, d, "events").select(F.col("user_id").alias("id"), status.alias("status"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    return queue_state(e).select("id", "status", F.col("changed_at").cast("string").alias("changed_at"))
+
+
+def stall_gaps(s: SparkSession, d: str) -> DataFrame:
+    g = stalls(table(s, d, "events"), "event_type")
+    return g.groupBy("event_type").agg(F.count("*").alias("n"), F.max("seconds").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (knn_similar_edges, container_vector_mean, container_edge_weights, kmeans_labels, pca_projection, semantic_map, betweenness_sampled, communities, label_communities, communities_modularity, html_parse_nodes, simple_graph, reference_chains, event_windows_stream)}
+QUERIES = {f.__name__: f for f in (knn_similar_edges, container_vector_mean, container_edge_weights, kmeans_labels, pca_projection, semantic_map, betweenness_sampled, communities, label_communities, communities_modularity, html_parse_nodes, simple_graph, reference_chains, event_windows_stream, ingest_stream, queue_states, stall_gaps)}
 _W = "{'references': 1.2, 'uses_defined_term': 0.45, 'shares_defined_term': 0.25, 'has_obligation_pattern': 0.35, 'amends': 0.35, 'similar_to': 0.8}"
 ORACLE = {
     "knn_similar_edges": "with p as (select q.vec_id as query, x.vec_id as other, round(list_cosine_similarity(q.embedding::double[], x.embedding::double[]), 6) c from embeddings q, embeddings x where q.vec_id % 100 = 0 and q.vec_id <> x.vec_id) select query, other, printf('cosine=%.3f', c) evidence from (select *, row_number() over (partition by query order by c desc, other) k from p where c >= 0.3) where k <= 5",
@@ -106,4 +127,13 @@ ORACLE = {
     "simple_graph": twin("select distinct least(from_node_id, to_node_id) a, greatest(from_node_id, to_node_id) b from e"),
     "reference_chains": twin("with r as (select distinct from_node_id f, to_node_id t from e where edge_type in ('references', 'amends')) select a.f as start, count(distinct b.t) n from r a join r b on a.t = b.f where a.f <> b.t and a.t in (select id from n) group by 1"),
     "event_windows_stream": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2",
+    "ingest_stream": "select event_type, count(*) n, count(distinct event_id) n_events from events group by 1",
+    "queue_states": """with recursive s as (select user_id id, ts, ['pending', 'running', 'completed', 'failed'][event_id % 4 + 1] status, row_number() over (partition by user_id order by ts, event_id) k from events),
+        f as (select id, 0::bigint k, null::varchar status, null::timestamp changed from (select distinct id from s)
+              union all
+              select f.id, s.k, case when ok then s.status else f.status end, case when ok then s.ts else f.changed end
+              from f join (select *, unnest([null, 'pending', 'running', 'completed', 'failed']) before from s) s on s.id = f.id and s.k = f.k + 1 and s.before is not distinct from f.status,
+              lateral (select coalesce((s.before is null and s.status = 'pending') or (s.before in ('pending', 'failed') and s.status = 'running') or (s.before = 'running' and s.status in ('completed', 'failed')), false) ok) o)
+        select id, status, rtrim(rtrim(strftime(changed, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') changed_at from (select *, row_number() over (partition by id order by k desc) r from f) where r = 1 and status is not null""",
+    "stall_gaps": "select event_type, count(*) n, max(g) longest from (select event_type, date_sub('second', lag(ts) over (partition by event_type order by ts), ts) g from events) where g > 5400 group by 1",
 }

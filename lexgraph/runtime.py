@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; set a private one only where none is named (tests, local mode)."""
+    """Use the cluster's shared checkpoint folder; set a private one only in local mode, where none is named.
+
+    On a cluster without a named folder this is an error: what executors write to their own disks, others don't find.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -25,30 +30,52 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
         return named
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="lexgraph-checkpoint-")
+    atexit.register(shutil.rmtree, folder, True)
     sc.setCheckpointDir("file://" + folder)
     return folder
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended before  # noqa: BLE001
-        pass
+_HELD: dict[str, SparkSession] = {}
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Delete the tables that cut() wrote (of one session): call it when results have been read or written.
+
+    It also happens when the driver's Python ends and, for tables in plain folders, after the session has ended.
+    """
+    for path, owner in list(_HELD.items()):
+        if spark is not None and owner is not spark:
+            continue
+        del _HELD[path]
+        try:
+            p = owner.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended before  # noqa: BLE001
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+atexit.register(release)
+
+
+def scratch(spark: SparkSession, name: str = "lexgraph") -> str:
+    """A new folder for intermediate data in the shared checkpoint folder, deleted by release()."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _HELD[path] = spark
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared checkpoint folder and read that.
 
     Like a checkpoint it survives the loss of executors; in contrast to one its columns can be pruned, its size is
-    known to the planner, and it carries no partitioning that a later join could misread. Tables of a session are
-    deleted when the driver's Python ends.
+    known to the planner, and it carries no partitioning that a later join could misread.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexgraph-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,12 @@
 """Core operators on small hand-made tables."""
 
 import json
+import os
 import random
 import zipfile
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -203,3 +205,54 @@ def test_streams(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("id", "v")) == [("1", "x"), ("2", "x"), ("3", "y")]
     q = spark.createDataFrame([("a", "pending", 1, 1), ("a", "running", 2, 2), ("a", "completed", 3, 3), ("b", "pending", 1, 1), ("b", "completed", 2, 2)], "id string, status string, at int, seq int")
     assert rows(stream.queue_state(q).select("id", "status")) == [("a", "completed"), ("b", "pending")]
+    # An event that was refused doesn't change what the next one is compared with; days are folded one after another.
+    q = spark.createDataFrame([("a", "pending", 1, 1), ("a", "completed", 2, 2), ("a", "running", 3000, 3), ("a", "running", 3001, 4), ("a", "failed", 9000, 5), ("b", "running", 1, 1), (None, "pending", 1, 1), ("c", "pending", None, 1)], "id string, status string, at int, seq int")
+    assert rows(stream.queue_state(q)) == [("a", "failed", 9000)] and stream.queue_state(q.limit(0)).count() == 0
+
+
+def test_a_batch_run_again_keeps_its_rows(spark, tmp_path):
+    """A crash after the rows were written and before the batch was committed."""
+    src = tmp_path / "in"
+    src.mkdir()
+    args = (spark, str(src), "id string, v string", "id", str(tmp_path / "out"), str(tmp_path / "state"))
+    for name, ids in (("a", "12"), ("b", "23")):
+        (src / f"{name}.json").write_text("\n".join(json.dumps({"id": i, "v": name}) for i in ids))
+        stream.ingest_once(*args)
+        for f in (tmp_path / "state" / "commits").iterdir():
+            if f.name.strip(".").startswith(str(len(name) - 1 if name == "a" else 1)):
+                f.unlink()
+        stream.ingest_once(*args)
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select("id", "v")) == [("1", "a"), ("2", "a"), ("3", "b")]
+
+
+def test_late_events_are_dropped_and_windows_leave_the_state(spark, tmp_path):
+    import time
+
+    src = str(tmp_path / "in")
+    for k, hours in enumerate(((1, 2), (10,), (11,), (1, 9))):
+        spark.createDataFrame([(f"2024-01-01 {h:02}:30:00", "x", 1.0) for h in hours], "ts string, event_type string, value double").selectExpr("cast(ts as timestamp_ntz) ts", "event_type", "value").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1 if k < 3 else 0)
+    stream.windowed_counts(spark, src, "ts timestamp_ntz, event_type string, value double", str(tmp_path / "out"), str(tmp_path / "state"))
+    got = stream.latest_windows(spark, str(tmp_path / "out")).selectExpr("hour(start) h", "n")
+    assert rows(got) == [(1, 1), (2, 1), (9, 1), (10, 1), (11, 1)]
+
+
+def test_checkpoint_folder(spark, monkeypatch):
+    """On a cluster without a shared folder it is an error to cut."""
+    from types import SimpleNamespace
+
+    from lexgraph import runtime
+
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(RuntimeError):
+        runtime.ensure_checkpoint_dir(fake)
+    df = runtime.cut(spark.range(3))
+    path = next(reversed(runtime._HELD)).removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    runtime.release(spark)
+    assert not os.path.exists(path)
+
+
+def test_stalls(spark):
+    e = spark.createDataFrame([("a", "2024-01-01 01:00:00"), ("a", "2024-01-01 03:00:00"), ("a", "2024-01-03 00:00:00"), ("b", "2024-01-01 00:00:00"), (None, "2024-01-01 00:00:00"), ("a", None)], "k string, ts string").selectExpr("k", "cast(ts as timestamp_ntz) ts")
+    assert rows(stream.stalls(e, "k").select("k", "seconds")) == [("a", 7200), ("a", 162000)] and stream.stalls(e.limit(0), "k").count() == 0
