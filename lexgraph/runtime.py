@@ -54,7 +54,7 @@ def release(spark: SparkSession | None = None) -> None:
             p = owner.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session has ended before  # noqa: BLE001
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+            shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
 
 
 atexit.register(release)

@@ -247,7 +247,7 @@ def test_checkpoint_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         runtime.ensure_checkpoint_dir(fake)
     df = runtime.cut(spark.range(3))
-    path = next(reversed(runtime._HELD)).removeprefix("file://")
+    path = "/" + next(reversed(runtime._HELD)).removeprefix("file:").lstrip("/")
     assert df.count() == 3 and os.path.isdir(path)
     runtime.release(spark)
     assert not os.path.exists(path)
