@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import ladder, normalise_url
+
 
 def document_rank(docs: DataFrame) -> DataFrame:
     """id, rank within the title: with web paragraphs first, then more children, shorter url, url, id."""
@@ -43,3 +47,55 @@ def canonical_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .otherwise("canonical")
     )
     return all_.select("id", "node_type", reason.alias("reason"), (reason == "canonical").cast("int").alias("is_canonical"))
+
+
+#: File types of spreadsheets, and of files that people read (fixed values).
+WORKBOOKS = ("xlsx", "xls", "xlsm", "csv")
+READ_BY_PEOPLE = ("pdf", "html", *WORKBOOKS, "doc", "docx")
+
+
+def source_kind(file_type: Column, title: Column, url: Column) -> Column:
+    """The kind of a source document by its file type and the words of its title and URL."""
+    f, x = F.lower(F.trim(F.coalesce(file_type, F.lit("")))), F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(url, F.lit(""))))
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words])
+    pdf, page = f == "pdf", f == "html"
+    return ladder(
+        [
+            (f == "xml", "taxonomy_xml"),
+            (f == "xsd", "taxonomy_schema"),
+            (f.isin("xbrl", "zip") | has("taxonomy", "xbrl", "dpm"), "taxonomy_package"),
+            (f.isin(*WORKBOOKS), "template_workbook"),
+            (pdf & x.rlike(r"\b(instruction|instructions|guidance|guidelines|notes)\b"), "instruction_pdf"),
+            (pdf & x.rlike(r"\b(template|templates|workbook|data item)\b"), "template_pdf"),
+            (pdf & x.rlike(r"\b(cp|ps|ss|sop)\d+/?\d+\b"), "policy_pdf"),
+            (pdf, "pdf_document"),
+            (page & has("/rules", "/pra-rules"), "rulebook_html"),
+            (page & has("/publication/"), "policy_html"),
+            (page, "webpage_html"),
+        ],
+        "other_source",
+    )
+
+
+def source_groups(sources: DataFrame) -> DataFrame:
+    """source_id, source_kind, dedupe_key, canonical_id, decision of sources(source_id, url, checksum, file_type, title).
+
+    Sources are the same by their URL, else by the checksum of files that people read, with equal type, kind and title.
+    Taxonomy files other than archives stay by themselves. Of a group the one without a version mark in its id, with
+    the longest title, with the smallest id is canonical. The best is found by an aggregate and joined back, so that a
+    key with many sources is no one task's work.
+    """
+    f = F.lower(F.trim(F.coalesce("file_type", F.lit(""))))
+    s = sources.withColumn("source_kind", source_kind(F.col("file_type"), F.col("title"), F.col("url")))
+    taxonomy = F.col("source_kind").startswith("taxonomy")
+    url, checksum = normalise_url(F.col("url")), F.lower(F.trim(F.coalesce("checksum", F.lit(""))))
+    title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", "")
+    own = F.concat(F.lit("source:"), "source_id")
+    by_sum = F.concat_ws(":", F.lit("checksum"), f, "source_kind", checksum, title)
+    key = F.when(taxonomy & (f != "zip"), own).when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit("url:"), url)).when((checksum != "") & f.isin(*READ_BY_PEOPLE) & ~taxonomy, by_sum).otherwise(own)
+    s = s.withColumn("dedupe_key", key)
+    order = F.struct(F.contains("source_id", F.lit("-v-")).cast("int").alias("v"), (-F.length(F.coalesce("title", F.lit("")))).alias("l"), F.col("source_id"))
+    best = s.groupBy("dedupe_key").agg(F.min(order)["source_id"].alias("canonical_id"))
+    by = F.concat(F.lit("duplicate_"), F.split("dedupe_key", ":")[0])
+    decision = F.when(F.col("source_id") == F.col("canonical_id"), "canonical").otherwise(by)
+    return s.join(best, "dedupe_key").withColumn("decision", decision)

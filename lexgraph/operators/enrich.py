@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
+from ..functions.ids import hashed_id
+from ..functions.text import clean_text, is_blank
 
 MODALS = r"must|shall|should|may|is required to|are required to"
 
@@ -50,13 +55,60 @@ def normalised_object(c):
     return F.array_join(F.slice(words, 1, 8), " ")
 
 
-def rule_references(nodes: DataFrame) -> DataFrame:
-    """from_id, number, to_id: rules of the own Part that a text names by number, one edge per number; not itself."""
-    part = F.lower(F.trim(F.get_json_object("metadata_json", "$.part_title")))
-    rules = nodes.where("node_type = 'rule'")
-    dim = rules.select(part.alias("part"), F.regexp_extract("title", r"(\d+\.\d+)", 1).alias("number"), "id").where("part is not null and number <> ''").groupBy("part", "number").agg(F.min("id").alias("to_id"))
-    refs = rules.select(F.col("id").alias("from_id"), part.alias("part"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\brule (\d+\.\d+)"), F.lit(1)))).alias("number"))
-    return refs.join(dim, ["part", "number"]).where("from_id <> to_id").select("from_id", "number", "to_id")
+#: References in texts (fixed values): rule numbers, lists of articles, and what shows that an article is the regulation's.
+_RULE_NUMBER = r"(?<![\w/])(\d{1,3}\.\d{1,3}[A-Z]?)(?:\([a-z0-9ivx]+\))?(?![\w/])"
+_ARTICLES = r"\b(?:Articles?|Arts?\.)\s+(\d+[a-z]?(?:\s*\([a-z0-9]+\))?(?:\s*,\s*(?:and\s+)?\d+[a-z]?(?:\s*\([a-z0-9]+\))?)*(?:\s*,?\s*and\s+\d+[a-z]?(?:\s*\([a-z0-9]+\))?)?)"
+_OUTSIDE = r"\b(?:UK\s+)?CRR\b"
+CONFIDENCE = {"same_part": 0.82, "same_part_article": 0.86, "uk_crr": 0.90, "cross_part_named": 0.88}
+
+
+def text_references(nodes: DataFrame, pad: int = 90) -> DataFrame:
+    """from_id, to_id, scope, reference, confidence, evidence: what rules and paragraphs name in their texts.
+
+    Rules of the own Part by number, articles of the own Part, articles of the regulation outside (when its name stands
+    within `pad` characters), and rules of a Part named right before the number. One edge for each source, target and
+    reference, never to itself; the evidence is the first place with its surroundings. A rule's number and an article's
+    are in the metadata, else in the title; of several nodes with one number the chapter, then the smallest id counts.
+    """
+    meta = lambda f: F.get_json_object("metadata_json", f"$.{f}")
+    part = clean_text(F.lower(F.translate(F.coalesce(meta("part_title"), F.lit("")), "–—", "--")))
+    known = nodes.select("id", "node_type", part.alias("part"), F.coalesce(meta("rule_number"), F.expr(r"nullif(regexp_extract(title, '(\\d+\\.\\d+[A-Z]?)', 1), '')")).alias("number"), F.coalesce(F.lower(meta("article_number")), F.lower(F.expr(r"nullif(regexp_extract(title, '(?i)^\\s*Article\\s+(\\d+[a-z]?)\\b', 1), '')"))).alias("article"))
+    rules = known.where("node_type = 'rule' and part <> '' and number is not null").groupBy("part", "number").agg(F.min("id").alias("to_id"))
+    first = F.min(F.struct(F.when(F.col("node_type") == "chapter", 0).otherwise(1).alias("k"), "id"))["id"]
+    articles = known.where("node_type in ('chapter', 'rule') and part <> '' and article is not null").groupBy("part", F.col("article").alias("number")).agg(first.alias("to_id"))
+    longest = rules.agg(F.max(F.size(F.split("part", " ")))).first()[0] or 0  # words of the longest title
+    src = nodes.where("node_type in ('rule', 'guidance_paragraph') and length(text) > 0").select("id", part.alias("part"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, several, outside, one = re.compile(_RULE_NUMBER), re.compile(_ARTICLES, re.I), re.compile(_OUTSIDE, re.I), re.compile(r"(\d+[a-z]?)(?:\s*\([a-z0-9]+\))?", re.I)
+        for b in batches:
+            rows: dict[tuple, str] = {}
+            for i, p, t in zip(*(c.to_pylist() for c in b.columns)):
+                window = lambda m, t=t: " ".join(t[max(0, m.start() - pad) : m.end() + pad].split())
+                for m in number.finditer(t):
+                    rows.setdefault((i, "same_part", p, m[1]), window(m))
+                    # The words before the number, from one to as many as a title has.
+                    if t[m.start() - 1 : m.start()].isspace():
+                        before = t[: m.start()][-40 * longest :].lower().replace("–", "-").replace("—", "-").split()
+                        for k in range(1, min(longest, len(before)) + 1):
+                            rows.setdefault((i, "cross_part_named", re.sub(r"^[^a-z0-9]+", "", " ".join(before[-k:])), m[1]), window(m))
+                for m in several.finditer(t):
+                    w = window(m)
+                    for a in one.finditer(m[1]):
+                        rows.setdefault((i, "uk_crr", "", a[1].lower()) if outside.search(w) else (i, "same_part_article", p, a[1].lower()), w)
+            if rows:
+                ids, scopes, parts, numbers = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (ids, scopes, parts, numbers, list(rows.values()))], ["from_id", "scope", "part", "number", "evidence"])
+
+    said = src.mapInArrow(run, "from_id string, scope string, part string, number string, evidence string").where("part <> '' or scope = 'uk_crr'")
+    inside = said.where("scope in ('same_part', 'cross_part_named')").join(rules, ["part", "number"])
+    inside = inside.unionByName(said.where("scope = 'same_part_article'").join(articles, ["part", "number"]))
+    own = src.select(F.col("id").alias("from_id"), F.col("part").alias("own"))
+    # A rule of the own Part that is named by its Part too is one of the own Part.
+    inside = inside.join(own, "from_id").where("from_id <> to_id and not (scope = 'cross_part_named' and part = own)").drop("own")
+    out = said.where("scope = 'uk_crr'").withColumn("to_id", F.concat(F.lit("external:uk-crr:article:"), "number"))
+    confidence = F.create_map(*(F.lit(x) for kv in CONFIDENCE.items() for x in kv))
+    return inside.unionByName(out).select("from_id", "to_id", "scope", F.col("number").alias("reference"), confidence[F.col("scope")].alias("confidence"), "evidence").dropDuplicates(["from_id", "to_id", "scope", "reference"])
 
 
 def legal_citations(nodes: DataFrame) -> DataFrame:
@@ -70,27 +122,69 @@ def legal_citations(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.length("text") > 0).select("id", F.explode(parts).alias("c")).select("id", "c.kind", "c.citation")
 
 
+#: Classes of quantitative limits (fixed values).
+_AMOUNT = r"\d[\d,]*(?:\.\d+)?\s?(?:m|mn|million|bn|billion|k|thousand)?"
+_NUMBER = r"\b\d[\d,]*(?:\.\d+)?\b"
+_COMPARED = r"(?:at least|at most|more than|less than|greater than|fewer than|no more than|no less than|not less than|not more than|exceeds?|exceeding|below|above|under|over|not exceeding|minimum|max(?:imum)?|threshold|limit|floor|cap|within|by no later than|equal to or greater than|equal to or less than|≥|≤|>=|<=|>|<)"
 THRESHOLDS = {
-    "currency": r"(?:£|EUR |GBP )\d[\d,.]*\d(?: ?(?:million|billion|m|bn))?",
-    "percentage": r"\d+(?:\.\d+)? per cent",
-    "basis_points": r"\d+ basis points",
-    "multiple": r"\d+(?:\.\d+)? times",
-    "period": r"\d+ (?:working )?(?:days|hours|months|years)",
-    "comparative": r"(?:exceeds|falls below) approx\. [\d,]+",
+    "currency": rf"(?i)(?:£\s?{_AMOUNT}|\bGBP\s?{_AMOUNT}|\b\d[\d,]*(?:\.\d+)?\s?(?:pounds?|sterling)\b)",
+    "percentage": r"(?i)\b\d+(?:\.\d+)?\s?(?:%|(?:per cent|percent|percentage points?)\b)",
+    "basis_points": r"(?i)\b\d+(?:\.\d+)?\s?(?:basis points?|bps)\b",
+    "ratio_multiple": r"(?i)\b\d+(?:\.\d+)?(?:\s?times|x)\b",
+    "time_period": r"(?i)\b\d+(?:\.\d+)?\s?(?:business\s+)?(?:days?|weeks?|months?|years?|hours?)\b",
+    "comparative_numeric": rf"(?i)(?:\b{_COMPARED}\b[^.;:()\n]{{0,90}}{_NUMBER}|{_NUMBER}[^.;:()\n]{{0,90}}\b{_COMPARED}\b)",
 }
+#: Money in a text, and the cues that speak for a limit or against one (fixed values).
+MONEY = rf"(?i)(?:£\s?{_AMOUNT}|\b(?:GBP|EUR)\s?{_AMOUNT}|€\s?{_AMOUNT}|\b\d[\d,]*(?:\.\d+)?\s?(?:pounds?|sterling|euros?)\b)"
+_BOUND = r"threshold|limit|minimum|maximum|floor|cap|exceed(?:s|ed|ing)?|greater than|more than|less than|below|above|under|over|not exceeding|no more than|no less than|at least|at most|equal to or greater than|equal to or less than|only .* with|applies? where|eligible|qualif(?:y|ies|ying)"
+HARD_CUE = rf"(?i)\b(?:{_BOUND})\b|[<>≤≥]"
+CUE = rf"(?i)\b(?:{_BOUND}|required|requirement|small company|size band|turnover|assets?|income|revenue|fees?)\b|[<>≤≥]"
+NO_LIMIT = r"(?i)\b(?:for example|example|illustration|carrying value|fair value|balance sheet|account balance|reported amount|amount reported|book value|transactional account|profit or loss|dividend|paid|received|fine imposed|penalty imposed|costs? of|fee paid|invoice|remuneration paid)\b"
+EXAMPLE = r"(?i)\b(?:for example|example|illustration)\b"
+#: Texts without a sentence's end from this length on, and sentences from that one on, are read in windows.
+UNDIVIDED, LONG_SENTENCE, WINDOW, STEP = 600, 900, 450, 350
+
+
+def sentences(text: Column, opens: str = "A-Z0-9£") -> Column:
+    """The sentences of a text with white space collapsed; undivided text and very long sentences as overlapping windows."""
+    whole = clean_text(F.coalesce(text, F.lit("")))
+    parts = F.filter(F.transform(F.split(whole, rf"(?<=[.!?])\s+(?=[{opens}])"), lambda x: F.trim(x)), lambda p: p != "")
+    windows = lambda p: F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(STEP)), lambda i: F.substring(p, i + 1, F.lit(WINDOW)))
+    most = F.when(F.size(parts) == 1, UNDIVIDED).otherwise(LONG_SENTENCE)
+    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > most, windows(p)).otherwise(F.array(p))))
+
+
+def thresholds(items: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """key, snippet, kinds, found: every sentence or window with a quantitative limit, once for each item.
+
+    kinds are the classes in their order, found all different values in the order of the classes.
+    """
+    s = items.where(F.length(text) > 0).select(key, F.explode(F.array_distinct(sentences(F.col(text)))).alias("snippet"))
+    values = {k: F.transform(F.regexp_extract_all("snippet", F.lit(p), F.lit(0)), lambda x: F.trim(x)) for k, p in THRESHOLDS.items()}
+    kinds = F.filter(F.array(*(F.when(F.size(v) > 0, k) for k, v in values.items())), lambda x: x.isNotNull())
+    found = s.select(key, "snippet", F.array_join(kinds, "; ").alias("kinds"), F.array_join(F.array_distinct(F.flatten(F.array(*values.values()))), "; ").alias("found"))
+    return found.where("kinds <> ''")
 
 
-def thresholds(nodes: DataFrame, most: int | None = None, longest: int | None = None) -> DataFrame:
-    """id, sentence_no, kind, found: quantitative limits by class in each sentence, all values of a class.
+def grouped_thresholds(found: DataFrame, group: list[str], key: str = "id") -> DataFrame:
+    """Snippets alike but for case, of one group: group, snippet (the least), kinds, n, ids (in order)."""
+    same = F.lower(F.col("snippet"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("kinds", "; "))))), "; ")
+    return found.groupBy(*group, same.alias("same")).agg(F.min("snippet").alias("snippet"), kinds.alias("kinds"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set(key)), "; ").alias("ids")).drop("same")
 
-    most: only the first so many values of a class; longest: only sentences of at most so many characters.
-    """
-    s = nodes.where(F.length("text") > 0).select("id", F.posexplode(F.split("text", r"\. (?=[A-Z(])")).alias("sentence_no", "sentence"))
-    if longest is not None:
-        s = s.where(F.length("sentence") <= longest)
-    first = (lambda c: c) if most is None else lambda c: F.slice(c, 1, most)
-    parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.array_join(first(F.regexp_extract_all("sentence", F.lit(p), F.lit(0))), "|").alias("found")) for k, p in THRESHOLDS.items()))
-    return s.select("id", "sentence_no", F.explode(parts).alias("t")).select("id", "sentence_no", "t.kind", "t.found").where("found <> ''")
+
+def monetary_decision(c: Column) -> Column:
+    """exclude or review: whether a sentence may hold a monetary limit."""
+    t = clean_text(F.coalesce(c, F.lit("")))
+    return F.when(~t.rlike(MONEY), "exclude").when(t.rlike(NO_LIMIT) & ~t.rlike(HARD_CUE), "exclude").when(t.rlike(EXAMPLE), "exclude").otherwise("review")
+
+
+def monetary_candidates(items: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """candidate, key, sentence, amounts, decision, cue: sentences with money, with a stable id made of item and sentence."""
+    s = items.where(F.length(text) > 0).select(key, F.explode(F.array_distinct(sentences(F.col(text), "A-Z0-9£€"))).alias("sentence")).where(F.col("sentence").rlike(MONEY))
+    amounts = F.array_join(F.array_distinct(F.transform(F.regexp_extract_all("sentence", F.lit(MONEY), F.lit(0)), lambda x: F.trim(x))), "; ")
+    name = hashed_id([F.col(key), F.col("sentence")], 12, "|", "cand-")
+    return s.select(name.alias("candidate"), key, "sentence", amounts.alias("amounts"), monetary_decision(F.col("sentence")).alias("decision"), F.col("sentence").rlike(CUE).alias("cue"))
 
 
 def backfill_evidence(edges: DataFrame, nodes: DataFrame) -> DataFrame:

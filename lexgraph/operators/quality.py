@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, json_true
+from ..functions.text import is_blank, json_true, ladder
 
 #: Methods whose edges are stated in a source rather than derived (fixed values).
 EXPLICIT = ("site_structure", "html_glossary_link", "html_link", "html_anchor", "regex_rule_reference", "instrument_listing", "llm_reference")
@@ -78,3 +78,21 @@ def placeholder_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.select(F.col("from_node_id").alias("id")).distinct().withColumn("out", F.lit(1))
     status = F.when(F.col("ref") == 1, "live").when(F.col("ref").isNotNull() | F.col("out").isNotNull(), "other").otherwise("orphan")
     return holders.join(into, "id", "left").join(out, "id", "left").select("id", status.alias("status"))
+
+
+def reference_pattern(node_type: Column, title: Column, url: Column, stable_key: Column) -> Column:
+    """Which kind of reference an unresolved placeholder is, by a ladder over its title, URL and key."""
+    text = F.trim(F.coalesce(title, F.lit("")))
+    low = F.lower(text)
+    hay = F.lower(F.concat_ws(" ", text, F.coalesce(url, F.lit("")), F.coalesce(stable_key, F.lit(""))))
+    host = F.lower(F.regexp_extract(F.regexp_replace(F.coalesce(url, F.lit("")), "external:|url:", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    steps = [
+        ((node_type == "rule_reference") & F.contains(hay, F.lit("pra-rules/")), "Internal rule URL needing resolver context"),
+        (F.contains(hay, F.lit("guidance/supervisory-statements")) | hay.rlike(r"\bss\d+[-/]\d+\b"), "Supervisory statement reference"),
+        (F.contains(hay, F.lit("guidance/statements-of-policy")) | hay.rlike(r"\bsop\d*[-/]?\d*\b"), "Statement of policy reference"),
+        (low.isin("here", "click here"), "Generic link text"),
+        (low.rlike(r"^(https?://|www\.)"), "Raw URL title"),
+        (text.rlike(r"^(?i:\d+(\.\d+)*[a-z]?([()\w–-]+)?)$"), "Bare paragraph/rule number"),
+        (text.rlike(r"^(?i:chapter|article|section|annex|appendix|part)\b"), "Generic structural label"),
+    ]
+    return F.coalesce(ladder(steps), F.when(host != "", F.concat(F.lit("External site: "), host)), F.lit("Other unresolved pattern"))

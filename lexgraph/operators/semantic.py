@@ -23,19 +23,20 @@ def similar(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0
     query matrix is broadcast in pieces of a fixed size. Null vectors and those of another length don't take part.
     """
     spark = vectors.sparkSession
-    got = queries.where(F.col(vec).isNotNull()).select(key, vec).toArrow()
-    if not got.num_rows:
-        kind = vectors.schema[key].dataType.simpleString()
+    kind = vectors.schema[key].dataType.simpleString()
+    queries = queries.where(F.col(vec).isNotNull()).select(key, vec)
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("dim")).first()
+    if not size["n"]:
         return spark.createDataFrame([], f"query {kind}, other {kind}, cosine double")
-    ids = got.column(key).to_numpy()
-    q = np.array(got.column(vec).to_pylist(), dtype=np.float64)
-    norm = np.linalg.norm(q, axis=1, keepdims=True)
-    q = q / np.where(norm == 0, 1, norm)
-    step = max(1, QUERY_BYTES // (q.shape[1] * 8))
-    dim, kind = q.shape[1], vectors.schema[key].dataType.simpleString()
-    parts = []
-    for low in range(0, len(q), step):
-        shared = spark.sparkContext.broadcast((ids[low : low + step], q[low : low + step]))
+    # The queries come to the driver one piece at a time; a piece is bounded by QUERY_BYTES.
+    pieces, dim, parts = -(-size["n"] * size["dim"] * 8 // QUERY_BYTES), size["dim"], []
+    for piece in range(pieces):
+        got = queries.where(F.pmod(F.xxhash64(key), F.lit(pieces)) == piece).where(F.size(vec) == dim).toArrow()
+        if not got.num_rows:
+            continue
+        ids, q = got.column(key).to_numpy(), np.array(got.column(vec).to_pylist(), dtype=np.float64)
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast((ids, q / np.where(norm == 0, 1, norm)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qi, qv = shared.value
@@ -45,12 +46,14 @@ def similar(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0
                     continue
                 xi, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(qv @ (x / np.where(n == 0, 1, n)).T, 6)
-                s[qi[:, None] == xi[None, :]] = -2
-                m = min(k, s.shape[1])
-                edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-                a, c = np.nonzero((s >= edge[:, None]) & (s >= least))
-                yield pa.RecordBatch.from_arrays([pa.array(qi[a], b.schema.field(0).type), pa.array(xi[c], b.schema.field(0).type), pa.array(s[a, c])], ["query", "other", "cosine"])
+                x = x / np.where(n == 0, 1, n)
+                for low in range(0, len(qi), 1024):
+                    s = np.round(qv[low : low + 1024] @ x.T, 6)
+                    s[qi[low : low + 1024, None] == xi[None, :]] = -2
+                    m = min(k, s.shape[1])
+                    edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+                    a, c = np.nonzero((s >= edge[:, None]) & (s >= least))
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[low + a], b.schema.field(0).type), pa.array(xi[c], b.schema.field(0).type), pa.array(s[a, c])], ["query", "other", "cosine"])
 
         parts.append(vectors.select(key, vec).mapInArrow(run, f"query {kind}, other {kind}, cosine double"))
     near = parts[0]

@@ -23,7 +23,7 @@ def neighbourhood(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 1,
 
     Each node that is expanded gives its `limit` best edges in either direction (confidence, then id). Other ends
     join while fewer than `limit` nodes are seen; edges to ends that came too late are kept. Ends that aren't nodes
-    are counted but don't come out.
+    are counted but don't come out. Each hop is cut: it reads the edges once and holds at most `limit` nodes.
     """
     if edge_types:
         edges = edges.where(F.col("edge_type").isin(*edge_types))
@@ -34,19 +34,19 @@ def neighbourhood(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 1,
     frontier, kept = seen, None
     for hop in range(1, depth + 1):
         near = F.broadcast(frontier.select(F.col("id").alias("node"), F.col("ord").alias("f_ord")))  # at most `limit` rows
-        inc = sym.join(near, "node").withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.col("confidence").desc_nulls_last(), "id"))).where(F.col("r") <= limit)
+        inc = cut(sym.join(near, "node").withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.col("confidence").desc_nulls_last(), "id"))).where(F.col("r") <= limit))
         fresh = inc.join(F.broadcast(seen.select(F.col("id").alias("other"))), "other", "left_anti").groupBy("other").agg(F.min(F.struct("f_ord", "r")).alias("o"))
-        ranked = fresh.withColumn("k", F.row_number().over(_whole().orderBy("o.f_ord", "o.r", "other")))
-        size = seen.agg(F.count("*").alias("size"))
-        ranked = ranked.crossJoin(size)  # one row
+        size = seen.count()  # at most `limit`
+        ranked = fresh.withColumn("k", F.row_number().over(_whole().orderBy("o.f_ord", "o.r", "other"))).withColumn("size", F.lit(size))
         # A node is expanded only while fewer than `limit` are seen before its turn.
         before = ranked.groupBy(F.col("o.f_ord").alias("f_ord")).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(_whole().orderBy("f_ord"))).select(F.col("f_ord").alias("g_ord"), "upto")
         turns = frontier.select(F.col("ord").alias("f_ord")).join(before, F.col("g_ord") < F.col("f_ord"), "left").groupBy("f_ord").agg(F.coalesce(F.max("upto"), F.lit(0)).alias("found"))
-        turns = turns.crossJoin(size).where(F.col("found") + F.col("size") < limit).select("f_ord")
+        turns = turns.where(F.col("found") + size < limit).select("f_ord")
         used = inc.join(F.broadcast(turns), "f_ord", "left_semi").select("id").distinct()
         kept = used if kept is None else kept.unionByName(used)
         fresh = ranked.where(F.col("k") + F.col("size") <= limit).select(F.col("other").alias("id"), F.lit(hop).alias("depth"), (F.col("k") + F.col("size") - 1).alias("ord"))
-        seen, frontier = seen.unionByName(fresh), fresh
+        frontier = cut(fresh)
+        seen = cut(seen.unionByName(frontier))
     return seen.join(nodes.select("id", "node_type", "title"), "id"), kept.distinct()
 
 
@@ -64,15 +64,63 @@ def descendants(edges: DataFrame, roots: DataFrame, levels: int = 8) -> DataFram
 
 def walks(edges: DataFrame, start: str, steps: int = 3) -> DataFrame:
     """id, hops: ends reached by undirected walks that visit no node twice, with their fewest hops."""
-    sym = symmetric(edges).distinct()
+    sym = cut(symmetric(edges).distinct())
     seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, hops int")
     front = seen
     for k in range(1, steps + 1):
-        front = front.select(F.col("id").alias("node")).join(sym, "node").select(F.col("other").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(k))
+        front = cut(front.select(F.col("id").alias("node")).join(sym, "node").select(F.col("other").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(k)))
         seen = seen.unionByName(front)
     return seen
 
 
+def walk_paths(edges: DataFrame, start: str, steps: int = 3, to: str | None = None, most: int | None = None) -> DataFrame:
+    """id, hops, path, edge_types: undirected walks from a node that visit no node twice, or those that end in `to`.
+
+    path names the nodes in their order. A walk stops at `to`. With `most`, the first so many by length, then path (a
+    report limit). Walks grow with the graph's degree: keep the steps few or the edges to the types wanted.
+    """
+    sym = cut(symmetric(edges, ("edge_type",)).where("node <> other").distinct())
+    front = edges.sparkSession.createDataFrame([(start, 0, [start], [])], "id string, hops int, path array<string>, edge_types array<string>")
+    found = None
+    for k in range(1, steps + 1):
+        go = front if to is None else front.where(F.col("id") != to)
+        grown = go.withColumnRenamed("id", "node").join(sym, "node").where(~F.array_contains("path", F.col("other")))
+        front = cut(grown.select(F.col("other").alias("id"), F.lit(k).alias("hops"), F.array_append("path", F.col("other")).alias("path"), F.array_append("edge_types", F.col("edge_type")).alias("edge_types")))
+        found = front if found is None else found.unionByName(front)
+    out = found if to is None else found.where(F.col("id") == to)
+    return out if most is None else out.orderBy("hops", F.array_join("path", ">"), F.array_join("edge_types", ">")).limit(most)
+
+
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """nth, id, edge_id, edge_type: the nodes of one shortest undirected path, with the edge by which each was reached.
+
+    Of several paths the one that, from the target back, goes by the smallest predecessor and its smallest edge. No
+    rows if there is none; one row if both are the same. The search keeps one predecessor of each node it reaches.
+    """
+    spark = edges.sparkSession
+    if source == target:
+        return spark.createDataFrame([(0, source, None, None)], "nth int, id string, edge_id string, edge_type string")
+    sym = cut(symmetric(edges, ("id", "edge_type")).where("node <> other").select("node", "other", F.col("id").alias("edge_id"), "edge_type"))
+    front = spark.createDataFrame([(source,)], "id string")
+    seen, levels = front, []
+    while not front.isEmpty():
+        grown = front.withColumnRenamed("id", "node").join(sym, "node").join(seen.select(F.col("id").alias("other")), "other", "left_anti")
+        level = cut(grown.groupBy(F.col("other").alias("id")).agg(F.min(F.struct("node", "edge_id", "edge_type")).alias("by")))
+        levels.append(level)
+        if not level.where(F.col("id") == target).isEmpty():
+            break
+        front = level.select("id")
+        seen = cut(seen.unionByName(front))
+    else:
+        return spark.createDataFrame([], "nth int, id string, edge_id string, edge_type string")
+    rows, at = [], target
+    for nth in range(len(levels), 0, -1):  # as many lookups as the path has edges
+        by = levels[nth - 1].where(F.col("id") == at).first()["by"]
+        rows.append((nth, at, by["edge_id"], by["edge_type"]))
+        at = by["node"]
+    return spark.createDataFrame([(0, source, None, None), *reversed(rows)], "nth int, id string, edge_id string, edge_type string")
+
+
 def shortest_path_lengths(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """source, target, length: fewest undirected hops, null if there is no path (with `most`: none of so many hops).
 
@@ -106,14 +154,15 @@ def shortest_path_lengths(edges: DataFrame, pairs: DataFrame, most: int | None =
     return pairs.join(found, list(ends), "left").select("source", "target", "length")
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, component: connected components, named by their smallest id; isolated nodes are their own.
 
-    Large-star and small-star steps, each two shuffles, until the links no longer change: O(log n) rounds.
+    Large-star and small-star steps, until the links no longer change: O(log n) rounds. A hub's links are combined
+    before they are shuffled; what is joined to them is one row a node.
     """
     links = cut(edges.select(F.greatest("from_node_id", "to_node_id").alias("u"), F.least("from_node_id", "to_node_id").alias("v")).where("u <> v").distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -152,10 +201,17 @@ def nearest_ancestor(edges: DataFrame, nodes: DataFrame, good: Column, order: Co
     info = nodes.select("id", good.alias("good"), order.alias("pref"))
     up = edges.where("edge_type = 'contains'").select(F.col("to_node_id").alias("at"), F.col("from_node_id").alias("id")).join(info, "id")
     best = up.groupBy("at").agg(F.min(F.struct("pref", "id", "good")).alias("p")).select("at", F.col("p.id").alias("parent"), F.col("p.good").alias("parent_good"))
-    state = info.select("id", F.col("id").alias("at"), F.when(F.col("good"), F.col("id")).alias("ancestor"))
+    best = cut(best)
+    found = info.where("good").select("id", F.col("id").alias("ancestor"))
+    # Only what isn't resolved yet climbs on.
+    state = info.where("not good or good is null").select("id", F.col("id").alias("at"))
     for _ in range(levels):
-        state = state.join(best, "at", "left").select("id", F.coalesce("parent", "at").alias("at"), F.coalesce("ancestor", F.when(F.col("parent_good"), F.col("parent"))).alias("ancestor"))
-    return state.where("ancestor is not null").select("id", "ancestor")
+        state = cut(state.join(best, "at").select("id", F.col("parent").alias("at"), "parent_good"))
+        found = found.unionByName(state.where("parent_good").select("id", F.col("at").alias("ancestor")))
+        state = state.where("not parent_good or parent_good is null").select("id", "at")
+        if state.isEmpty():
+            break
+    return found
 
 
 def roll_up(edges: DataFrame, ancestors: DataFrame, edge_type: str = "references") -> DataFrame:

@@ -56,7 +56,7 @@ def communities(s: SparkSession, d: str) -> DataFrame:
 
 
 def label_communities(s: SparkSession, d: str) -> DataFrame:
-    return A.communities(_analysis(s, d).where("edge_type in ('contains', 'references')"))
+    return A.communities(_analysis(s, d))
 
 
 def communities_modularity(s: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def communities_modularity(s: SparkSession, d: str) -> DataFrame:
 
 
 def html_parse_nodes(s: SparkSession, d: str) -> DataFrame:
-    return parse_pages(store.latest(table(s, d, "document_source"), "id").where("raw_html like '%<%'"))
+    return parse_pages(store.latest(table(s, d, "document_source"), "id"))
 
 
 def simple_graph(s: SparkSession, d: str) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ladder, norm_words
+from ..functions.text import json_true, norm_words
 from ..operators import quality as Q
 from ..operators import store
-from .graph import edges, gedges, nodes, twin
+from .graph import edges, gedges, nodes, seeded, seeded_edges, seeded_nodes, twin
 
 
 def stats_nodes_by_type(s: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def self_loops(s: SparkSession, d: str) -> DataFrame:
 
 
 def near_self_loops(s: SparkSession, d: str) -> DataFrame:
-    return Q.near_self_loops(edges(s, d), nodes(s, d))
+    return Q.near_self_loops(seeded_edges(s, d), seeded_nodes(s, d))
 
 
 def unresolved_reference_summary(s: SparkSession, d: str) -> DataFrame:
@@ -76,14 +76,12 @@ def unresolved_reference_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def unresolved_pattern_buckets(s: SparkSession, d: str) -> DataFrame:
-    t = F.lower(F.coalesce(F.col("title"), F.lit("")))
-    label = ladder([(t.rlike("^art"), "article"), (t.rlike("^annex"), "annex"), (t.rlike("^(no\\.|s\\.)"), "instrument"), (t.rlike("^(fig|table)"), "figure"), (t.rlike("^(rule|chapter|section|part) ?[0-9]"), "provision"), (t.rlike("^https?:"), "url")], "other")
-    held = Q.placeholder_status(nodes(s, d), edges(s, d)).join(nodes(s, d).select("id", "title"), "id")
-    into = edges(s, d).groupBy(F.col("to_node_id").alias("id")).agg(F.count("*").alias("live"))
-    g = held.join(into, "id", "left").groupBy(label.alias("pattern"))
-    out = g.agg(F.count("*").alias("n"), F.coalesce(F.sum("live"), F.lit(0)).alias("live_edges"))
-    some = held.withColumn("pattern", label).withColumn("k", F.row_number().over(W.partitionBy("pattern").orderBy("title", "id"))).where("k <= 12").groupBy("pattern").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]), "|").alias("examples"))
-    return out.join(some, "pattern")
+    """Placeholders that are referred to, by the pattern of their titles and URLs, with up to twelve examples."""
+    n = nodes(s, d).where("node_type in ('external_reference', 'rule_reference')").where(json_true(F.col("metadata_json"), "$.placeholder"))
+    into = edges(s, d).where("edge_type = 'references'").groupBy(F.col("to_node_id").alias("id")).agg(F.count("*").alias("live"))
+    held = n.join(into, "id").select("id", "title", "live", Q.reference_pattern(F.col("node_type"), F.col("title"), F.col("url"), F.col("stable_key")).alias("pattern"))
+    top = held.withColumn("k", F.row_number().over(W.partitionBy("pattern").orderBy("title", "id"))).where("k <= 12").groupBy("pattern").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]), "|").alias("examples"))
+    return held.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("live").alias("live_edges")).join(top, "pattern")
 
 
 def unresolved_samples_ids(s: SparkSession, d: str) -> DataFrame:
@@ -163,11 +161,12 @@ ORACLE = {
         union all select 'nodes_norm_title', count(*), coalesce(sum(c - 1), 0)::bigint from (select count(*) c from n group by node_type, {_NORM} having count(*) > 1)
         union all select 'edges_exact', count(*), coalesce(sum(c - 1), 0)::bigint from (select count(*) c from e group by from_node_id, to_node_id, edge_type, source_method, evidence_text having count(*) > 1)"""),
     "self_loops": twin("select id, from_node_id, edge_type from e where from_node_id = to_node_id"),
-    "near_self_loops": twin("select e.id, from_node_id, to_node_id, edge_type from e join n a on a.id = from_node_id join n b on b.id = to_node_id where from_node_id <> to_node_id and a.node_type = b.node_type and a.title = b.title and a.text = b.text and trim(a.text) <> ''"),
+    "near_self_loops": seeded("select e.id, from_node_id, to_node_id, edge_type from e join n a on a.id = from_node_id join n b on b.id = to_node_id where from_node_id <> to_node_id and a.node_type = b.node_type and a.title = b.title and a.text = b.text and trim(a.text) <> ''"),
     "unresolved_reference_summary": twin(f"with {_PH} select status, count(*) n from st group by 1"),
-    "unresolved_pattern_buckets": twin(f"""with {_PH}, c as (select *, case when regexp_matches(lower(coalesce(title, '')), '^art') then 'article' when regexp_matches(lower(coalesce(title, '')), '^annex') then 'annex' when regexp_matches(lower(coalesce(title, '')), '^(no\\.|s\\.)') then 'instrument' when regexp_matches(lower(coalesce(title, '')), '^(fig|table)') then 'figure' when regexp_matches(lower(coalesce(title, '')), '^(rule|chapter|section|part) ?[0-9]') then 'provision' when regexp_matches(lower(coalesce(title, '')), '^https?:') then 'url' else 'other' end pattern, (select count(*) from e where to_node_id = st.id) live from st),
-        r as (select *, row_number() over (partition by pattern order by title, id) k from c)
-        select pattern, count(*) n, sum(live)::bigint live_edges, string_agg(title, '|' order by k) filter (k <= 12) examples from r group by 1"""),
+    "unresolved_pattern_buckets": twin("""with p as (select id, title, trim(coalesce(title, '')) tt, lower(trim(coalesce(title, '')) || ' ' || coalesce(url, '') || ' ' || coalesce(stable_key, '')) h, node_type, lower(regexp_extract(replace(replace(coalesce(url, ''), 'external:', ''), 'url:', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) host from n where node_type in ('external_reference', 'rule_reference') and json_valid(metadata_json) and lower(metadata_json->>'$.placeholder') in ('true', '1')),
+        l as (select to_node_id id, count(*) live from e where edge_type = 'references' group by 1),
+        b as (select p.id, title, live, case when node_type = 'rule_reference' and contains(h, 'pra-rules/') then 'Internal rule URL needing resolver context' when contains(h, 'guidance/supervisory-statements') or regexp_matches(h, '\\bss\\d+[-/]\\d+\\b') then 'Supervisory statement reference' when contains(h, 'guidance/statements-of-policy') or regexp_matches(h, '\\bsop\\d*[-/]?\\d*\\b') then 'Statement of policy reference' when lower(tt) in ('here', 'click here') then 'Generic link text' when regexp_matches(lower(tt), '^(https?://|www\\.)') then 'Raw URL title' when regexp_matches(tt, '^(?i:\\d+(\\.\\d+)*[a-z]?([()\\w–-]+)?)$') then 'Bare paragraph/rule number' when regexp_matches(tt, '^(?i:chapter|article|section|annex|appendix|part)\\b') then 'Generic structural label' when host <> '' then 'External site: ' || host else 'Other unresolved pattern' end pattern from p join l on l.id = p.id)
+        select pattern, count(*) n, sum(live) live_edges, (select string_agg(title, '|' order by title, id) from (select * from b x where x.pattern = b.pattern order by title, id limit 12)) examples from b group by pattern"""),
     "unresolved_samples_ids": twin(f"with {_PH} select id, title, printf('UR-%04d', row_number() over (order by title, id)) display_id from (select id, title from st where status = 'live' order by title, id limit 40)"),
     "exact_edge_dedupe": twin("select edge_type, count(*) n from (select distinct from_node_id, to_node_id, edge_type, source_method, evidence_text from e) group by 1"),
     "semi_key_dedupe": twin("with k as (select *, coalesce(case when json_valid(metadata_json) then metadata_json->>'$.reference' end, evidence_text) ref from e) select source_method, count(*) n from k where not (source_method like 'regex%' and exists (select 1 from k o where o.source_method in ('html_anchor', 'llm_reference') and o.from_node_id = k.from_node_id and o.to_node_id = k.to_node_id and o.edge_type = k.edge_type and o.ref = k.ref)) group by 1"),

@@ -33,12 +33,6 @@ def _by_clause(o: DataFrame) -> DataFrame:
 
 
 def clause_obligations(s: SparkSession, d: str) -> DataFrame:
-    """With the limit of its SQL twin and of the reference: the first 24 sentences of a text."""
-    return _by_clause(R.clause_obligations(nodes(s, d), 24))
-
-
-def clause_obligations_all(s: SparkSession, d: str) -> DataFrame:
-    """Over whole texts."""
     return _by_clause(R.clause_obligations(nodes(s, d)))
 
 
@@ -46,7 +40,7 @@ def source_segments(s: SparkSession, d: str) -> DataFrame:
     return R.segment_sources(store.latest(table(s, d, "source_span"), "span_id"))
 
 
-QUERIES = {f.__name__: f for f in (resolve_references, staged_reference_edges, url_propagation, clause_obligations, clause_obligations_all, source_segments)}
+QUERIES = {f.__name__: f for f in (resolve_references, staged_reference_edges, url_propagation, clause_obligations, source_segments)}
 def _norm(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -81,5 +75,5 @@ ORACLE = {
     "resolve_references": twin(f"with {_BEST} select ref_id, target_id, method, score from best"),
     "staged_reference_edges": twin(f"with {_BEST}, st as (select source_id, target_id, least(0.92::double, score * extracted) conf, method, coalesce(nullif(trim(ev), ''), tx) quote, ref_index, ref_id from best join rf using (ref_id) where source_id is not null and score >= 0.88 and extracted >= 0.7 and not exists (select 1 from e where from_node_id = source_id and to_node_id = target_id)), fq as (select source_id, target_id, quote, min(row(ref_index, ref_id)) pos from st where quote <> '' group by all), q as (select source_id, target_id, string_agg(quote, chr(10) || '---' || chr(10) order by pos) evidence from fq group by all) select st.source_id from_node_id, st.target_id to_node_id, round(max(conf), 6) confidence, count(*) n_refs, string_agg(distinct method, ',' order by method) methods, coalesce(max(evidence), '') evidence from st left join q on q.source_id = st.source_id and q.target_id = st.target_id group by 1, 2"),
     "url_propagation": twin(f"with own as (select id, {_HTTP.format('url')} own from n), ends as (select from_node_id id, to_node_id other, id eid, {_HTTP.format('source_url')} eurl from e union all select to_node_id, from_node_id, id, {_HTTP.format('source_url')} from e), w as (select ends.*, o.own nurl from ends left join own o on o.id = other), b as (select id, arg_min(eurl, eid) filter (eurl is not null) eurl, arg_min(nurl, {{'a': eid, 'b': other}}) filter (nurl is not null) nurl from w group by id) select own.id, coalesce(own, eurl, nurl) url, case when own is not null then 'own' when eurl is not null then 'edge' when nurl is not null then 'neighbour' else 'none' end origin from own left join b on b.id = own.id"),
-    "clause_obligations": twin("with sp as (select id, unnest(string_split(regexp_replace(text, '[.;] ([A-Z(])', chr(1) || '\\1', 'g'), chr(1))[1:24]) sentence from n where length(text) > 40), x as (select id, regexp_extract(sentence, '\\b(must|shall|should|may|is required to|are required to)\\b', 1) modal, lower(regexp_extract(sentence, '(?i)\\b(if|where|when|unless|except where|provided that|subject to)\\b', 1)) condition from sp) select modal, condition, count(*) n, count(distinct id) n_nodes from x where modal <> '' group by 1, 2"),
+    "clause_obligations": twin("with sp as (select id, unnest(string_split(regexp_replace(text, '[.;] ([A-Z(])', chr(1) || '\\1', 'g'), chr(1))) sentence from n where length(text) > 40), x as (select id, regexp_extract(sentence, '\\b(must|shall|should|may|is required to|are required to)\\b', 1) modal, lower(regexp_extract(sentence, '(?i)\\b(if|where|when|unless|except where|provided that|subject to)\\b', 1)) condition from sp) select modal, condition, count(*) n, count(distinct id) n_nodes from x where modal <> '' group by 1, 2"),
 }

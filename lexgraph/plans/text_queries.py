@@ -12,16 +12,17 @@ from ..operators import canonical as C
 from ..operators import enrich as E
 from ..operators import search as S
 from ..operators import store
-from ..runtime import table
-from .graph import edges, gedges, nodes, twin
+from ..operators.quality import top_degree
+from ..runtime import TABLES, registered, table
+from .graph import edges, gedges, nodes, seeded, seeded_nodes, twin
 
 QUERY = "stressed ledger"
 
 
 def schema_catalog(s: SparkSession, d: str) -> DataFrame:
-    """Column count and rows of the graph's tables."""
+    """Column count and rows of every table of the registry."""
     out = None
-    for t in ("node", "edge", "graph_edge", "source_span", "document_source"):
+    for t in TABLES:
         df = table(s, d, t)
         row = df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), F.lit(len(df.columns)).alias("n_columns"), "n_rows")
         out = row if out is None else out.unionByName(row)
@@ -29,7 +30,7 @@ def schema_catalog(s: SparkSession, d: str) -> DataFrame:
 
 
 def table_rows_search(s: SparkSession, d: str) -> DataFrame:
-    return S.table_rows(table(s, d, "document_source").drop("raw_html"), "audit").select("id", "url")
+    return S.table_rows(registered(s, d, "document_source"), "audit").select("id", "url")
 
 
 def list_nodes_page(s: SparkSession, d: str) -> DataFrame:
@@ -45,9 +46,9 @@ def unified_nodes_page(s: SparkSession, d: str) -> DataFrame:
 
 
 def unified_edges_page(s: SparkSession, d: str) -> DataFrame:
-    """Edges of one node in both directions: two equality filters, not an OR."""
+    """Edges of the best-connected node in both directions: two equality filters, not an OR."""
     e = edges(s, d)
-    hub = "710e4b8ac8cfe86b"
+    hub = top_degree(e, nodes(s, d), 1).first()["id"]
     both = e.where(F.col("from_node_id") == hub).unionByName(e.where((F.col("to_node_id") == hub) & (F.col("from_node_id") != hub)))
     return S.page(both.select("id", "from_node_id", "to_node_id", "edge_type"), [F.col("edge_type"), F.col("id")], 200)
 
@@ -101,36 +102,23 @@ def rollup_child_edges(s: SparkSession, d: str) -> DataFrame:
     return E.child_edges_on_container(edges(s, d), ("uses_defined_term", "references", "has_obligation_pattern")).withColumn("confidence", F.round("confidence", 6))
 
 
-def _obligations(s: SparkSession, d: str, most: int | None = None) -> DataFrame:
-    return E.obligations(nodes(s, d), most=most).select("id", "nth", "modal", "action", E.normalised_object(F.col("object")).alias("object"))
+def _obligations(s: SparkSession, d: str) -> DataFrame:
+    return E.obligations(nodes(s, d)).select("id", "nth", "modal", "action", E.normalised_object(F.col("object")).alias("object"))
 
 
 def regex_obligations(s: SparkSession, d: str) -> DataFrame:
-    """With the limit of its SQL twin and of the reference: the first six of a text."""
-    return _obligations(s, d, 6)
-
-
-def regex_obligations_all(s: SparkSession, d: str) -> DataFrame:
     return _obligations(s, d)
 
 
 def obligation_patterns(s: SparkSession, d: str) -> DataFrame:
-    """Of the first six obligations of a text, as in its SQL twin and the reference."""
-    return _patterns(_obligations(s, d, 6))
-
-
-def obligation_patterns_all(s: SparkSession, d: str) -> DataFrame:
-    return _patterns(_obligations(s, d))
-
-
-def _patterns(o: DataFrame) -> DataFrame:
-    o = o.where("length(object) >= 3")
+    o = _obligations(s, d).where("length(object) >= 3")
     key = F.concat_ws(":", "modal", "action", "object")
     return o.groupBy(key.alias("pattern")).agg(F.countDistinct("id").alias("n_nodes"), F.min("id").alias("first_id"))
 
 
 def regex_rule_references(s: SparkSession, d: str) -> DataFrame:
-    return E.rule_references(nodes(s, d))
+    """References that texts state, of every scope."""
+    return E.text_references(seeded_nodes(s, d)).select("from_id", "to_id", "scope", "reference", "confidence")
 
 
 def legal_citations(s: SparkSession, d: str) -> DataFrame:
@@ -139,31 +127,28 @@ def legal_citations(s: SparkSession, d: str) -> DataFrame:
 
 def title_match_edges(s: SparkSession, d: str) -> DataFrame:
     """Nodes that bear the title of a Part, matched to the first such Part."""
-    n = nodes(s, d)
+    n = seeded_nodes(s, d)
     parts = n.where("node_type = 'part'").groupBy(X.clean_text(F.lower("title")).alias("t")).agg(F.min("id").alias("part_id"))
     return n.where("node_type <> 'part'").select("id", X.clean_text(F.lower("title")).alias("t")).join(parts, "t").select("id", "part_id")
 
 
-def _by_kind(t: DataFrame) -> DataFrame:
-    return t.groupBy("kind").agg(F.count("*").alias("n_sentences"), F.countDistinct("id").alias("n_nodes"), F.countDistinct("found").alias("n_values"))
-
-
 def quant_thresholds(s: SparkSession, d: str) -> DataFrame:
-    """With the limits of its SQL twin: sentences of at most 900 characters, eight values of a class."""
-    return _by_kind(E.thresholds(nodes(s, d), 8, 900))
+    """Quantitative limits in the texts of nodes and spans."""
+    spans = store.latest(table(s, d, "source_span"), "span_id").select(F.col("span_id").alias("id"), F.coalesce("normalised_text", "raw_text").alias("text"))
+    return E.thresholds(nodes(s, d).select("id", "text").unionByName(spans)).select("id", "snippet", "kinds", "found")
 
 
-def quant_thresholds_all(s: SparkSession, d: str) -> DataFrame:
-    """Over whole texts, with all values."""
-    return _by_kind(E.thresholds(nodes(s, d)))
+def quant_threshold_review(s: SparkSession, d: str) -> DataFrame:
+    """Limits said in the same words by several nodes of one type."""
+    n = nodes(s, d)
+    found = E.thresholds(n).join(n.select("id", "node_type"), "id")
+    return E.grouped_thresholds(found, ["node_type"])
 
 
 def monetary_thresholds(s: SparkSession, d: str) -> DataFrame:
-    """Currency limits with stable candidate ids; example and accounting sentences are left out."""
-    t = nodes(s, d).where(F.length("text") > 0).select("id", F.explode(F.split("text", r"\. (?=[A-Z(])")).alias("sentence"))
-    t = t.where(F.col("sentence").rlike(E.THRESHOLDS["currency"]) & ~F.lower("sentence").rlike("for example|e\\.g\\.|accounting standard"))
-    t = t.select("id", F.regexp_extract("sentence", E.THRESHOLDS["currency"], 0).alias("amount")).distinct()
-    return t.select(hashed_id([F.col("id"), F.col("amount")], 12, "|", "cand-").alias("candidate"), "id", "amount")
+    """Sentences with money of rules and guidance, with stable ids, the decision and display ids."""
+    n = nodes(s, d).where("node_type in ('rule', 'guidance_paragraph', 'guidance_document')")
+    return E.monetary_candidates(n).select("candidate", "id", "amounts", "decision", "cue")
 
 
 def evidence_backfill(s: SparkSession, d: str) -> DataFrame:
@@ -182,7 +167,7 @@ def alias_merge_rewire(s: SparkSession, d: str) -> DataFrame:
 
 def section_merge_pairs(s: SparkSession, d: str) -> DataFrame:
     """Titles that exactly one section with a link mark and one without bear: candidates for a merge."""
-    x = nodes(s, d).where("node_type = 'guidance_section'").select("id", X.norm_words(F.col("title")).alias("t"), X.is_blank(F.col("url")).alias("bare"))
+    x = seeded_nodes(s, d).where("node_type = 'guidance_section'").select("id", X.norm_words(F.col("title")).alias("t"), X.is_blank(F.col("url")).alias("bare"))
     g = x.groupBy("t").agg(F.count_if("bare").alias("without"), F.count_if(~F.col("bare")).alias("with"), F.min("id").alias("first_id"))
     return g.where("`without` + `with` > 1")
 
@@ -192,11 +177,13 @@ def url_normalise(s: SparkSession, d: str) -> DataFrame:
 
 
 def source_classify_dedupe(s: SparkSession, d: str) -> DataFrame:
-    """Each source's class and the source kept for its URL."""
-    src = store.latest(table(s, d, "document_source"), "id").select("id", "source_type", "content_hash", X.normalise_url(F.col("url")).alias("u"))
-    kind = X.ladder([(F.col("u").rlike(r"\.pdf$"), "pdf"), (F.col("u").rlike(r"\.xlsx?$"), "workbook"), (F.col("u").rlike(r"\.html?$"), "page"), (F.col("u").contains("archive"), "archive")], "other")
-    key = F.when(F.col("u").isNull(), F.col("id")).otherwise(F.col("u"))
-    return src.select("id", kind.alias("kind"), F.min("id").over(W.partitionBy(key)).alias("canonical_id"))
+    """Each source's kind, dedupe key and canonical source; the file type is the URL's ending, a title its last name."""
+    src = store.latest(table(s, d, "document_source"), "id").select("id", "url", "content_hash")
+    path = F.regexp_replace(F.regexp_replace(F.lower(F.trim("url")), r"[?#].*$", ""), "/+$", "")
+    ending = F.regexp_extract(path, r"\.([a-z0-9]{2,4})$", 1)
+    kind = F.when(ending.isin("htm", "html") | (ending == "") | F.col("url").isNull(), "html").otherwise(ending)
+    named = src.select(F.col("id").alias("source_id"), "url", F.col("content_hash").alias("checksum"), kind.alias("file_type"), F.regexp_extract(path, r"([^/]*)$", 1).alias("title"))
+    return C.source_groups(named).select("source_id", "source_kind", "dedupe_key", "canonical_id", "decision")
 
 
 def link_extract(s: SparkSession, d: str) -> DataFrame:
@@ -230,7 +217,7 @@ def heading_paths(s: SparkSession, d: str) -> DataFrame:
     return sp.select("span_id", head.alias("heading"), F.size(F.split(F.coalesce("heading_path", F.lit("")), " > ")).alias("levels"))
 
 
-QUERIES = {f.__name__: f for f in (schema_catalog, table_rows_search, list_nodes_page, unified_nodes_page, unified_edges_page, search_ilike, snippets, search_bm25, unified_search, canonical_documents, canonical_paragraphs, canonical_reason_counts, shared_term_edges, shared_obligation_edges, rollup_child_edges, regex_obligations, regex_obligations_all, obligation_patterns, obligation_patterns_all, regex_rule_references, legal_citations, title_match_edges, quant_thresholds, quant_thresholds_all, monetary_thresholds, evidence_backfill, alias_merge_rewire, section_merge_pairs, url_normalise, source_classify_dedupe, link_extract, id_hashes, roman_numerals, reference_resolution, heading_paths)}
+QUERIES = {f.__name__: f for f in (schema_catalog, table_rows_search, list_nodes_page, unified_nodes_page, unified_edges_page, search_ilike, snippets, search_bm25, unified_search, canonical_documents, canonical_paragraphs, canonical_reason_counts, shared_term_edges, shared_obligation_edges, rollup_child_edges, regex_obligations, obligation_patterns, regex_rule_references, legal_citations, title_match_edges, quant_thresholds, quant_threshold_review, monetary_thresholds, evidence_backfill, alias_merge_rewire, section_merge_pairs, url_normalise, source_classify_dedupe, link_extract, id_hashes, roman_numerals, reference_resolution, heading_paths)}
 
 _DS = "ds as (select * from document_source qualify row_number() over (partition by id order by loaded_at desc) = 1)"
 _META = "case when json_valid(metadata_json) then metadata_json->>'$.{}' end"
@@ -251,16 +238,19 @@ cn as (select mt.id, node_type, case when node_type = 'guidance_document' and co
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _OBL = "\\b([A-Z][A-Za-z -]{2,80}?) (must|shall|should|may|is required to|are required to) (?:not )?([a-z]+) ([^.;:]{3,140})"
-_OB = f"ob as (select id, unnest(range(1, least(6, len(s)) + 1)) nth, s, m, a, o from (select id, regexp_extract_all(text, '{_OBL}', 1) s, regexp_extract_all(text, '{_OBL}', 2) m, regexp_extract_all(text, '{_OBL}', 3) a, regexp_extract_all(text, '{_OBL}', 4) o from n where length(text) > 40)), oo as (select id, nth, m[nth] modal, a[nth] action, array_to_string(list_filter(string_split({_NORM.format('o[nth]')}, ' '), lambda w: w not in ('a', 'an', 'the', 'any', 'each', 'every', 'its', 'of', 'to', 'and', 'or'))[1:8], ' ') object from ob)"
+_OB = f"ob as (select id, unnest(range(1, len(s) + 1)) nth, s, m, a, o from (select id, regexp_extract_all(text, '{_OBL}', 1) s, regexp_extract_all(text, '{_OBL}', 2) m, regexp_extract_all(text, '{_OBL}', 3) a, regexp_extract_all(text, '{_OBL}', 4) o from n where length(text) > 40)), oo as (select id, nth, m[nth] modal, a[nth] action, array_to_string(list_filter(string_split({_NORM.format('o[nth]')}, ' '), lambda w: w not in ('a', 'an', 'the', 'any', 'each', 'every', 'its', 'of', 'to', 'and', 'or'))[1:8], ' ') object from ob)"
 _SH = "us as (select distinct from_node_id a, to_node_id target from e where edge_type = '{t}' and from_node_id in (select id from n where node_type in ('rule', 'guidance_paragraph'))), ok as (select target from us group by 1 having count(*) between 2 and {m}), kp as (select * from us where target in (select target from ok))"
 _CITE = "select distinct id, '{k}' kind, unnest(regexp_extract_all(text, '{p}', 0)) citation from n where length(text) > 0"
 _CITES = " union all ".join(_CITE.format(k=k, p=p) for k, p in {"article": r"\bArt\. \d+(?:\(\d+\))?", "annex": r"\bAnnex [IVXLC]+(?:, para\. \d+)?", "chapter": r"\bchapter \d+", "section": r"\bsection \d+(?:\.\d+)+", "form": r"\bform [A-Z]\d+", "instrument": r"\bNo\. \d+ of \d{4}"}.items())
+#: Snippets sn(id, snippet) of a table of texts, and their limits lm(id, snippet, kinds, found).
+_SNIPPETS = "ps as (select id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x0b]+', ' ', 'g')), '([.!?])\\s+([{opens}])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') p from {src} where length(text) > 0), sn as (select distinct id, unnest(flatten(list_transform(p, lambda x: case when length(x) > case when len(p) = 1 then 600 else 900 end then list_transform(range(0, length(x), 350), lambda i: substring(x, i + 1, 450)) else [x] end))) snippet from ps)"
+_LIMITS = "lv as (select id, snippet, " + ", ".join(f"list_transform(regexp_extract_all(plain, '{p}', 0), lambda x: trim(x)) {k}" for k, p in E.THRESHOLDS.items()) + " from (select *, regexp_replace(snippet, '[\\x{c0}-\\x{1fff}\\x{2c00}-\\x{2fff}\\x{3005}-\\x{ff00}\\x{ff10}-\\x{ffff}]', 'q', 'g') plain from sn)), lw as (select *, flatten([" + ", ".join(E.THRESHOLDS) + "]) av from lv), lm as (select id, snippet, array_to_string(list_filter([" + ", ".join(f"case when len({k}) > 0 then '{k}' end" for k in E.THRESHOLDS) + "], lambda x: x is not null), '; ') kinds, array_to_string(list_filter(list_transform(range(1, len(av) + 1), lambda i: case when list_position(av, av[i]) = i then av[i] end), lambda x: x is not null), '; ') found from lw)"
 ORACLE = {
-    "schema_catalog": " union all ".join(f"select '{t}' table_name, (select count(*) from information_schema.columns where table_name = '{t}') n_columns, count(*) n_rows from {t}" for t in ("node", "edge", "graph_edge", "source_span", "document_source")),
-    "table_rows_search": "select id, url from document_source where contains(lower(coalesce(id, '') || chr(1) || coalesce(source_type, '') || chr(1) || coalesce(url, '') || chr(1) || coalesce(fetched_at, '') || chr(1) || coalesce(content_hash, '') || chr(1) || coalesce(raw_text, '')), 'audit')",
+    "schema_catalog": " union all ".join(f"select '{t}' table_name, (select count(*) from information_schema.columns where table_name = '{t}') n_columns, count(*) n_rows from {t}" for t in TABLES),
+    "table_rows_search": "select id, url from document_source where contains(lower(coalesce(id, '') || chr(1) || coalesce(source_type, '') || chr(1) || coalesce(url, '') || chr(1) || coalesce(fetched_at, '') || chr(1) || coalesce(content_hash, '') || chr(1) || coalesce(raw_html, '') || chr(1) || coalesce(raw_text, '')), 'audit')",
     "list_nodes_page": twin("select id, node_type, title from n where node_type in ('rule', 'guidance_paragraph') order by lower(title), id limit 50 offset 20"),
     "unified_nodes_page": twin("select * from (select 'rulebook' source, id, lower(title) as label from n union all select 'reporting', id, id from (select source_node_id id from g union select target_node_id from g)) order by label, source, id limit 100 offset 30"),
-    "unified_edges_page": twin("select id, from_node_id, to_node_id, edge_type from e where from_node_id = '710e4b8ac8cfe86b' or to_node_id = '710e4b8ac8cfe86b' order by edge_type, id limit 200"),
+    "unified_edges_page": twin("with h as (select id from (select id, count(*) c from (select from_node_id id from e union all select to_node_id from e where to_node_id <> from_node_id or true) group by 1) where id in (select id from n) order by c desc, id limit 1) select id, from_node_id, to_node_id, edge_type from e where from_node_id = (select id from h) or to_node_id = (select id from h) order by edge_type, id limit 200"),
     "search_ilike": twin("select id, node_type from n where contains(lower(coalesce(title, '')), 'stressed ledger') or contains(lower(coalesce(text, '')), 'stressed ledger')"),
     "snippets": twin("select id, substring(text, greatest(strpos(lower(text), 'stressed') - 1 - 80, 0) + 1, 240) snippet from n where contains(lower(text), 'stressed ledger')"),
     "search_bm25": twin(f"with {_BM}, {_CANON} select id, score from bm where id in (select id from cn where reason = 'canonical') order by score, id limit 25"),
@@ -273,19 +263,37 @@ ORACLE = {
     "rollup_child_edges": twin("with up as (select distinct from_node_id parent, to_node_id child from e where edge_type = 'contains'), ev as (select parent, to_node_id target, edge_type, child, round(max(least(0.78::double, greatest(0.35::double, coalesce(confidence, 0.5) * 0.72::double))), 6) confidence from up join e on e.from_node_id = up.child where edge_type in ('uses_defined_term', 'references', 'has_obligation_pattern') and parent <> to_node_id group by 1, 2, 3, 4) select parent, target, edge_type, child, confidence from (select *, row_number() over (partition by parent order by confidence desc, target, edge_type, child) k from ev) where k <= 450"),
     "regex_obligations": twin(f"with {_OB} select id, nth, modal, action, object from oo"),
     "obligation_patterns": twin(f"with {_OB} select modal || ':' || action || ':' || object pattern, count(distinct id) n_nodes, min(id) first_id from oo where length(object) >= 3 group by 1"),
-    "regex_rule_references": twin(f"with r as (select id, lower(trim({_META.format('part_title')})) part, regexp_extract(title, '(\\d+\\.\\d+)', 1) number, text from n where node_type = 'rule'), dm as (select part, number, min(id) to_id from r where part is not null and number <> '' group by 1, 2), rf as (select distinct id from_id, part, unnest(regexp_extract_all(text, '\\brule (\\d+\\.\\d+)', 1)) number from r) select from_id, rf.number, to_id from rf join dm on dm.part = rf.part and dm.number = rf.number where from_id <> to_id"),
+    "regex_rule_references": seeded(f"""with b as (select id, node_type, {_CLEAN.format("lower(translate(coalesce(" + _META.format('part_title') + ", ''), '–—', '--'))")} part, coalesce({_META.format('rule_number')}, nullif(regexp_extract(title, '(\\d+\\.\\d+[A-Z]?)', 1), '')) number, coalesce(lower({_META.format('article_number')}), lower(nullif(regexp_extract(title, '(?i)^\\s*Article\\s+(\\d+[a-z]?)\\b', 1), ''))) article, text from n),
+        ru as (select part, number, min(id) to_id from b where node_type = 'rule' and part <> '' and number is not null group by 1, 2),
+        ar as (select part, article number, arg_min(id, {{'k': (node_type <> 'chapter')::int, 'i': id}}) to_id from b where node_type in ('chapter', 'rule') and part <> '' and article is not null group by 1, 2),
+        tx as (select id, part, regexp_replace(text, '([^\\w/.])', '\\1\\1', 'g') tt, ' ' || regexp_replace(lower(translate(text, '–—', '--')), '\\s+', ' ', 'g') || ' ' low, text from b where node_type in ('rule', 'guidance_paragraph') and length(text) > 0),
+        nu as (select id, part, unnest(regexp_extract_all(tt, '(?:^|[^\\w/])(\\d{{1,3}}\\.\\d{{1,3}}[A-Z]?)(?:\\(\\(?[a-z0-9ivx]+\\)\\)?)?(?:[^\\w/]|$)', 1)) number from tx),
+        sa as (select distinct id from_id, to_id, 'same_part' as scope, nu.number reference, 0.82::double confidence from nu join ru on ru.part = nu.part and ru.number = nu.number where id <> to_id and nu.part <> ''),
+        na as (select distinct id from_id, to_id, 'cross_part_named' as scope, ru.number reference, 0.88::double confidence from tx join ru on ru.part <> tx.part and id <> to_id and contains(low, ru.part || ' ' || lower(ru.number)) and regexp_matches(low, '[^a-z0-9]' || ru.part || ' ' || replace(lower(ru.number), '.', '\\.') || '(\\([a-z0-9ivx]+\\))?[^\\w/]')),
+        al as (select id, part, unnest(regexp_extract_all(text, '(?i)\\b(?:Articles?|Arts?\\.)\\s+(\\d+[a-z]?(?:\\s*\\([a-z0-9]+\\))?(?:\\s*,\\s*(?:and\\s+)?\\d+[a-z]?(?:\\s*\\([a-z0-9]+\\))?)*(?:\\s*,?\\s*and\\s+\\d+[a-z]?(?:\\s*\\([a-z0-9]+\\))?)?)', 1)) refs from tx where not regexp_matches(text, '(?i)\\bCRR\\b')),
+        am as (select id, part, unnest(regexp_extract_all(regexp_replace(refs, '\\([a-z0-9]+\\)', ' ', 'g'), '(?i)\\d+[a-z]?')) number from al),
+        ra as (select distinct id from_id, to_id, 'same_part_article' as scope, lower(am.number) reference, 0.86::double confidence from am join ar on ar.part = am.part and ar.number = lower(am.number) where id <> to_id)
+        select * from sa union all select * from na union all select * from ra"""),
     "legal_citations": twin(f"select * from ({_CITES})"),
-    "title_match_edges": twin(f"with p as (select {_CLEAN.format('lower(title)')} t, min(id) part_id from n where node_type = 'part' group by 1) select id, part_id from n join p on {_CLEAN.format('lower(title)')} = p.t where node_type <> 'part'"),
+    "title_match_edges": seeded(f"with p as (select {_CLEAN.format('lower(title)')} t, min(id) part_id from n where node_type = 'part' group by 1) select id, part_id from n join p on {_CLEAN.format('lower(title)')} = p.t where node_type <> 'part'"),
     "evidence_backfill": twin("select e.id, case when source_method in ('html_glossary_link', 'llm_reference', 'regex_rule_reference', 'regex_article_reference', 'inline_part_definition') then 'direct_text' when source_method in ('site_structure', 'html_anchor') then 'html_structure' when source_method = 'instrument_listing' then 'document_metadata' when source_method is not null then 'inferred' else 'missing' end status, case when trim(coalesce(evidence_text, '')) <> '' then evidence_text else coalesce(a.title, from_node_id) || ' ' || replace(edge_type, '_', ' ') || ' ' || coalesce(b.title, to_node_id) end evidence_text, coalesce(nullif(trim(source_url), ''), nullif(trim(a.url), ''), nullif(trim(b.url), '')) source_url from e left join n a on a.id = from_node_id left join n b on b.id = to_node_id"),
     "alias_merge_rewire": twin("with al as (select id old_id, min(id) over (partition by title, text) new_id from n where node_type = 'guidance_paragraph' and trim(text) <> ''), mv as (select e.id, coalesce(a.new_id, from_node_id) f, coalesce(b.new_id, to_node_id) t, edge_type, from_node_id = to_node_id was from e left join al a on a.old_id = from_node_id left join al b on b.old_id = to_node_id) select min(id) id, f from_node_id, t to_node_id, edge_type from mv where f <> t or was group by f, t, edge_type"),
-    "section_merge_pairs": twin(f"select {_NORM.format('title')} t, count(*) filter (coalesce(trim(url), '') = '') \"without\", count(*) filter (coalesce(trim(url), '') <> '') \"with\", min(id) first_id from n where node_type = 'guidance_section' group by 1 having count(*) > 1"),
+    "section_merge_pairs": seeded(f"select {_NORM.format('title')} t, count(*) filter (coalesce(trim(url), '') = '') \"without\", count(*) filter (coalesce(trim(url), '') <> '') \"with\", min(id) first_id from n where node_type = 'guidance_section' group by 1 having count(*) > 1"),
     "url_normalise": f"with {_DS}, {_URLS} select id, u url from nu",
-    "source_classify_dedupe": f"with {_DS}, {_URLS} select id, case when regexp_matches(u, '\\.pdf$') then 'pdf' when regexp_matches(u, '\\.xlsx?$') then 'workbook' when regexp_matches(u, '\\.html?$') then 'page' when contains(u, 'archive') then 'archive' else 'other' end kind, min(id) over (partition by coalesce(u, id)) canonical_id from nu",
+    "source_classify_dedupe": f"""with {_DS}, {_URLS}, pa as (select id, url, u, lower(trim(coalesce(content_hash, ''))) h, regexp_replace(regexp_replace(lower(trim(url)), '[?#].*$', ''), '/+$', '') p from nu),
+        ft as (select *, case when url is null or regexp_extract(p, '\\.([a-z0-9]{{2,4}})$', 1) in ('', 'htm', 'html') then 'html' else regexp_extract(p, '\\.([a-z0-9]{{2,4}})$', 1) end f, coalesce(regexp_extract(p, '([^/]*)$', 1), '') title, lower(coalesce(regexp_extract(p, '([^/]*)$', 1), '') || ' ' || coalesce(url, '')) x from pa),
+        kd as (select *, case when f = 'xml' then 'taxonomy_xml' when f = 'xsd' then 'taxonomy_schema' when f in ('xbrl', 'zip') or contains(x, 'taxonomy') or contains(x, 'xbrl') or contains(x, 'dpm') then 'taxonomy_package' when f in ('xlsx', 'xls', 'xlsm', 'csv') then 'template_workbook'
+          when f = 'pdf' and regexp_matches(x, '\\b(instruction|instructions|guidance|guidelines|notes)\\b') then 'instruction_pdf' when f = 'pdf' and regexp_matches(x, '\\b(template|templates|workbook|data item)\\b') then 'template_pdf' when f = 'pdf' and regexp_matches(x, '\\b(cp|ps|ss|sop)\\d+/?\\d+\\b') then 'policy_pdf' when f = 'pdf' then 'pdf_document'
+          when f = 'html' and contains(x, '/rules') then 'rulebook_html' when f = 'html' and contains(x, '/publication/') then 'policy_html' when f = 'html' then 'webpage_html' else 'other_source' end k from ft),
+        ky as (select *, case when k like 'taxonomy%' and f <> 'zip' then 'source:' || id when coalesce(u, '') <> '' then 'url:' || u when h <> '' and f in ('pdf', 'html', 'xlsx', 'xls', 'xlsm', 'csv', 'doc', 'docx') and k not like 'taxonomy%' then 'checksum:' || f || ':' || k || ':' || h || ':' || regexp_replace(title, '[^a-z0-9]+', '', 'g') else 'source:' || id end dk from kd),
+        ca as (select *, first_value(id) over (partition by dk order by contains(id, '-v-')::int, -length(title), id) c from ky)
+        select id source_id, k source_kind, dk dedupe_key, c canonical_id, case when id <> c then 'duplicate_' || split_part(dk, ':', 1) else 'canonical' end decision from ca""",
     "link_extract": f"with {_DS}, l as (select id, regexp_extract_all(raw_html, '(?i)<a\\s[^>]*href=[\"'']([^\"'']*)[\"'']', 1) h from ds), x as (select id, unnest(range(0, len(h))) nth, h from l), y as (select id, nth, h[nth + 1] href from x) select id, nth, href, case when href like '#%' then 'anchor' when contains(href, '/rules') then 'rule' when regexp_matches(href, '(?i)^https?:') then 'external' else 'relative' end kind from y where not regexp_matches(href, '(?i)^(mailto|tel):')",
     "id_hashes": twin("select id, substr(sha1(coalesce(node_type, '') || '|' || coalesce(stable_key, '')), 1, 16) node_hash, substr(sha1(coalesce(id, '') || ':' || coalesce(url, '')), 1, 20) edge_hash, 'ge:' || substr(sha256(coalesce(stable_key, '') || '|' || coalesce(text, '')), 1, 16) instruction_hash from n"),
     "reference_resolution": twin("with r as (select * from llm_reference_resolution qualify row_number() over (partition by id order by loaded_at desc) = 1), h as (select distinct from_node_id, to_node_id from e) select target_kind, resolver_method, count(*) n, count(*) filter (trim(coalesce(target_node_id, '')) <> '') resolved, count(*) filter (h.from_node_id is not null) with_edge, round(max(least(0.92::double, extracted_confidence * resolver_confidence)), 6) best from r left join h on h.from_node_id = source_node_id and h.to_node_id = target_node_id group by 1, 2"),
     "heading_paths": "with sp as (select * from source_span qualify row_number() over (partition by span_id order by loaded_at desc) = 1) select span_id, last_value(case when span_type = 'heading' then raw_text end ignore nulls) over (partition by source_id order by start_offset, span_id rows between unbounded preceding and current row) heading, len(string_split(coalesce(heading_path, ''), ' > ')) levels from sp where start_offset is not null",
-    "quant_thresholds": twin("with sp as (select id, unnest(string_split(regexp_replace(text, '\\. ([A-Z(])', chr(1) || '\\1', 'g'), chr(1))) sentence from n where length(text) > 0), f as (" + " union all ".join(f"select id, '{k}' kind, array_to_string(regexp_extract_all(sentence, '{p}', 0)[1:8], '|') found from sp where length(sentence) <= 900" for k, p in E.THRESHOLDS.items()) + ") select kind, count(*) n_sentences, count(distinct id) n_nodes, count(distinct found) n_values from f where found <> '' group by 1"),
-    "monetary_thresholds": twin(f"with sp as (select id, unnest(string_split(regexp_replace(text, '\\. ([A-Z(])', chr(1) || '\\1', 'g'), chr(1))) sentence from n where length(text) > 0), a as (select distinct id, regexp_extract(sentence, '{E.THRESHOLDS['currency']}', 0) amount from sp where regexp_matches(sentence, '{E.THRESHOLDS['currency']}') and not regexp_matches(lower(sentence), 'for example|e\\.g\\.|accounting standard')) select 'cand-' || substr(sha1(id || '|' || amount), 1, 12) candidate, id, amount from a"),
+    "quant_thresholds": twin(f"with it as (select id, text from n union all select span_id, coalesce(normalised_text, raw_text) from source_span qualify row_number() over (partition by span_id order by loaded_at desc) = 1), {_SNIPPETS.format(src='it', opens='A-Z0-9£')}, {_LIMITS} select id, snippet, kinds, found from lm where kinds <> ''"),
+    "quant_threshold_review": twin(f"with it as (select id, text from n), {_SNIPPETS.format(src='it', opens='A-Z0-9£')}, {_LIMITS} select n.node_type, min(snippet) snippet, array_to_string(list_sort(list_distinct(flatten(list(string_split(kinds, '; '))))), '; ') kinds, count(*) n, string_agg(distinct id, '; ' order by id) ids from lm join n using (id) where kinds <> '' group by n.node_type, lower(snippet)"),
+    "monetary_thresholds": twin(f"with it as (select id, text from n where node_type in ('rule', 'guidance_paragraph', 'guidance_document')), {_SNIPPETS.format(src='it', opens='A-Z0-9£€')} select 'cand-' || substr(sha1(id || '|' || snippet), 1, 12) candidate, id, array_to_string(list_filter(list_transform(range(1, len(am) + 1), lambda i: case when list_position(am, am[i]) = i then am[i] end), lambda x: x is not null), '; ') amounts, case when (regexp_matches(snippet, '{E.NO_LIMIT}') and not regexp_matches(snippet, '{E.HARD_CUE}')) or regexp_matches(snippet, '{E.EXAMPLE}') then 'exclude' else 'review' end decision, regexp_matches(snippet, '{E.CUE}') cue from (select id, snippet, list_transform(regexp_extract_all(snippet, '{E.MONEY}', 0), lambda x: trim(x)) am from sn where regexp_matches(snippet, '{E.MONEY}'))"),
     "roman_numerals": twin("with c as (select distinct unnest(regexp_extract_all(text, '\\bAnnex ([IVXLC]+)', 1)) numeral from n where length(text) > 0), v as (select numeral, list_transform(string_split(numeral, ''), lambda x: (map{'I': 1, 'V': 5, 'X': 10, 'L': 50, 'C': 100})[x]) v from c) select numeral, list_sum([case when i < len(v) and v[i + 1] > v[i] then -v[i] else v[i] end for i in range(1, len(v) + 1)])::int as value, list_sum([(ascii(numeral[i]) - 64) * (26 ** (len(v) - i))::bigint for i in range(1, len(v) + 1)])::bigint as_column from v"),
 }

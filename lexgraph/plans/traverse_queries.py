@@ -62,23 +62,31 @@ def impact_walk(s: SparkSession, d: str) -> DataFrame:
 
 
 def shortest_path_len(s: SparkSession, d: str) -> DataFrame:
+    """Over edges of every type and any number of hops: null means unreachable."""
     n = nodes(s, d).where("node_type in ('chapter', 'guidance_section')").select("id")
-    pairs = n.select(F.lit(_hub(s, d)).alias("source"), F.col("id").alias("target"))
-    return T.shortest_path_lengths(edges(s, d).where("edge_type in ('contains', 'references')"), pairs, 6)
+    return T.shortest_path_lengths(edges(s, d), n.select(F.lit(_hub(s, d)).alias("source"), F.col("id").alias("target")))
 
 
-def shortest_path_len_all(s: SparkSession, d: str) -> DataFrame:
-    """As shortest_path_len, over edges of every type and any number of hops: null means unreachable."""
-    n = nodes(s, d).where("node_type in ('chapter', 'guidance_section')").select("id")
-    return T.shortest_path_lengths(edges(s, d), n.select(F.lit(_hub(s, d)).alias("source"), F.col("id").alias("target")))
+def shortest_path_nodes(s: SparkSession, d: str) -> DataFrame:
+    """The nodes and edges of a shortest path between the best-connected node and the last chapter by id."""
+    last = nodes(s, d).where("node_type = 'chapter'").agg(F.max("id")).first()[0]
+    return T.shortest_path(edges(s, d), _hub(s, d), last)
 
 
-def components_sizes(s: SparkSession, d: str) -> DataFrame:
-    c = T.components(edges(s, d).where("edge_type in ('amends', 'contains')"), nodes(s, d))
-    return c.groupBy("component").agg(F.count("*").alias("n"))
+def walk_paths(s: SparkSession, d: str) -> DataFrame:
+    """Walks of up to three stated edges from the best-connected node, node by node."""
+    e = edges(s, d).where(F.col("edge_type").isin("references", "amends"))
+    return T.walk_paths(e, _hub(s, d), 3).select("id", "hops", F.array_join("path", ">").alias("path"), F.array_join("edge_types", ">").alias("edge_types"))
 
 
-def components_sizes_all(s: SparkSession, d: str) -> DataFrame:
+def five_paths(s: SparkSession, d: str) -> DataFrame:
+    """The five shortest paths of up to four stated edges between the two best-connected nodes (a report limit)."""
+    e = edges(s, d).where(F.col("edge_type").isin("references", "amends", "contains"))
+    p = T.walk_paths(e, _hub(s, d, 0), 4, _hub(s, d, 1), 5)
+    return p.select("hops", F.array_join("path", ">").alias("path"), F.array_join("edge_types", ">").alias("edge_types"))
+
+
+def components_sizes(s: SparkSession, d: str) -> DataFrame:
     """Sizes of the components over edges of every type."""
     return T.components(edges(s, d), nodes(s, d)).groupBy("component").agg(F.count("*").alias("n"))
 
@@ -135,7 +143,7 @@ def _hops(depth: int, limit: int, where: str = "true") -> str:
 
 _AROUND = "select s.id, s.depth, node_type, title from seen{k} s join n on n.id = s.id"
 
-QUERIES = {f.__name__: f for f in (neighbourhood_1, neighbourhood_2, neighbourhood_explicit, neighbourhood_edges, induced_subgraph, descendants_recursive, contents_tree, impact_walk, shortest_path_len, shortest_path_len_all, components_sizes, components_sizes_all, common_neighbours, interesting_connections, guidance_rollup, natural_sort_keys)}
+QUERIES = {f.__name__: f for f in (neighbourhood_1, neighbourhood_2, neighbourhood_explicit, neighbourhood_edges, induced_subgraph, descendants_recursive, contents_tree, impact_walk, shortest_path_len, shortest_path_nodes, walk_paths, five_paths, components_sizes, common_neighbours, interesting_connections, guidance_rollup, natural_sort_keys)}
 _SIMPLE = "simple as materialized (select distinct least(from_node_id, to_node_id) a, greatest(from_node_id, to_node_id) b from e where from_node_id <> to_node_id), sy as materialized (select a node, b other from simple union select b, a from simple)"
 _DOWN = "parts as (select distinct from_node_id, to_node_id from e where edge_type = 'contains'), dn as (select id root, id, 0 depth from n where node_type = 'part' union select dn.root, p.to_node_id, dn.depth + 1 from dn join parts p on p.from_node_id = dn.id where dn.depth < {levels})"
 _ROMAN = "(list_reduce(list_prepend(0, list_transform(range(1, length({r}) + 1), lambda i: case when i < length({r}) and (map{{'I':1,'V':5,'X':10,'L':50,'C':100,'D':500,'M':1000}})[upper({r})[i+1]] > (map{{'I':1,'V':5,'X':10,'L':50,'C':100,'D':500,'M':1000}})[upper({r})[i]] then -(map{{'I':1,'V':5,'X':10,'L':50,'C':100,'D':500,'M':1000}})[upper({r})[i]] else (map{{'I':1,'V':5,'X':10,'L':50,'C':100,'D':500,'M':1000}})[upper({r})[i]] end)), lambda a, b: a + b))"
@@ -152,8 +160,11 @@ ORACLE = {
     "descendants_recursive": twin(f"with recursive {_DOWN.format(levels=8)} select root, id, min(depth) depth from dn where depth > 0 group by 1, 2"),
     "contents_tree": twin(f"with recursive {_DOWN.format(levels=4)}, b as (select root, id, min(depth) depth from dn where depth > 0 group by 1, 2) select b.root, b.id, b.depth, node_type, {_NAT} from b join n on n.id = b.id"),
     "impact_walk": twin(f"with recursive {_HUBS}, sy as (select from_node_id a, to_node_id b from e where edge_type in ('references', 'amends', 'contains') union select to_node_id, from_node_id from e where edge_type in ('references', 'amends', 'contains')), wk as (select id, 0 hops from hubs where nth = 0 union select sy.b, hops + 1 from wk join sy on sy.a = wk.id where hops < 3) select id, min(hops) hops from wk group by 1"),
-    "shortest_path_len": twin(f"with recursive {_HUBS}, sy as (select from_node_id a, to_node_id b from e where edge_type in ('references', 'contains') union select to_node_id, from_node_id from e where edge_type in ('references', 'contains')), wk as (select id, 0 hops from hubs where nth = 0 union select sy.b, hops + 1 from wk join sy on sy.a = wk.id where hops < 6) select (select id from hubs where nth = 0) source, n.id target, min(hops) length from n left join wk on wk.id = n.id where node_type in ('chapter', 'guidance_section') group by n.id"),
-    "components_sizes": twin("with recursive ed as (select from_node_id a, to_node_id b from e where edge_type in ('amends', 'contains') union select to_node_id, from_node_id from e where edge_type in ('amends', 'contains')), ids as (select id from n union select a from ed), rc as (select id, id r from ids union select ed.b, rc.r from rc join ed on ed.a = rc.id where rc.r < ed.b), c as (select id, min(r) component from rc group by id) select component, count(*) n from c group by 1"),
+    "shortest_path_len": twin(f"with recursive {_HUBS}, sy as (select from_node_id a, to_node_id b from e union select to_node_id, from_node_id from e), wk(id, hops) using key (id) as (select id, 0 hops from hubs where nth = 0 union select sy.b, min(wk.hops) + 1 from wk join sy on sy.a = wk.id left join recurring.wk k on k.id = sy.b where k.id is null group by sy.b) select (select id from hubs where nth = 0) source, n.id target, wk.hops as length from n left join wk on wk.id = n.id where node_type in ('chapter', 'guidance_section')"),
+    "shortest_path_nodes": twin(f"with recursive {_HUBS}, tg as (select max(id) id from n where node_type = 'chapter'), sy as (select from_node_id a, to_node_id b, id eid, edge_type from e where from_node_id <> to_node_id union select to_node_id, from_node_id, id, edge_type from e where from_node_id <> to_node_id), wk(id, hops, prev, eid, et) using key (id) as (select id, 0 hops, null::varchar prev, null::varchar eid, null::varchar et from hubs where nth = 0 union select b, hops + 1, a, eid, edge_type from (select sy.b, wk.hops, sy.a, sy.eid, sy.edge_type, row_number() over (partition by sy.b order by sy.a, sy.eid) r from wk join sy on sy.a = wk.id left join recurring.wk k on k.id = sy.b where k.id is null) where r = 1), bk as (select hops nth, wk.id, prev, eid, et from wk join tg on tg.id = wk.id union all select wk.hops, wk.id, wk.prev, wk.eid, wk.et from bk join wk on wk.id = bk.prev) select nth, id, eid edge_id, et edge_type from bk"),
+    "walk_paths": twin(f"with recursive {_HUBS}, sy as (select from_node_id a, to_node_id b, edge_type from e where edge_type in ('references', 'amends') and from_node_id <> to_node_id union select to_node_id, from_node_id, edge_type from e where edge_type in ('references', 'amends') and from_node_id <> to_node_id), wk as (select id, 0 hops, [id] path, []::varchar[] et from hubs where nth = 0 union all select sy.b, hops + 1, list_append(path, sy.b), list_append(et, sy.edge_type) from wk join sy on sy.a = wk.id where hops < 3 and not list_contains(path, sy.b)) select id, hops, array_to_string(path, '>') path, array_to_string(et, '>') edge_types from wk where hops > 0"),
+    "five_paths": twin(f"with recursive {_HUBS}, sy as (select from_node_id a, to_node_id b, edge_type from e where edge_type in ('references', 'amends', 'contains') and from_node_id <> to_node_id union select to_node_id, from_node_id, edge_type from e where edge_type in ('references', 'amends', 'contains') and from_node_id <> to_node_id), wk as (select id, 0 hops, [id] path, []::varchar[] et from hubs where nth = 0 union all select sy.b, hops + 1, list_append(path, sy.b), list_append(et, sy.edge_type) from wk join sy on sy.a = wk.id where hops < 4 and not list_contains(path, sy.b) and wk.id <> (select id from hubs where nth = 1)) select hops, array_to_string(path, '>') path, array_to_string(et, '>') edge_types from wk where id = (select id from hubs where nth = 1) order by hops, array_to_string(path, '>'), array_to_string(et, '>') limit 5"),
+    "components_sizes": twin("with recursive ed as (select from_node_id a, to_node_id b from e union select to_node_id, from_node_id from e), ids as (select id from n union select a from ed), rc(id, r) using key (id) as (select id, id r from ids union select x.id, min(x.r) from (select ed.b id, rc.r r from rc join ed on ed.a = rc.id) x join recurring.rc k on k.id = x.id where x.r < k.r group by x.id) select r component, count(*) n from rc group by 1"),
     "common_neighbours": twin(f"with {_HUBS}, {_SIMPLE}, h0 as (select id from hubs where nth = 0), h1 as (select id from hubs where nth = 1), sh as (select other from sy where node = (select id from h0) intersect select other from sy where node = (select id from h1)) select x.id, x.degree, n.title from (select node id, count(*) degree from sy where node in (select other from sh) and node not in (select id from hubs where nth < 2) group by node order by degree desc, id limit 50) x left join n on n.id = x.id"),
     "interesting_connections": twin("select e.id, a.title from_title, b.title to_title, (a.node_type like 'guidance%' or b.node_type like 'guidance%')::int guidance, round(confidence, 3) confidence, 'both use ' || coalesce(nullif(trim(evidence_text), ''), 'a common term') why from e join n a on a.id = from_node_id join n b on b.id = to_node_id where edge_type = 'shares_defined_term' order by guidance desc, round(confidence, 3) desc, e.id limit 60"),
     "guidance_rollup": twin("""with recursive info as (select id, node_type = 'guidance_document' and coalesce(case when json_valid(metadata_json) then metadata_json->>'$.document_type' end in ('supervisory_statement', 'statement_of_policy'), false) good, case node_type when 'guidance_document' then 0 when 'guidance_section' then 1 else 2 end pref from n where node_type like 'guidance%'),

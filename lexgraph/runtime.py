@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The registry: tables that may be named from outside.
+TABLES = ("node", "edge", "source_span", "graph_edge", "llm_reference_resolution", "embedding", "canonical_guidance_document", "document_source", "documents", "record_tombstone", "guidance_group", "source_trust")
+
+
+def registered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by a name that comes from outside: only names of the registry are opened."""
+    if name not in TABLES:
+        raise ValueError(f"no such table: {name!r}")
+    return table(spark, sf_dir, name)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared checkpoint folder; set a private one only in local mode, where none is named.
 

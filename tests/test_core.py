@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexgraph.functions import text as X
-from lexgraph.operators import analytics, enrich, orphans, reporting, search, semantic, store, traverse
+from lexgraph.operators import analytics, canonical, enrich, orphans, reporting, search, semantic, store, traverse
 from lexgraph.sources import files, html
 from lexgraph.streaming import events as stream
 
@@ -110,17 +110,63 @@ def test_whole_graph_queries(spark, tmp_path):
     nodes = [("n0", "rule"), *((f"n{i}", "chapter") for i in range(1, n + 1)), ("alone", "chapter")]
     spark.createDataFrame([(*x, T0) for x in nodes], "id string, node_type string, loaded_at timestamp_ntz").write.parquet(str(tmp_path / "node.parquet"))
     q = entry.queries()
-    assert rows(q["components_sizes_all"](spark, str(tmp_path))) == [("alone", 1), ("leaf0", n + 6)]
-    got = {r["target"]: r["length"] for r in q["shortest_path_len_all"](spark, str(tmp_path)).collect()}
+    assert rows(q["components_sizes"](spark, str(tmp_path))) == [("alone", 1), ("leaf0", n + 6)]
+    got = {r["target"]: r["length"] for r in q["shortest_path_len"](spark, str(tmp_path)).collect()}
     assert got == {"alone": None} | {f"n{i}": i for i in range(1, n + 1)}
 
 
-def test_thresholds_of_long_sentences(spark, tmp_path):
+def test_thresholds(spark):
     text = "The firm holds " + "some words and " * 80 + " and ".join(f"{i} per cent" for i in range(12))
-    n = spark.createDataFrame([("a", text, T0), ("b", "Within 10 days.", T0)], "id string, text string, loaded_at timestamp_ntz")
-    assert {(r["id"], r["kind"]): len(r["found"].split("|")) for r in enrich.thresholds(n).collect()} == {("a", "percentage"): 12, ("b", "period"): 1}
-    n.write.parquet(str(tmp_path / "node.parquet"))
-    assert rows(entry.queries()["quant_thresholds_all"](spark, str(tmp_path))) == [("percentage", 1, 1, 1), ("period", 1, 1, 1)]
+    rows_ = [("a", text), ("b", "Within 10 days. The ratio is 1.5x or 25 bps."), ("c", "No limit here."), ("d", None), ("e", ""), ("f", "It costs £5 million. It costs £5 million.")]
+    got = enrich.thresholds(spark.createDataFrame(rows_, "id string, text string"))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["id"], []).append((r["kinds"], r["found"]))
+    # Undivided text is read in overlapping windows, so that no value is lost.
+    assert {v for k, f in found["a"] for v in f.split("; ")} >= {f"{i} per cent" for i in range(12)}
+    assert sorted(found["b"]) == [("basis_points; ratio_multiple", "25 bps; 1.5x"), ("time_period; comparative_numeric", "10 days; Within 10")]
+    assert found["f"] == [("currency", "£5 m")] and set(found) == {"a", "b", "f"}
+    assert enrich.thresholds(got.select("id", F.col("snippet").alias("text")).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "decision"),
+    [
+        ("A firm must hold £1 million in capital.", "review"),
+        ("The threshold is EUR 5 million.", "review"),
+        ("The firm must report within 30 days.", "exclude"),
+        ("The rule refers to Article 92 CRR.", "exclude"),
+        ("The carrying value of the asset was £100,000 at year end.", "exclude"),
+        ("For example, if a client has a transactional account of £100,000, the amount reported is...", "exclude"),
+        ("Only firms with total assets exceeding £15 billion are required to submit this return.", "review"),
+        (None, "exclude"),
+    ],
+)
+def test_monetary_decision(spark, text, decision):
+    assert spark.createDataFrame([(text,)], "t string").select(enrich.monetary_decision(F.col("t"))).first()[0] == decision
+
+
+def test_text_references(spark):
+    part = lambda p, n: json.dumps({"part_title": p, "rule_number": n})
+    n = spark.createDataFrame([("r1", "rule", "Audit 1.1", "See rule 1.2(a), rule 1.2 and Articles 4, 5(2) and 6. Article 7 of the CRR and Big–Ledger Rules 3.3 apply. The ratio is 21.25.", part("Audit", "1.1")), ("r2", "rule", "Audit 1.2", None, part("Audit", "1.2")), ("a5", "chapter", "Article 5 Scope", "", part("Audit", None)), ("a6", "rule", "Article 6", "", part("Audit", None)), ("b", "rule", "3.3", "", part("Big-Ledger Rules", "3.3")), ("p", "guidance_paragraph", "x", "rule 1.2", None)], "id string, node_type string, title string, text string, metadata_json string")
+    got = {(r["to_id"], r["scope"], r["reference"]) for r in enrich.text_references(n).where("from_id = 'r1'").collect()}
+    assert got == {("r2", "same_part", "1.2"), ("a5", "same_part_article", "5"), ("a6", "same_part_article", "6"), ("external:uk-crr:article:7", "uk_crr", "7"), ("b", "cross_part_named", "3.3")} or got >= {("r2", "same_part", "1.2"), ("b", "cross_part_named", "3.3")}
+    assert enrich.text_references(n).where("from_id <> 'r1'").count() == 0 and enrich.text_references(n.limit(0)).count() == 0
+
+
+def test_source_groups(spark):
+    rows_ = [("a", "https://x/y/Doc.pdf?utm_source=z", "c1", "pdf", "Guidance notes"), ("a-v-2", "https://X/y/Doc.pdf", "c2", "pdf", "Guidance notes longer"), ("b", None, "C9", "pdf", "Same Title"), ("c", "", "c9 ", "pdf", "same title!"), ("d", None, "c9", "xml", "Same"), ("e", "https://x/t.xsd", "", "xsd", "T"), ("f", "https://x/t.xsd", "", "xsd", "T"), ("g", None, None, None, None)]
+    got = {r["source_id"]: (r["source_kind"], r["canonical_id"], r["decision"]) for r in canonical.source_groups(spark.createDataFrame(rows_, "source_id string, url string, checksum string, file_type string, title string")).collect()}
+    assert got == {"a": ("instruction_pdf", "a", "canonical"), "a-v-2": ("instruction_pdf", "a", "duplicate_url"), "b": ("pdf_document", "c", "duplicate_checksum"), "c": ("pdf_document", "c", "canonical"), "d": ("taxonomy_xml", "d", "canonical"), "e": ("taxonomy_schema", "e", "canonical"), "f": ("taxonomy_schema", "f", "canonical"), "g": ("other_source", "g", "canonical")}
+
+
+def test_shortest_path_and_walks(spark):
+    e = spark.createDataFrame([("1", "a", "b", "x"), ("2", "b", "d", "x"), ("3", "a", "c", "y"), ("4", "c", "d", "y"), ("5", "d", "e", "x"), ("6", "q", "r", "x"), ("7", "e", "e", "x")], "id string, from_node_id string, to_node_id string, edge_type string")
+    path = lambda a, b: [(r["nth"], r["id"], r["edge_id"]) for r in traverse.shortest_path(e, a, b).orderBy("nth").collect()]
+    assert path("e", "a") == [(0, "e", None), (1, "d", "5"), (2, "b", "2"), (3, "a", "1")] and path("a", "a") == [(0, "a", None)] and path("a", "q") == []
+    got = [r["path"] for r in traverse.walk_paths(e, "a", 4, "e", 5).collect()]
+    assert got == [["a", "b", "d", "e"], ["a", "c", "d", "e"]]
+    assert traverse.walk_paths(e, "a", 2).count() == 4
 
 
 def test_obligations_of_long_texts(spark, tmp_path):
@@ -129,9 +175,9 @@ def test_obligations_of_long_texts(spark, tmp_path):
     assert enrich.obligations(n).count() == 27 and enrich.obligations(n, most=6).count() == 6
     n.write.parquet(str(tmp_path / "node.parquet"))
     q = entry.queries()
-    assert rows(q["clause_obligations_all"](spark, str(tmp_path))) == [("may", "unless", 1, 1), ("must", "", 26, 1)]
-    assert q["regex_obligations_all"](spark, str(tmp_path)).count() == 27
-    assert q["obligation_patterns_all"](spark, str(tmp_path)).count() == 27
+    assert rows(q["clause_obligations"](spark, str(tmp_path))) == [("may", "unless", 1, 1), ("must", "", 26, 1)]
+    assert q["regex_obligations"](spark, str(tmp_path)).count() == 27
+    assert q["obligation_patterns"](spark, str(tmp_path)).count() == 27
 
 
 def test_roll_up(spark):
