@@ -43,9 +43,11 @@ SEED_NODES = [
     ("seed-twin-b", "rule", "Twin", "The same text.", "", "{}"),
     ("seed-ref", "rule_reference", "seeded  ledger rules", "", "", '{"placeholder": true}'),
     ("seed-section-a", "guidance_section", "9 Seeded section", "", "https://rules.hpo.example/seeded#s9", "{}"),
+    ("seed-doc-a", "guidance_document", "Seeded Document A", "", "https://rules.hpo.example/seeded/doc/", "{}"),
+    ("seed-doc-b", "guidance_document", "Seeded Document B", "", "https://Rules.hpo.example/seeded/doc", "{}"),
     ("seed-section-b", "guidance_section", "9 Seeded Section", "", "", "{}"),
 ]
-SEED_EDGES = [("seed-e1", "seed-twin-a", "seed-twin-b", "references", "html_link")]
+SEED_EDGES = [("seed-e1", "seed-twin-a", "seed-twin-b", "references", "html_link"), ("seed-e2", "seed-article-5", "seed-rule-1", "contains", "site_structure"), ("seed-e3", "seed-article-6", "seed-rule-1", "contains", "site_structure")]
 
 
 def seeded_nodes(spark: SparkSession, d: str) -> DataFrame:
