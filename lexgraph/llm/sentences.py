@@ -324,40 +324,80 @@ class Counts:
             self.joins_l[a[-2:]] += 1
             self.joins_r[b[:1]] += 1
         for p in paragraphs:
-            self.in_l.update(p[max(0, i - 2) : i] for i in range(1, len(p)))
-            self.in_r.update(p[1:])
+            if len(p) > 1:
+                self.in_l[p[0]] += 1
+                self.in_l.update(map("".join, zip(p[:-2], p[1:-1])))
+                self.in_r.update(p[1:])
+
+    def add_part(self, part: str, n: int) -> None:
+        """A part of a text between white space: the word before its full stop, and its capitalised words."""
+        m = _STOPPED(part) if "." in part else None
+        if m:
+            self.total[_stop_word(m[1])] += n
+        for w in _WORDS(part):
+            if w[0].isupper():
+                self.seen[w] += n
+
+    def add(self, text: str, parts: Counter) -> None:
+        """A text; what its parts tell waits in `parts`, unless they are so long that they won't come again."""
+        for x in text.split():
+            if len(x) <= 40:
+                parts[x] += 1
+            else:
+                self.add_part(x, 1)
+        for p in _PARAGRAPHS(text) if "\n" in text else (text,):
+            p = p.strip()
+            if not p:
+                continue
+            last = p.rsplit(None, 1)[-1]
+            m = _STOPPED(last) if "." in last else None
+            if m:
+                self.final[_stop_word(m[1])] += 1
+            n = _NEXT_WORD(p, _FIRST(p).end())
+            if n and n[0][0].isupper():
+                self.opens[n[0]] += 1
+        for m in _ASKED(text):
+            if m[1][0].isupper():
+                self.opens[m[1]] += 1
+        if not text.isascii() and _HAS_RUNS(text):
+            self.add_runs(text)
+
 
+_STOPPED = re.compile(rf"([^\s{_OPEN}–—]+)(?<![.!?…‥])\.[{_CLOSE}]*[{_BLIND}]*\Z").search
+_PARAGRAPHS = re.compile(r"\n\s*\n").split
+_ASKED = re.compile(rf"[!?][{_CLOSE}]*\s[\s{_OPEN}{_BLIND}]*([^\W\d_]+)").finditer
+_KINDS = ("total", "final", "seen", "opens", "joins_l", "joins_r", "in_l", "in_r")
 
-#: The same places as _ENDS finds, in the JVM's notation: the word before a single full stop, and a capitalised word
-#: that opens a text, a paragraph, or what follows a question or an exclamation.
-_STOPPED = rf"(?<![^\s{_OPEN}–—])([^\s{_OPEN}–—]+)(?<![.!?…‥])\.(?:[{_CLOSE}])*"
-_COUNTED = {
-    "total": _STOPPED + rf"(?=[\s{_BLIND}]|\z)",
-    "final": _STOPPED + rf"(?=[^\S\n]*\n\s*\n|[\s{_BLIND}]*\z)",
-    "seen": r"(?<!\p{L})(\p{Lu}\p{L}*)",
-    "opens": rf"(?:\A|\n[^\S\n]*\n|[!?][{_CLOSE}]*\s)[\s{_OPEN}{_BLIND}]*(\p{{Lu}}\p{{L}}*)",
-}
+
+def _stop_word(w: str) -> str:
+    w = w[-24:].lower()
+    return "9" if w.replace(".", "").replace(",", "").isdigit() else w
 
 
 def corpus_counts(df: DataFrame, text: str = "text") -> Counts:
     """Counts over all texts; words that are too rare to matter (LEAST, SHARE) are counted but not sent to the driver."""
-    src = df.select(F.col(text).alias("t")).where(F.length("t") > 0)
-    words = F.flatten(F.array(*(F.transform(F.regexp_extract_all("t", F.lit("(?U)" + p), F.lit(1)), _labelled(k)) for k, p in _COUNTED.items())))
-    each = src.select(F.explode(words).alias("w")).select("w.kind", F.when(F.col("w.kind").isin("total", "final"), F.when(F.col("w.word").rlike(r"^[\d.,]*\d[\d.,]*$"), "9").otherwise(F.lower("w.word"))).otherwise(F.col("w.word")).alias("word"))
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Counts()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, parts = Counts(), Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for x, n in parts.items():
+                c.add_part(x, n)
+            for k in _KINDS:
+                found = getattr(c, k)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["kind", "word", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
-                c.add_runs(t)
-        rows = [(k, w, n) for k in ("joins_l", "joins_r", "in_l", "in_r") for w, n in getattr(c, k).items()]
-        if rows:
-            k, w, n = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), pa.array(n, pa.int64())], ["kind", "word", "n"])
-
-    # Two characters of a few scripts: their number is bounded by the scripts.
-    inside = src.where(F.col("t").rlike(f"[{_RUNS}]")).mapInArrow(runs, "kind string, word string, n long")
-    counted = cut(each.groupBy("kind", "word").agg(F.count("*").alias("n")).unionByName(inside.groupBy("kind", "word").agg(F.sum("n").alias("n"))))
+                c.add(t, parts)
+            if len(parts) > 1_000_000:
+                yield from flush()
+                c, parts = Counts(), Counter()
+        yield from flush()
+
+    made = df.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInArrow(run, "kind string, word string, n long")
+    counted = cut(made.groupBy("kind", "word").agg(F.sum("n").alias("n")))
     sums = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # eight rows
     out = Counts(sums=sums)
     least = {k: max(LEAST if k in ("total", "seen") else 1, SHARE * sums.get({"final": "total", "opens": "seen"}.get(k, k), 0)) for k in sums}
@@ -371,21 +411,13 @@ def corpus_counts(df: DataFrame, text: str = "text") -> Counts:
     return out
 
 
-def _labelled(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("word"))
-
-
 def text_counts(texts: list[str]) -> Counts:
     """The same counts of a few texts."""
-    import regex
-
-    c = Counts()
+    c, parts = Counts(), Counter()
     for text in texts:
-        for k, p in _COUNTED.items():
-            for w in regex.findall(p.replace(r"\z", r"\Z"), text):
-                getattr(c, k)[("9" if regex.fullmatch(r"[\d.,]*\d[\d.,]*", w) else w.lower()) if k in ("total", "final") else w] += 1
-        if _HAS_RUNS(text):
-            c.add_runs(text)
+        c.add(text, parts)
+    for x, n in parts.items():
+        c.add_part(x, n)
     return c
 
 
