@@ -55,11 +55,12 @@ _ODD = "†|$€¢ﬁﬂﬀﬃﬄ"
 _LETTERS = r"[^\W\d_]"
 _WORD = re.compile(rf"{_LETTERS}+(?:-{_LETTERS}+)*").findall
 _TOKEN = re.compile(rf"[\w{re.escape(_ODD)}]*[^\W_{re.escape(_ODD)}][\w{re.escape(_ODD)}]*|[{re.escape(_ODD)}]+{_LETTERS}[\w{re.escape(_ODD)}]*")
-_CUT = re.compile(rf"({_LETTERS}+(?:-{_LETTERS}+)*)([-¬\xad])[^\S\n]*\n\s*({_LETTERS}[\w{re.escape(_ODD)}]*(?:-{_LETTERS}+)*)")
+_CUT = re.compile(rf"(?<!{_LETTERS})({_LETTERS}+(?:-{_LETTERS}+)*)([-¬\xad])[^\S\n]*\n\s*({_LETTERS}[\w{re.escape(_ODD)}]*(?:-{_LETTERS}+)*)")
 _SPACED = re.compile(rf"(?<![\w])(?:{_LETTERS} ){{3,}}{_LETTERS}(?!\w)(?:-{_LETTERS}+)*")
 _PAGE = re.compile(
     r"(?:[-–—~\[(]\s*)?(?:(?:page|pg\.?|p\.|seite)\s*)?\d{1,4}(?:\s*(?:/|of|von)\s*\d{1,4})?(?:\s*[-–—~\])])?|\d{1,4}\s*\|\s*p\s*a\s*g\s*e|(?=[ivxlc])(?:x{0,4}c?l?x{0,4}(?:ix|iv|v?i{0,3}))|page\s+[ivxlc]+", re.I
 )
+_LONG_WORD = re.compile(rf"{_LETTERS}{{4,}}").findall
 _MAYBE_CUT = re.compile(r"[-¬\xad][^\S\n]*\n").search
 _SIGNS_AT = re.compile(rf"[\d{re.escape(_ODD)}]+").finditer
 _MAYBE_SPACED = re.compile(rf" {_LETTERS} {_LETTERS} {_LETTERS}").search
@@ -81,15 +82,15 @@ def shape(line: str) -> str:
 
 def title_like(line: str) -> bool:
     """Whether a line reads like a running title: short, without an end mark, most long words capitalised."""
-    if len(line) > LONGEST or _STOP(line) or line.endswith(","):
+    if len(line) > LONGEST or line[-1:] in ".,!?:;…" or _STOP(line):
         return False
-    words = [w for w in re.findall(rf"{_LETTERS}+", line) if len(w) > 3]
+    words = _LONG_WORD(line)
     return bool(words) and 2 * sum(w[0].isupper() for w in words) >= len(words)
 
 
 def is_page_number(line: str) -> bool:
     s = line.strip()
-    return bool(s) and _PAGE.fullmatch(s) is not None
+    return 0 < len(s) <= 40 and _PAGE.fullmatch(s) is not None
 
 
 def _lines(text: str) -> list[str]:
