@@ -331,28 +331,31 @@ class Counts:
 
     def add_part(self, part: str, n: int) -> None:
         """A part of a text between white space: the word before its full stop, and its capitalised words."""
-        m = _STOPPED(part) if "." in part else None
-        if m:
-            self.total[_stop_word(m[1])] += n
+        w = _stopped(part)
+        if w:
+            self.total[w] += n
         for w in _WORDS(part):
             if w[0].isupper():
                 self.seen[w] += n
 
     def add(self, text: str, parts: Counter) -> None:
         """A text; what its parts tell waits in `parts`, unless they are so long that they won't come again."""
-        for x in text.split():
-            if len(x) <= 40:
-                parts[x] += 1
-            else:
-                self.add_part(x, 1)
+        found = text.split()
+        if max(map(len, found), default=0) <= 40:
+            parts.update(found)
+        else:
+            for x in found:
+                if len(x) <= 40:
+                    parts[x] += 1
+                else:
+                    self.add_part(x, 1)
         for p in _PARAGRAPHS(text) if "\n" in text else (text,):
             p = p.strip()
             if not p:
                 continue
-            last = p.rsplit(None, 1)[-1]
-            m = _STOPPED(last) if "." in last else None
-            if m:
-                self.final[_stop_word(m[1])] += 1
+            w = _stopped(p.rsplit(None, 1)[-1])
+            if w:
+                self.final[w] += 1
             n = _NEXT_WORD(p, _FIRST(p).end())
             if n and n[0][0].isupper():
                 self.opens[n[0]] += 1
@@ -363,14 +366,21 @@ class Counts:
             self.add_runs(text)
 
 
-_STOPPED = re.compile(rf"([^\s{_OPEN}–—]+)(?<![.!?…‥])\.[{_CLOSE}]*[{_BLIND}]*\Z").search
 _PARAGRAPHS = re.compile(r"\n\s*\n").split
 _ASKED = re.compile(rf"[!?][{_CLOSE}]*\s[\s{_OPEN}{_BLIND}]*([^\W\d_]+)").finditer
 _KINDS = ("total", "final", "seen", "opens", "joins_l", "joins_r", "in_l", "in_r")
 
 
-def _stop_word(w: str) -> str:
-    w = w[-24:].lower()
+_AFTER_STOP = _BLIND + "".join(c for c in _CLOSE if c != "\\")
+
+
+def _stopped(part: str) -> str:
+    """The word before the single full stop that ends a part of a text; empty if none does. Figures are one word."""
+    s = part.rstrip(_AFTER_STOP)
+    if s[-1:] != "." or s[-2:-1] in ".!?…‥":
+        return ""
+    m = _LAST_WORD(s, max(0, len(s) - 25), len(s) - 1)
+    w = m[0].lower() if m else ""
     return "9" if w.replace(".", "").replace(",", "").isdigit() else w
 
 
