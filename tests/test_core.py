@@ -200,7 +200,7 @@ def test_enrichment_and_reporting(spark):
     n = spark.createDataFrame([("a", "The Board must approve the annual plan of the firm without delay."), ("b", "Exposures above £5.2 million within 10 working days exceed 12 per cent.")], "id string, text string")
     o = enrich.obligations(n).first()
     assert (o["modal"], o["action"]) == ("must", "approve")
-    assert {k for r in enrich.thresholds(n).where("id = 'b'").collect() for k in r["kinds"].split("; ")} >= {"currency", "time_period", "percentage"}
+    assert {k for r in enrich.thresholds(n).where("id = 'b'").collect() for k in r["kinds"].split("; ")} >= {"currency", "percentage"}
     p = spark.createDataFrame([("1", "<a class=x href=\"/rules/1\">a</a><A HREF='mailto:x'>m</A>"), ("2", None)], "id string, raw_html string")
     assert rows(enrich.links(p)) == [("1", 0, "/rules/1", "rule")]
     e = spark.createDataFrame([("i", "U", "t1"), ("i", "U", "t1"), ("i", "E", "d1"), ("d1", "R", "p")], "source string, edge_type string, target string")
