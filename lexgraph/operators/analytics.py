@@ -75,20 +75,23 @@ def betweenness(edges: DataFrame, k: int = 100, most: int = 1000, seed: int = 42
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """id, community by label propagation over the whole simple graph: every node takes its neighbours' most frequent
-    label (ties: the smallest). Two shuffles a round; stops when no label changes.
+    label (ties: the smallest). Two shuffles a round; ends when no label changes.
 
-    The synchronous form may swing between two states, so a node changes only to a smaller label in even rounds.
+    The synchronous form may swing between two states, so a node changes only to a smaller label in even rounds, and
+    from round `rounds` on in every round; as labels can't sink for ever, it converges.
     """
     sym = cut(symmetric(edges).where("node <> other").distinct())
     labels = cut(sym.select(F.col("node").alias("id")).distinct().withColumn("label", F.col("id")))
-    for r in range(rounds):
+    r = 0
+    while True:
+        both = r % 2 == 1 and r < rounds
         votes = sym.join(labels.toDF("other", "vote"), "other").groupBy("node", "vote").agg(F.count("*").alias("n"))
         best = votes.groupBy(F.col("node").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "vote"))["vote"].alias("best"))
-        nxt = labels.join(best, "id").select("id", F.when((F.lit(r % 2 == 1)) | (F.col("best") < F.col("label")), F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("best") != F.col("label")).alias("moved"))
-        nxt = cut(nxt)
-        if not nxt.where("moved").limit(1).count():
+        change = F.lit(both) | (F.col("best") < F.col("label"))
+        nxt = cut(labels.join(best, "id").select("id", F.when(change, F.col("best")).otherwise(F.col("label")).alias("label"), (change & (F.col("best") != F.col("label"))).alias("moved")))
+        if nxt.where("moved").isEmpty() and (both or r >= rounds):
             break
-        labels = nxt.drop("moved")
+        labels, r = nxt.drop("moved"), r + 1
     return labels.select("id", F.col("label").alias("community"))
 
 

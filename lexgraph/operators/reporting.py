@@ -35,8 +35,9 @@ def grouped_samples(rows: DataFrame, group: str, label: str, most: int = 8) -> D
 
 
 def newest_of_family(df: DataFrame, family: str, version: str) -> DataFrame:
-    """Rows of the newest version of each family; ties stay."""
-    return df.withColumn("_newest", F.max(version).over(W.partitionBy(family))).where(F.col(version) == F.col("_newest")).drop("_newest")
+    """Rows of the newest version of each family; ties stay. Families are reduced to one row before they are joined."""
+    newest = df.groupBy(F.col(family).alias("_family")).agg(F.max(version).alias("_newest"))
+    return df.join(newest, F.col(family).eqNullSafe(F.col("_family"))).where(F.col(version) == F.col("_newest")).select(*df.columns)
 
 
 def without_edge(items: DataFrame, edges: DataFrame, edge_type: str) -> DataFrame:

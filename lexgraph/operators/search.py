@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import contains_any
+from ..runtime import cut
 
 K1, B = 1.2, 0.75
 
@@ -48,13 +49,15 @@ def bm25(df: DataFrame, q: str, key: str = "id", title: str = "title", text: str
     """key, score for the rows that hold all words of q, the lower the better.
 
     Score: minus the sum over the words of idf * f (k1 + 1) / (f + k1 (1 - b + b D / avg D)), idf at least 1e-6; a title that
-    contains q as a whole comes before all. One pass for the statistics, one for the scores; nothing is shuffled
-    but one row per task.
+    contains q as a whole comes before all. Texts are tokenised once: their lengths and the counts of the words are
+    kept in a table that serves the statistics and the scores; nothing is shuffled but one row per task.
     """
     words = sorted({w for w in re.split(r"[\W_]+", q.lower()) if w})
     docs = df.where(F.length(F.trim(F.concat(F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(text), F.lit(""))))) > 0)
     docs = docs.select(F.col(key), F.col(title).alias("_title"), tokens(F.concat_ws(" ", F.col(title), F.col(text))).alias("_t"))
-    docs = docs.select(key, "_title", F.size("_t").alias("_d"), *(F.size(F.filter("_t", _equals(w))).alias(f"_f{i}") for i, w in enumerate(words)))
+    whole = F.contains(F.lower(F.coalesce(F.col("_title"), F.lit(""))), F.lit(q.lower()))
+    docs = docs.select(key, whole.alias("_whole"), F.size("_t").alias("_d"), *(F.size(F.filter("_t", _equals(w))).alias(f"_f{i}") for i, w in enumerate(words)))
+    docs = cut(docs)
     stats = docs.agg(F.count("*").alias("_n"), F.avg("_d").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(words))))
     hit = docs.where(reduce(lambda a, b: a & b, [F.col(f"_f{i}") > 0 for i in range(len(words))], F.lit(True))).crossJoin(F.broadcast(stats))  # one row
 
@@ -64,5 +67,4 @@ def bm25(df: DataFrame, q: str, key: str = "id", title: str = "title", text: str
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d") / F.col("_avg")))
 
     score = -reduce(lambda a, b: a + b, [term(i) for i in range(len(words))], F.lit(0.0))
-    exact = F.contains(F.lower(F.coalesce(F.col("_title"), F.lit(""))), F.lit(q.lower()))
-    return hit.select(key, F.round(F.when(exact, F.lit(-1e6)).otherwise(score), 6).alias("score"))
+    return hit.select(key, F.round(F.when(F.col("_whole"), F.lit(-1e6)).otherwise(score), 6).alias("score"))
