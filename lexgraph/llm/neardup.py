@@ -7,22 +7,25 @@ a set, and sets that differ from it in their rarest word only, aren't searched:
 of the leader of their family, which is searched with the slack that the difference makes.
 
 Long lists are parted by bands of set size, and words with very long ones have none: two sets whose first common word
-is such a word have a second one in their prefixes too, so they meet in the list of both words.
+is such a word have a second one in their prefixes too. Sets with two such words in their prefixes are compared all with
+all, in blocks of similar size; which words have lists is chosen by what either costs. Lists, blocks and the words of
+candidate pairs are shuffled in rounds, each freed before the next, so that the disk needed follows the input.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, shuffle_width
+from ..runtime import cut, discard, freed_shuffles, gathered, shuffle_width
 
 #: Similarity of the join, as an exact fraction; words and characters that a text must have to take part.
 SIMILARITY, LEAST_WORDS, MOST_CHARS = Fraction(7, 10), 30, 1800
@@ -30,12 +33,18 @@ SIMILARITY, LEAST_WORDS, MOST_CHARS = Fraction(7, 10), 30, 1800
 COUNTERS = 1 << 18
 #: Most entries of an index list that one group compares; longer lists are cut into chunks compared pairwise.
 CHUNK = 4096
-#: Words in more sets than this have no list of their own, but lists for pairs of words.
+#: Words in more sets than this have no list.
 LONG = 32 * CHUNK
+#: Most sets in a block, and fewest blocks that many sets are cut into.
+BLOCK, BLOCKS = 1 << 18, 8
+#: Rows shuffled at once: so many a set, or if there are few sets so many; candidate pairs whose words are, a set.
+ROUND_ROWS, LEAST_ROUND, ROUND_PAIRS = 4, 1 << 20, 0.5
+#: A shuffled row costs as much as so many comparisons.
+ROW_COST = 2000
 #: Sets with fewer words keep the lists of all words: they may have one word in common only.
 SMALL = 16
-#: Rows of a list compared at once.
-ROWS = 128
+#: Rows of a list compared at once, and with how many; distances from which half of a signature tells too little.
+ROWS, COLUMNS, FAR = 16, 4096, 38
 
 _WORD = re.compile(r"[^\W_]+").findall
 
@@ -180,8 +189,8 @@ def _prefixes(n: np.ndarray, slack: np.ndarray, t: Fraction) -> tuple[np.ndarray
     return probe, index
 
 
-def _postings(leaders: DataFrame, counts, long: int, t: Fraction = SIMILARITY) -> DataFrame:
-    """One row per word of each leader's prefix (times the bands and chunks that a long list needs)."""
+def _postings(leaders: DataFrame, counts, long: int, turn: int = 0, rounds: int = 1, t: Fraction = SIMILARITY) -> DataFrame:
+    """One row per word of each leader's prefix (times the bands and chunks that a long list needs); of one round's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, banded = counts.value
@@ -197,7 +206,7 @@ def _postings(leaders: DataFrame, counts, long: int, t: Fraction = SIMILARITY) -
             pos = np.arange(len(row)) - np.repeat(np.cumsum(probe) - probe, probe)
             word = flat[start[row] + pos]
             f = freq[_counter(word)]
-            own_list = (f <= long) | (n[row] < SMALL)
+            own_list = ((f <= long) | (n[row] < SMALL)) & ((word.view(np.uint64) >> np.uint64(40)) % np.uint64(rounds) == turn)
             row, pos, word, f = row[own_list], pos[own_list], word[own_list], f[own_list]
             indexed = pos < index[row]
             band = np.searchsorted(_BANDS, n, "right")
@@ -222,77 +231,200 @@ def _postings(leaders: DataFrame, counts, long: int, t: Fraction = SIMILARITY) -
     return leaders.select("n", "slack", "key", "words", "s0", "s1", "s2", "s3").mapInArrow(run, _ENTRY)
 
 
-def _pair_postings(leaders: DataFrame, counts, long: int, t: Fraction = SIMILARITY) -> DataFrame:
-    """One row per pair of very frequent words in each leader's prefix, which is longer by one word."""
+def _often(words: np.ndarray, start: np.ndarray, n: np.ndarray, probe: np.ndarray, freq: np.ndarray, long: int) -> np.ndarray:
+    """How many words without a list stand in each set's prefix, which is longer by one word."""
+    upto = np.minimum(n, probe + 1)
+    row = np.repeat(np.arange(len(n)), upto)
+    h = words[start[row] + np.arange(len(row)) - np.repeat(np.cumsum(upto) - upto, upto)]
+    return np.bincount(row, freq[_counter(h)] > long, minlength=len(n))
+
+
+@dataclass
+class Course:
+    """How the leaders are compared: words in at most `long` sets have lists, shuffled in so many rounds; sizes: how many leaders of each number of words have two other words in their prefix, they are compared in blocks."""
+
+    long: int
+    rounds: int
+    sizes: dict[int, int]
+
+
+def _course(leaders: DataFrame, counts, long: int | None, t: Fraction = SIMILARITY) -> Course:
+    """The cheapest limit of list lengths (or the given one). Costs no more to find than a pass over the leaders."""
+    limits = [0, CHUNK, 4 * CHUNK, LONG] if long is None else [long]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = counts.value[0]
+        total, small = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int64)
+        sizes: dict[tuple[int, int], int] = {}
         for b in batches:
             if not b.num_rows:
                 continue
             n, slack = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "slack"))
             words = b.column("words")
             flat, start = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy().astype(np.int64)[:-1]
-            probe, index = _prefixes(n, slack, t)
-            rows, keys, pos, indexed = [], [], [], []
-            for r in range(len(n)):
-                h = flat[start[r] : start[r] + min(n[r], probe[r] + 1)]
-                often = np.flatnonzero(freq[_counter(h)] > long)
-                if len(often) > 1:
-                    i, j = np.triu_indices(len(often), 1)
-                    i, j = often[i], often[j]
-                    rows.append(np.full(len(i), r))
-                    keys.append(_mix(h[i], h[j]))
-                    # The first two common words: what can be common beyond starts after the second.
-                    pos.append(j - 1)
-                    indexed.append(j < index[r] + 1)
-            if rows:
-                r = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column("n").take(pa.array(r)), pa.array(np.concatenate(pos).astype(np.int32)), b.column("slack").take(pa.array(r)), pa.array(np.concatenate(indexed)), b.column("key").take(pa.array(r)), *(b.column(f"s{j}").take(pa.array(r)) for j in range(4))], ["word", "n", "pos", "slack", "index", "key", "s0", "s1", "s2", "s3"])
-
-    made = leaders.select("n", "slack", "key", "words", "s0", "s1", "s2", "s3").mapInArrow(run, "word long, n int, pos int, slack int, index boolean, key long, s0 long, s1 long, s2 long, s3 long")
-    hot = made.groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK)
-    times = F.coalesce(F.ceil(F.col("c") / CHUNK), F.lit(1)).cast("int")
-    made = made.join(hot, "word", "left").withColumn("times", times).withColumn("own", F.pmod("key", "times").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    part = F.least("own", "other").cast("long") * F.col("times") + F.greatest("own", "other")
-    return made.withColumn("part", part).select("word", "part", "n", "pos", "slack", "own", "index", "key", "s0", "s1", "s2", "s3")
-
-
-def _compare(n, pos, slack, own, index, key, signs, split: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one list (sorted by n) that may be similar. split: only pairs between the list's two chunks."""
+            probe, _ = _prefixes(n, slack, t)
+            row = np.repeat(np.arange(len(n)), probe)
+            at = _counter(flat[start[row] + np.arange(len(row)) - np.repeat(np.cumsum(probe) - probe, probe)])
+            total += np.bincount(at, minlength=COUNTERS)
+            small += np.bincount(at[n[row] < SMALL], minlength=COUNTERS)
+            for k, limit in enumerate(limits):
+                for size, c in zip(*np.unique(n[_often(flat, start, n, probe, freq, limit) > 1], return_counts=True)):
+                    sizes[k, int(size)] = sizes.get((k, int(size)), 0) + int(c)
+        for kind, x in ((-2, total), (-1, small)):
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["kind", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sizes], pa.int32()), pa.array([x for _, x in sizes], pa.int32()), pa.array([*sizes.values()], pa.int64())], ["kind", "at", "n"])
+
+    got = leaders.select("n", "slack", "words").mapInArrow(run, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()  # at most two rows per counter and one per number of words
+    freq, leaders_n = counts.value[0], leaders.count()
+    total, small = (np.zeros(COUNTERS, np.int64) for _ in range(2))
+    for kind, x in ((-2, total), (-1, small)):
+        own = got[got["kind"] == kind]
+        x[own["at"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+    out = []
+    for k, limit in enumerate(limits):
+        own = got[got["kind"] == k]
+        sizes = dict(zip(own["at"].tolist(), own["n"].tolist()))
+        m = sum(sizes.values())
+        listed = np.where(freq <= limit, total, small).astype(float)
+        rows = (listed * np.where(freq > CHUNK, 2 * np.ceil(freq / CHUNK), 1)).sum()
+        blocks = len(_block_pairs(sizes)[1])
+        cost = (listed**2).sum() / 2 + m * m / 2 + ROW_COST * (rows + 2 * blocks * m / max(1, _block_count(m)))
+        out.append((cost, k, Course(limit, max(1, int(np.ceil(rows / max(LEAST_ROUND, ROUND_ROWS * leaders_n)))), sizes)))
+    return min(out, key=lambda x: x[:2])[2]
+
+
+def _block_count(m: int) -> int:
+    return max(-(-m // BLOCK), min(BLOCKS, -(-m // 512)))
+
+
+def _block_pairs(sizes: dict[int, int]) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int]]]:
+    """Where the sets of each size start among all and how many they are; pairs of blocks that may hold similar sets, the larger sets' second."""
+    at, place = 0, {}
+    for n in sorted(sizes):
+        place[n] = (at, sizes[n])
+        at += sizes[n]
+    count = _block_count(at)
+    least, most = [0] * count, [0] * count
+    for n, (first, c) in place.items():
+        for k in range(first * count // at, (first + c - 1) * count // at + 1):
+            least[k] = least[k] or n
+            most[k] = n
+    return place, [(i, j) for j in range(count) for i in range(j + 1) if most[i] * SIMILARITY.denominator >= least[j] * SIMILARITY.numerator] if at else []
+
+
+def _block_candidates(leaders: DataFrame, counts, course: Course, t: Fraction = SIMILARITY) -> Iterator[DataFrame]:
+    """Pairs of leaders that the blocks leave, by round."""
+    place, pairs = _block_pairs(course.sizes)
+    m = sum(course.sizes.values())
+    if m < 2:
+        return
+    count, long = _block_count(m), course.long
+    top = max(place) + 1
+    first, own = (np.zeros(top, np.int64) for _ in range(2))
+    for n, (x, c) in place.items():
+        first[n], own[n] = x, c
+    each = max(1, int(max(LEAST_ROUND, ROUND_ROWS * m) * count / m / 2))
+
+    def entries(of: list[tuple[int, int]]) -> Callable:
+        by = [[k for k, p in enumerate(of) if x in p] for x in range(count)]
+        times, start = np.array([len(x) for x in by]), np.cumsum([0, *(len(x) for x in by)])
+        to = np.array([k for x in by for k in x], np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            freq = counts.value[0]
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                n, slack, key = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "slack", "key"))
+                words = b.column("words")
+                probe, _ = _prefixes(n, slack, t)
+                r = np.flatnonzero(_often(words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy().astype(np.int64)[:-1], n, probe, freq, long) > 1)
+                # Sets of one size are spread over its blocks by their keys.
+                inside = ((key[r].view(np.uint64) >> np.uint64(33)).astype(np.float64) / (1 << 31) * own[n[r]]).astype(np.int64)
+                block = (first[n[r]] + np.minimum(inside, own[n[r]] - 1)) * count // m
+                rep = np.repeat(np.arange(len(r)), times[block])
+                turn = np.arange(len(rep)) - np.repeat(np.cumsum(times[block]) - times[block], times[block])
+                at = pa.array(r[rep])
+                yield pa.RecordBatch.from_arrays([pa.array(to[start[block[rep]] + turn].astype(np.int32)), pa.array(block[rep].astype(np.int32)), *(b.column(c).take(at) for c in ("n", "slack", "key", "s0", "s1", "s2", "s3"))], ["pair", "block", "n", "slack", "key", "s0", "s1", "s2", "s3"])
+
+        return run
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds the two blocks of one pair."""
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        v = pa.Table.from_batches(got)
+        pair, n, slack, block, key = (v.column(c).to_numpy().astype(np.int64) for c in ("pair", "n", "slack", "block", "key"))
+        signs = np.stack([v.column(f"s{j}").to_numpy().view(np.uint64) for j in range(4)], axis=1)
+        at = np.lexsort((key, n, block, pair))
+        pair, block, values = pair[at], block[at], [c[at] for c in (n, slack, key, signs)]
+        for p in np.unique(pair):
+            own = np.flatnonzero(pair == p)
+            low = block[own] == block[own[0]]
+            y, x = own[low], own if low.all() else own[~low]
+            others = [c[y] for c in values]
+            for a in range(0, len(x), 128 * ROWS):
+                found_a, found_b = _near(*(c[x[a : a + 128 * ROWS]] for c in values), *others)
+                if len(found_a):
+                    yield pa.RecordBatch.from_arrays([pa.array(found_a), pa.array(found_b)], ["a", "b"])
+
+    cols = leaders.select("n", "slack", "key", "words", "s0", "s1", "s2", "s3")
+    for k in range(0, len(pairs), each):
+        of = pairs[k : k + each]
+        made = cols.mapInArrow(entries(of), "pair int, block int, n int, slack int, key long, s0 long, s1 long, s2 long, s3 long")
+        yield made.repartitionById(len(of), F.col("pair")).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _near(n, slack, key, signs, yn, yslack, ykey, ysigns) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one of the first sets and one of the others (both sorted by n) that is no larger, if they may be similar."""
+    none = np.zeros(len(n), np.int64)
+    return _compare(n, none, slack, none, None, key, signs, False, (yn, np.zeros(len(yn), np.int64), ysigns, None, yslack, ykey))
+
+
+def _compare(n, pos, slack, own, index, key, signs, split: bool, others: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one list (sorted by n) that may be similar. split: only pairs between the list's two chunks. others: n, pos, signs, own, slack and key of the sets to compare with, in place of those of the list."""
     found_a, found_b = [], []
-    ys = np.flatnonzero(index)
-    if not len(ys):
+    if others is None:
+        ys = np.flatnonzero(index)
+        others = n[ys], pos[ys], signs[ys], own[ys], slack[ys], key[ys]
+    yn, ypos, ysign, yown, yslack, ykey = others
+    if not len(yn):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    yn, ypos, ysign, yown, yslack = n[ys], pos[ys], signs[ys], own[ys], slack[ys]
     two = own.min() != own.max()
+    columns = [np.ascontiguousarray(ysign[:, j]) for j in range(4)]
+    limits = np.minimum(2 * n - 2 * _need(2 * n) + 2 * slack + 2 + 2, 255).astype(np.uint8)
     for a in range(0, len(n), ROWS):
         b = min(a + ROWS, len(n))
         most = n[a:b].max()
         # Blocks of the list whose sets are too small are passed over, and so are those too far back in their sets.
         low = np.searchsorted(yn, (SIMILARITY.numerator * n[a]) // SIMILARITY.denominator - 3)
         high = np.searchsorted(yn, most, "right")
-        for c in range(low, high, 1024):
-            d = min(c + 1024, high)
+        for c in range(low, high, COLUMNS):
+            d = min(c + COLUMNS, high)
             least = _need(int(n[a]) + int(yn[c])) - 2
             if 1 + min(most - pos[a:b].min() - 1, yn[c:d].max() - ypos[c:d].min() - 1) < least:
                 continue
             x, y = signs[a:b], ysign[c:d]
-            bound = (2 * n[a:b] - 2 * _need(2 * n[a:b]) + 2 * slack[a:b] + 2 + 2).astype(np.int64)[:, None]
-            far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
-            i, j = np.nonzero(far <= bound)
-            if not len(i):
+            # Of long signatures all bits are counted at once; a sum of 256 is taken for 0, which keeps the pair.
+            far = np.bitwise_count(x[:, None, 0] ^ columns[0][None, c:d])
+            for k in range(1, 4 if limits[b - 1] > FAR else 2):
+                far += np.bitwise_count(x[:, None, k] ^ columns[k][None, c:d])
+            hit = far <= limits[a:b, None]
+            if not hit.any():
                 continue
-            far = far[i, j].astype(np.int64) + np.bitwise_count(x[i, 2] ^ y[j, 2]) + np.bitwise_count(x[i, 3] ^ y[j, 3])
+            i, j = np.nonzero(hit)
+            far = np.bitwise_count(x[i] ^ y[j]).sum(axis=1, dtype=np.int64)
             total = n[a + i] + yn[c + j]
             need = _need(total) - slack[a + i] - yslack[c + j]
             reach = 1 + np.minimum(n[a + i] - pos[a + i] - 1, yn[c + j] - ypos[c + j] - 1)
-            ok = (far <= total - 2 * need) & (reach >= need) & (key[a + i] != key[ys[c + j]])
+            ok = (far <= total - 2 * need) & (reach >= need) & (key[a + i] != ykey[c + j])
             if split and two:
                 ok &= own[a + i] != yown[c + j]
             if ok.any():
                 found_a.append(key[a + i[ok]])
-                found_b.append(key[ys[c + j[ok]]])
+                found_b.append(ykey[c + j[ok]])
     if not found_a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -358,33 +490,57 @@ class Found:
         return self.sets.where((F.col("family") > 1) & ((n - 1) * SIMILARITY.denominator >= (n + 1) * SIMILARITY.numerator))
 
 
-def near_duplicate_sets(src: DataFrame, long: int = LONG) -> Found:
-    """Classes and links of the records in src(id, at, title, text). No link is lost."""
+def near_duplicate_sets(src: DataFrame, long: int | None = None) -> Found:
+    """Classes and links of the records in src(id, at, title, text). No link is lost. long: words in more sets have no list."""
+    with freed_shuffles(src.sparkSession):
+        return _sets(src, long)
+
+
+def _sets(src: DataFrame, long: int | None) -> Found:
     spark = src.sparkSession
     sets = cut(word_sets(src))
     lengths = list_lengths(sets)
     counts = spark.sparkContext.broadcast(lengths)
     classes = sets.groupBy("same").agg(F.min("id").alias("rep"))
     members = cut(sets.select("id", "same", "copy").join(classes, "same").select("id", "rep", "copy"))
-    reps = sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    reps = cut(in_order(reps, counts).withColumn("key", F.xxhash64("same")).drop("same"))
-    families = reps.groupBy("core").agg(F.min("key").alias("leader"), F.count("*").alias("family"))
-    family = cut(reps.select(F.col("id").alias("rep"), "key", "core", "n").join(families, "core").select("rep", "key", "leader", "family", "n"))
-    leaders = reps.join(family.where("key = leader").select("key", F.when(F.col("family") > 1, 1).otherwise(0).alias("slack")), "key")
-    lists = _postings(leaders, counts, long)
-    if lengths[0].max(initial=0) > long:
-        lists = lists.unionByName(_pair_postings(leaders, counts, long))
-    near = _candidates(lists)
-    # Answers of the family: the leader's answers (with its slack) for each member.
-    all_of = family.select("key", "leader")
-    found = near.join(all_of.toDF("ka", "a"), "a").join(all_of.toDF("kb", "b"), "b").select("ka", "kb")
-    words = reps.select("key", "id", "words", "n")
-    a, b = (words.select(*(F.col(c).alias(f"{x}_{c}") for c in words.columns)) for x in "ab")
-    joined = found.join(a, F.col("ka") == F.col("a_key")).join(b, F.col("kb") == F.col("b_key"))
-    common = F.size(F.array_intersect("a_words", "b_words"))
-    alike = common * SIMILARITY.denominator >= (F.col("a_n") + F.col("b_n") - common) * SIMILARITY.numerator
-    links = joined.where(alike).select(F.least("a_id", "b_id").alias("rep_a"), F.greatest("a_id", "b_id").alias("rep_b"))
-    return Found(members, family, cut(links))
+    first = sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    ordered = cut(in_order(first, counts).withColumn("key", F.xxhash64("same")).drop("same"))
+    discard(sets)
+    families = ordered.groupBy("core").agg(F.min("key").alias("leader"), F.count("*").alias("family"))
+    reps = cut(ordered.join(families, "core").drop("core"))
+    discard(ordered)
+    family = cut(reps.select(F.col("id").alias("rep"), "key", "leader", "family", "n"))
+    leaders = reps.where("key = leader").withColumn("slack", F.when(F.col("family") > 1, 1).otherwise(0))
+    course = _course(leaders, counts, long)
+    rounds = (_candidates(_postings(leaders, counts, course.long, k, course.rounds)) for k in range(course.rounds))
+    once = gathered(chain(rounds, _block_candidates(leaders, counts, course)))
+    near = cut(once.distinct())
+    discard(once)
+    links = gathered(_verified(near, family, reps))
+    discard(near)
+    discard(reps)
+    return Found(members, family, links)
+
+
+def _verified(near: DataFrame, family: DataFrame, reps: DataFrame) -> Iterator[DataFrame]:
+    """rep_a < rep_b, by round: of the leaders' answers (with their slack) for each member of their families those that are similar."""
+    keys = near.select(F.col("a").alias("leader")).unionByName(near.select(F.col("b").alias("leader")))
+    words = cut(reps.select("key", "leader", "id", "words", "n").join(keys, "leader", "left_semi"))
+    size = family.where("key = leader").select("leader", "family")
+    total = near.join(size.toDF("a", "fa"), "a").join(size.toDF("b", "fb"), "b").agg(F.sum(F.col("fa") * F.col("fb"))).first()[0] or 0
+    rounds = max(1, -int(-total // max(LEAST_ROUND, ROUND_PAIRS * family.count())))
+    all_of = words.select("key", "leader")
+    a, b = (words.select(*(F.col(c).alias(f"{x}_{c}") for c in ("key", "id", "words", "n"))) for x in "ab")
+    for k in range(rounds):
+        # Members of large families are parted too, so a round is not more than its share.
+        found = near.join(all_of.toDF("ka", "a"), "a").join(all_of.toDF("kb", "b"), "b").select("ka", "kb")
+        if rounds > 1:
+            found = found.where(F.pmod(F.xxhash64("ka", "kb"), F.lit(rounds)) == k)
+        joined = found.join(a, F.col("ka") == F.col("a_key")).join(b, F.col("kb") == F.col("b_key"))
+        common = F.size(F.array_intersect("a_words", "b_words"))
+        alike = common * SIMILARITY.denominator >= (F.col("a_n") + F.col("b_n") - common) * SIMILARITY.numerator
+        yield joined.where(alike).select(F.least("a_id", "b_id").alias("rep_a"), F.greatest("a_id", "b_id").alias("rep_b"))
+    discard(words)
 
 
 def prepare(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at") -> DataFrame:
@@ -393,7 +549,7 @@ def prepare(df: DataFrame, key: str = "id", title: str = "title", text: str = "t
     return df.select(F.col(key).cast("string").alias("id"), at.alias("at"), F.col(title).alias("title"), F.col(text).alias("text")).where("id is not null")
 
 
-def near_duplicate_pairs(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at", long: int = LONG) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at", long: int | None = None) -> DataFrame:
     """id_a < id_b: all pairs of records whose word sets are similar by 0.7 or more, exact copies too.
 
     Records without an id, with null or empty text, with fewer than 30 words or more than 1,800 characters don't take
@@ -404,13 +560,14 @@ def near_duplicate_pairs(df: DataFrame, key: str = "id", title: str = "title", t
     m = found.members.select("rep", "id")
     own = found.families().select("leader", "rep")
     inside = own.toDF("leader", "rep_a").join(own.toDF("leader", "rep_b"), "leader").where("rep_a < rep_b").select("rep_a", "rep_b")
-    links = cut(found.links.unionByName(inside))  # a join right above a union fails to plan when the union's parts are coalesced differently
+    with freed_shuffles(df.sparkSession):
+        links = cut(found.links.unionByName(inside))  # a join right above a union fails to plan when the union's parts are coalesced differently
     across = links.join(m.toDF("rep_a", "x"), "rep_a").join(m.toDF("rep_b", "y"), "rep_b").select("x", "y")
     within = m.toDF("rep", "x").join(m.toDF("rep", "y"), "rep").where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def near_duplicate_classes(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at", long: int = LONG) -> DataFrame:
+def near_duplicate_classes(df: DataFrame, key: str = "id", title: str = "title", text: str = "text", loaded: str | None = "loaded_at", long: int | None = None) -> DataFrame:
     """id, class_id, n_same, n_links: one row per record that takes part, in place of its pairs.
 
     class_id is the smallest id with the same set of words, n_same the number of records of that class, n_links the

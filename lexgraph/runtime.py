@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,11 +63,15 @@ def release(spark: SparkSession | None = None) -> None:
         if spark is not None and owner is not spark:
             continue
         del _HELD[path]
-        try:
-            p = owner.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended before  # noqa: BLE001
-            shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
+        _delete(owner, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended before  # noqa: BLE001
+        shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
 
 
 atexit.register(release)
@@ -87,7 +93,39 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def gathered(rounds: Iterable[DataFrame]) -> DataFrame:
+    """The rows of one or more frames of one schema as one table, as by cut(); each is written before the next is made."""
+    path, last = "", None
+    for df in rounds:
+        path, last = path or scratch(df.sparkSession), df
+        df.write.mode("append").parquet(path)
+    out = last.sparkSession.read.schema(last.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of cut() or gathered() before release() does: nothing reads it any more."""
+    path = df._cut_path
+    if _HELD.pop(path, None) is not None:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each query that is built and run inside as soon as it ends, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def shuffle_width(spark: SparkSession) -> int:

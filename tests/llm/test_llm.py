@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lexgraph import runtime
 from lexgraph.llm import bpe, knn, markup, neardup, packing, scanned, sentences, split, survivor
 from lexgraph.runtime import tokenizer_path
 
@@ -118,6 +120,27 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, long):
     assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0 and neardup.near_duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_rounds_free_their_disk(spark, monkeypatch):
+    """Blocks and lists in several rounds find all pairs; what was shuffled and the tables of words are gone afterwards."""
+    for name, value in (("CHUNK", 16), ("BLOCK", 40), ("LEAST_ROUND", 200), ("ROUND_ROWS", 2), ("COLUMNS", 64)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = near_duplicate_rows()
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id string, title string, text string, at int")
+    files = lambda: str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")).count("shuffle_")
+    for long in (0, 1000):
+        before, held = files(), set(runtime._HELD)
+        found = neardup.near_duplicate_sets(df, long)
+        until = time.time() + 10
+        while files() > before and time.time() < until:
+            time.sleep(0.2)
+        assert files() <= before and len(set(runtime._HELD) - held) == 3
+        rep = {r["id"]: r["rep"] for r in found.members.collect()}
+        links = {tuple(r) for r in found.links.collect()}
+        want = {tuple(sorted((rep[a], rep[b]))) for a, b in pairs_by_force(rows) if rep[a] != rep[b]}
+        families = {r["rep"]: r["leader"] for r in found.families().collect()}
+        assert {p for p in want if families.get(p[0], 0) != families.get(p[1], 1)} <= links <= want
+
+
 def test_near_duplicates_of_many_copies(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(f"c{i:03}", "", text) for i in range(80)] + [("d", "", text + " other")], "id string, title string, text string")
